@@ -15,10 +15,11 @@ _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 
 def null_tokens(df: DataFrame, cols: Iterable[str] | None = None,
                 tokens: list[str] = NULL_TOKENS) -> DataFrame:
-    """Replace the texts that mean "missing" by NULL."""
-    chosen = set(df.columns if cols is None else cols)
-    return df.select(*[
-        F.when(~F.col(c).isin(tokens), F.col(c)).alias(c) if c in chosen else F.col(c)
+    """Replace the texts that mean "missing" by NULL, by default in every text column."""
+    chosen = {n for n, t in df.dtypes if t == "string"} if cols is None else set(cols)
+    listed = ", ".join("'" + t.replace("'", "''") + "'" for t in tokens)
+    return df.selectExpr(*[
+        f"case when `{c}` not in ({listed}) then `{c}` end as `{c}`" if c in chosen else f"`{c}`"
         for c in df.columns
     ])
 

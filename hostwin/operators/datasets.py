@@ -47,7 +47,7 @@ def build_master(logs: dict[str, DataFrame], width: int = WINDOW_SECONDS,
 
     Every log is keyed alike, so the rows of all logs are united and aggregated once:
     partial sums per task, one exchange, no joins and no sorts. Label rows take part like
-    any other log.
+    any other log. Unusable rows fall into groups that no log counts, which are dropped.
     """
     parts = [keyed_rows(logs[kind], kind, width) for kind in FEATURES]
     parts.append(redteam_rows(logs["redteam"], width).withColumn("label", F.lit(1)))

@@ -68,11 +68,12 @@ def fit_logreg(train: DataFrame, features: list[str], strength: float = 1.0) ->
         standardization=False, maxIter=1000, tol=1e-4).fit(rows)
 
 
-def fit_linear_svm(train: DataFrame, features: list[str], alpha: float = 1e-4) -> Any:
+def fit_linear_svm(train: DataFrame, features: list[str], alpha: float = 1e-4,
+                   rounds: int = 100) -> Any:
     """Linear SVM with hinge loss and balanced class weights; gives no probabilities."""
     rows = assemble(train, features).withColumn("w", balanced_weight(class_counts(train, "y")))
     return LinearSVC(labelCol="y", weightCol="w", regParam=alpha, standardization=False,
-                     maxIter=1000, tol=1e-4).fit(rows)
+                     maxIter=rounds, tol=1e-4).fit(rows)
 
 
 def fit_rf_smote(train: DataFrame, features: list[str], key: str,

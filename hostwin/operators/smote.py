@@ -148,10 +148,13 @@ def smote(df: DataFrame, features: list[str], key: str, label: str = "label",
         raise ValueError(f"minority already has {minority} of {majority} rows")
     if minority <= k:
         raise ValueError(f"{minority} minority rows are too few for {k} neighbours")
+    # Neutral names, so that any key or feature name will do.
+    names = [f"f{i}" for i in range(len(features))]
     rows = global_index(
         df.filter(F.col(label) == minor_label).select(
-            key, *[F.col(c).cast("double").alias(c) for c in features]), [key], "id")
-    near = nearest_neighbours(rows.drop(key), features, k, block_rows)
+            F.col(key).alias("_key"),
+            *[F.col(c).cast("double").alias(n) for c, n in zip(features, names)]), ["_key"], "id")
+    near = nearest_neighbours(rows.drop("_key"), names, k, block_rows)
     draws = df.sparkSession.range(wanted).select(
         F.col("id").alias("s"),
         F.pmod(hash_long(seed, "base", F.col("id")), F.lit(minority)).alias("id"),

@@ -78,9 +78,13 @@ VIEWS = {
 LOGS = ["auth", "proc", "flows", "dns", "redteam"]
 
 
+EVENTS = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+          "props string")
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base view over ``events``."""
-    return base_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return base_of(spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"))
 
 
 def base_of(events: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ def stream_features(rows: DataFrame, kind: str, width: int = WINDOW_SECONDS,
     Rows later than the watermark are dropped, and state older than it is released.
     """
     check_width(width)
-    timed = measured_rows(rows, kind).withColumn("ts", F.timestamp_seconds("time"))
+    usable = measured_rows(rows, kind).na.drop(subset=["time", "src_comp"])
+    timed = usable.withColumn("ts", F.timestamp_seconds("time"))
     measures = list(row_measures(kind))
     sums = timed.withWatermark("ts", watermark).groupBy(
         "src_comp", F.window("ts", f"{width} seconds").alias("w")).agg(
