@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostwin.operators.order import running_totals
-from hostwin.session import small_side
+from hostwin.session import pin, small_side
 
 METRICS = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
 ERROR_RATES = ["fp_rate", "miss_rate"]
@@ -31,7 +31,9 @@ def harmonic(p: Column, r: Column) -> Column:
 # Confusion counts
 
 def confusion(df: DataFrame) -> DataFrame:
-    """(model, y, pred, n)."""
+    """(model, y, pred, n). A table that has its counts already is returned as it is."""
+    if "n" in df.columns:
+        return df
     return df.groupBy("model", "y", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -182,28 +184,35 @@ def roc_curve(ranked: DataFrame, drop_collinear: bool = True) -> DataFrame:
             F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg"))
         same = (F.col("pos") == F.col("next_pos")) & (F.col("neg") == F.col("next_neg"))
         points = numbered.join(nxt, ["model", "at"], "left").filter(
-            F.col("next_pos").isNull() | ~same
-            | (F.col("at") == F.col("pos") + F.col("neg")))
+            F.col("next_pos").isNull() | ~same | _is_first())
     curve = points.select(
-        "model", F.col("score").alias("threshold"),
+        "model", F.col("score").alias("threshold"), _is_first().alias("first"),
         F.try_divide(F.col("neg_cum"), F.col("neg_total")).alias("fpr"),
         F.try_divide(F.col("pos_cum"), F.col("pos_total")).alias("tpr"))
-    origin = ranked.select("model").distinct().select(
-        "model", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"),
-        F.lit(0.0).alias("tpr"))
-    return curve.unionByName(origin)
+    return _with_end(curve, "fpr", "tpr", 0.0, 0.0)
+
+
+def _with_end(curve: DataFrame, x: str, y: str, end_x: float, end_y: float) -> DataFrame:
+    """Add the end of a curve that no score reaches, next to the first point."""
+    end = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(end_x).alias(x),
+                   F.lit(end_y).alias(y))
+    here = F.struct("threshold", x, y)
+    both = F.explode(F.when(F.col("first"), F.array(end, here)).otherwise(F.array(here)))
+    return curve.select("model", both.alias("p")).select("model", "p.*")
+
+
+# True for the highest score of a model.
+def _is_first() -> Column:
+    return (F.col("pos_cum") == F.col("pos")) & (F.col("neg_cum") == F.col("neg"))
 
 
 def pr_curve(ranked: DataFrame) -> DataFrame:
     """(model, threshold, precision, recall), and the closing point (1, 0)."""
     curve = ranked.select(
-        "model", F.col("score").alias("threshold"),
+        "model", F.col("score").alias("threshold"), _is_first().alias("first"),
         (F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))).alias("precision"),
         F.try_divide(F.col("pos_cum"), F.col("pos_total")).alias("recall"))
-    closing = ranked.select("model").distinct().select(
-        "model", F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
-        F.lit(0.0).alias("recall"))
-    return curve.unionByName(closing)
+    return _with_end(curve, "precision", "recall", 1.0, 0.0)
 
 
 def threshold_sweep(df: DataFrame, steps: int = 100) -> DataFrame:
@@ -234,11 +243,13 @@ def threshold_sweep(df: DataFrame, steps: int = 100) -> DataFrame:
 
 def _fill_grid(counts: DataFrame, at: str, first: int, last: int, values: list[str],
                keys: tuple[str, ...] = ("model",)) -> DataFrame:
-    """Counts with a row of zeros added where a grid position has none."""
-    zeros = counts.select(*keys).distinct().select(
-        *keys, F.explode(F.sequence(F.lit(first), F.lit(last))).alias(at),
-        *[F.lit(0).cast("bigint").alias(v) for v in values])
-    return counts.unionByName(zeros).groupBy(*keys, at).agg(*[F.sum(v).alias(v) for v in values])
+    """Counts with a row of zeros where a grid position has none; the grid is short."""
+    cells = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
+        F.struct(at, F.struct(*values)))).alias("cells"))
+    grid = cells.select(*keys, "cells", F.explode(F.sequence(F.lit(first), F.lit(last))).alias(at))
+    return grid.select(*keys, at, *[
+        F.coalesce(F.col("cells")[F.col(at)][v], F.lit(0)).alias(v)
+        for v in values])
 
 
 def score_histogram(df: DataFrame, bins: int = 30) -> DataFrame:
@@ -350,9 +361,10 @@ def report_tables(df: DataFrame, dataset: str, order: list[str] | None = None,
 
     Predictions are tuned first, as the metrics are those of the tuned predictions.
     """
-    ranked = rank_scores(df)
-    tuning = tune_threshold(ranked, recall, rule)
-    final = apply_tuning(df, tuning)
+    ranked = pin(rank_scores(df))
+    tuning = pin(tune_threshold(ranked, recall, rule))
+    # One pass counts the final predictions; the tables below come from the counts.
+    final = pin(confusion(apply_tuning(df, tuning)))
     comparison, errors = compare(final, ranked), error_rates(final)
     tables = {
         "comparison": comparison, "errors": errors, "tuning": tuning,

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostwin.functions.scalars import hash_long
+from hostwin.functions.scalars import hash_long, hash_unit
 from hostwin.operators.order import exact_quantiles, global_index
 
 SAMPLE_ROWS = 256
@@ -77,6 +77,10 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> dict[str, list
 def fit_iforest(df: DataFrame, features: list[str], key: str, trees: int = 200,
                 seed: int = 42, sample: int = SAMPLE_ROWS) -> dict:
     """Grow the trees, one small group each; a forest has at most trees * 2 * sample nodes."""
+    n, pool = df.count(), 4 * trees * sample
+    if n > 2 * pool:
+        # A repeatable draw of about ``pool`` rows in one scan; trees then sample from it.
+        df = df.filter(hash_unit(seed, "pool", F.col(key)) < F.lit(pool / n))
     indexed = global_index(df.select(key, *features), [key])
     n = indexed.count()
     size = min(sample, n)

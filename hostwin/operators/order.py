@@ -1,9 +1,9 @@
 """Global order: sorts, row positions, running totals and exact quantiles.
 
 None of these puts a whole table, or a whole group, in one task. Rows are range-sorted by
-Spark, which cuts them into contiguous parts of even size whatever the skew; the order is
-pinned by a checkpoint; only one row per part is then needed to turn positions within a
-part into global ones.
+Spark, which cuts them into contiguous parts of even size whatever the skew; the result is
+pinned as a table; only one row per part is then needed to turn positions within a part
+into global ones.
 """
 
 from __future__ import annotations

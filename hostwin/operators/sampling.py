@@ -11,7 +11,7 @@ from hostwin.functions.scalars import hash_long, hash_unit
 from hostwin.operators.datasets import semi_keys
 from hostwin.operators.order import global_index
 from hostwin.schemas import KEYS
-from hostwin.session import bounded_rows
+from hostwin.session import bounded_rows, pin
 
 # Negatives drawn on each side of a positive row.
 MIN_CONTEXT, MAX_CONTEXT = 75, 150
@@ -93,11 +93,13 @@ def context_balance(edr: DataFrame, xdr: DataFrame, lo: int = MIN_CONTEXT,
                     seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Keep positives and sampled negatives near them, the same rows in both tables.
 
-    The endpoint rows come back with their position ``idx`` in the full table.
+    The endpoint rows come back with their position ``idx`` in the full table. Only keys
+    and labels are sorted and sampled; the wide tables are then filtered by key.
     """
-    indexed = global_index(edr)
-    kept = indexed.join(context_positions(indexed, lo, hi, window, seed), "idx", "left_semi")
-    return kept, slice_like(xdr, kept)
+    indexed = global_index(edr.select(*KEYS, "label"))
+    positions = context_positions(indexed, lo, hi, window, seed)
+    kept = pin(indexed.join(positions, "idx", "left_semi").select("idx", *KEYS))
+    return edr.join(kept, KEYS).select("idx", *edr.columns), slice_like(xdr, kept)
 
 
 def poisson_weight(rate: float, *parts) -> Column:

@@ -32,7 +32,13 @@ def _nearest(queries: pd.DataFrame, others: pd.DataFrame, k: int):
     for f in range(q.shape[1]):
         d2 += (q[:, f, None] - o[None, :, f]) ** 2
     d2[queries["id"].to_numpy()[:, None] == others["id"].to_numpy()[None, :]] = np.inf
-    at = np.argsort(d2, axis=1, kind="stable")[:, :k]
+    # Only distances up to the k-th smallest of a row need sorting.
+    k = min(k, d2.shape[1])
+    limit = np.partition(d2, k - 1, axis=1)[:, k - 1]
+    row, col = np.nonzero(d2 <= limit[:, None])
+    order = np.lexsort((col, d2[row, col], row))
+    starts = np.searchsorted(row, np.arange(len(q)))
+    at = col[order][starts[:, None] + np.arange(k)]
     return others, at, np.take_along_axis(d2, at, axis=1)
 
 

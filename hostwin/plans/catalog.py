@@ -18,7 +18,7 @@ from hostwin.operators.models import (
     fit_rf_smote, importances, scored_rows, train_and_score)
 from hostwin.operators.smote import smote
 from hostwin.plans.flagship import Study, study_tables
-from hostwin.schemas import KEYS, LOG_COLUMNS, XDR_COLUMNS
+from hostwin.schemas import KEPT_DAYS, KEYS, LOG_COLUMNS, XDR_COLUMNS
 from hostwin.session import scratch_path
 from hostwin.sources import fixtures
 from hostwin.sources.tables import (
@@ -335,20 +335,21 @@ def draw_sizes(spark, sf_dir):
 
 @query
 def context_balance_edr(spark, sf_dir):
-    master = master_of(spark, sf_dir)
-    return sampling.context_balance(order.sort_filter(datasets.edr_of(master)), master)[0]
+    edr = filter_days(edr_of(spark, sf_dir), KEPT_DAYS)
+    return sampling.context_balance(edr, edr)[0]
 
 
 @query
 def context_balance_xdr(spark, sf_dir):
     master = master_of(spark, sf_dir)
-    return sampling.context_balance(order.sort_filter(datasets.edr_of(master)), master)[1]
+    edr = filter_days(datasets.edr_of(master), KEPT_DAYS)
+    return sampling.context_balance(edr, master)[1]
 
 
 @query
 def context_balance_tight(spark, sf_dir):
-    edr = edr_of(spark, sf_dir)
-    kept, _ = sampling.context_balance(order.sort_filter(edr), edr, 5, 10, 20, seed=7)
+    edr = filter_days(edr_of(spark, sf_dir), KEPT_DAYS)
+    kept, _ = sampling.context_balance(edr, edr, 5, 10, 20, seed=7)
     return kept.select("idx", *KEYS, "label")
 
 

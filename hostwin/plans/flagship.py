@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hostwin.functions.scalars import filter_days
 from hostwin.operators.datasets import build_master, edr_of
 from hostwin.operators.evaluate import report_tables
 from hostwin.operators.models import MODEL_NAMES, Settings, importances, train_and_score
-from hostwin.operators.order import sort_filter
 from hostwin.operators.prep import prepare
 from hostwin.operators.sampling import MAX_CONTEXT, MIN_CONTEXT, context_balance
 from hostwin.operators.splits import split_days, take
@@ -44,13 +44,12 @@ def study_tables(logs: dict[str, DataFrame], study: Study) -> dict[str, DataFram
     edr, xdr = edr_of(master), master
     if study.balance == "context":
         edr, xdr = context_balance(
-            sort_filter(edr, study.keep_days), xdr, study.min_context, study.max_context,
+            filter_days(edr, study.keep_days), xdr, study.min_context, study.max_context,
             study.max_context, study.seed)
         edr = edr.drop("idx")
     elif study.balance != "none":
         raise ValueError(f"unknown balance '{study.balance}'")
-    kept = F.col("day").isin(study.keep_days)
-    return {name: split_days(df.filter(kept), study.train_days, study.test_days)
+    return {name: split_days(filter_days(df, study.keep_days), study.train_days, study.test_days)
             for name, df in (("EDR", edr), ("XDR", xdr))}
 
 
