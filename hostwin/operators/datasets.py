@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostwin.operators.features import (
-    FEATURES, derived_features, keyed_rows, redteam_rows, row_measures, sum_of)
+    FEATURES, derived_features, keyed_rows, redteam_rows, sum_of)
 from hostwin.schemas import EDR_COLUMNS, KEYS, WINDOW_SECONDS, XDR_COLUMNS
 
 
@@ -52,7 +52,7 @@ def build_master(logs: dict[str, DataFrame], width: int = WINDOW_SECONDS,
     parts = [keyed_rows(logs[kind], kind, width) for kind in FEATURES]
     parts.append(redteam_rows(logs["redteam"], width).withColumn("label", F.lit(1)))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    measures = [n for kind in FEATURES for n in row_measures(kind)]
+    measures = [c for c in rows.columns if c not in (*KEYS, "label")]
     table = rows.groupBy(*KEYS).agg(
         *[sum_of(n) for n in measures], F.coalesce(F.max("label"), F.lit(0)).alias("label"))
     seen = F.col("auth_total") + F.col("proc_events")

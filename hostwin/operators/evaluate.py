@@ -356,13 +356,16 @@ def top_features(importances: DataFrame, n: int = 15) -> DataFrame:
 
 
 def report_tables(df: DataFrame, dataset: str, order: list[str] | None = None,
-                  recall: float = 0.80, rule: str = "first") -> dict[str, DataFrame]:
+                  recall: float = 0.80, rule: str = "first",
+                  tune_on: DataFrame | None = None) -> dict[str, DataFrame]:
     """All evaluation tables of one dataset, each with a ``dataset`` column.
 
-    Predictions are tuned first, as the metrics are those of the tuned predictions.
+    Predictions are tuned first, as the metrics are those of the tuned predictions. The
+    cut-offs come from the scored frame ``tune_on``, or from ``df`` itself if not given.
     """
     ranked = pin(rank_scores(df))
-    tuning = pin(tune_threshold(ranked, recall, rule))
+    basis = ranked if tune_on is None else rank_scores(tune_on)
+    tuning = pin(tune_threshold(basis, recall, rule))
     # One pass counts the final predictions; the tables below come from the counts.
     final = pin(confusion(apply_tuning(df, tuning)))
     comparison, errors = compare(final, ranked), error_rates(final)

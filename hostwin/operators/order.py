@@ -28,7 +28,7 @@ def sort_filter(df: DataFrame, days: list[int] = KEPT_DAYS) -> DataFrame:
     types = dict(df.dtypes)
     if types["day"] != "bigint" or types["win"] != "bigint":
         df = drop_unparseable(df, "day", "win")
-    return chrono(filter_days(df, days))
+    return chrono(filter_days(df, days).na.drop(subset=["win"]))
 
 
 def ranged(df: DataFrame, order: list) -> DataFrame:

@@ -27,6 +27,8 @@ class Study:
     keep_days: list[int] = field(default_factory=lambda: list(KEPT_DAYS))
     train_days: list[int] = field(default_factory=lambda: list(TRAIN_DAYS))
     test_days: list[int] = field(default_factory=lambda: list(TEST_DAYS))
+    # Training days used to choose cut-offs, not to fit; with none, the test rows choose.
+    validation_days: list[int] = field(default_factory=list)
     balance: str = "none"  # or "context"
     min_context: int = MIN_CONTEXT
     max_context: int = MAX_CONTEXT
@@ -56,13 +58,21 @@ def study_tables(logs: dict[str, DataFrame], study: Study) -> dict[str, DataFram
 def evaluate_dataset(name: str, train: DataFrame, test: DataFrame,
                      study: Study) -> dict[str, DataFrame]:
     """Prepare, train and score one dataset; all report tables and the feature importances."""
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("row_id", F.concat_ws("|", *KEYS))
+    def keyed(df: DataFrame, fold: str) -> DataFrame:
+        return df.withColumn("row_id", F.concat_ws("|", F.lit(fold), *KEYS))
 
-    prep = prepare(keyed(train), keyed(test), study.include_time, keep=["row_id"])
+    held = F.col("day").isin(study.validation_days) if study.validation_days else F.lit(False)
+    fit_on = keyed(train.filter(~held), "train")
+    to_score = keyed(test, "test")
+    if study.validation_days:
+        to_score = to_score.unionByName(keyed(train.filter(held), "valid"))
+    prep = prepare(fit_on, to_score, study.include_time, keep=["row_id"])
     fitted, scored = train_and_score(prep, "row_id", study.models, study.settings)
     scored = pin(scored)
-    tables = report_tables(scored, name, study.models, study.target_recall, study.tuning_rule)
+    valid = F.startswith("row_id", F.lit("valid|"))
+    tables = report_tables(
+        scored.filter(~valid), name, study.models, study.target_recall, study.tuning_rule,
+        scored.filter(valid) if study.validation_days else None)
     weights = importances(train.sparkSession, fitted, prep.features)
     tables["importances"] = weights.select(F.lit(name).alias("dataset"), "*")
     return tables

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostwin.functions.scalars import null_tokens
-from hostwin.schemas import LOG_COLUMNS, log_schema, master_schema
+from hostwin.schemas import LOG_COLUMNS, XDR_COLUMNS, log_schema, master_schema
 
 
 def read_log(spark: SparkSession, kind: str, path: str | list[str],
@@ -46,12 +46,15 @@ def read_master(spark: SparkSession, path: str, fmt: str = "parquet",
                 file_columns: list[str] | None = None) -> DataFrame:
     """A feature table, optionally only some columns.
 
-    ``file_columns`` gives the CSV header in order, so that no inference pass is needed.
+    The types of a CSV file follow from its column names, so that no inference pass over the
+    data is needed; ``file_columns`` gives the names without even reading the header. A file
+    with names that are not features stays text.
     """
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("enforceSchema", False)
-        if file_columns:
-            reader = reader.schema(master_schema(file_columns))
+        reader = spark.read.option("header", True).option("escape", '"')
+        names = file_columns or reader.csv(path).columns
+        if set(names) <= set(XDR_COLUMNS):
+            reader = reader.schema(master_schema(names)).option("enforceSchema", False)
         df = reader.csv(path)
     else:
         df = spark.read.format(fmt).load(path)

@@ -43,6 +43,7 @@ def test_csv_master_keeps_types(spark, path):
     back = tables.read_master(spark, path, "csv", file_columns=names)
     assert back.dtypes == row.dtypes and back.exceptAll(row).count() == 0
     assert tables.read_master(spark, path, "csv", ["day"], names).columns == ["day"]
+    assert tables.read_master(spark, path, "csv").dtypes == row.dtypes
 
 
 def test_sorted_parts_are_in_order(spark, path):

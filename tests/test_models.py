@@ -105,7 +105,7 @@ def test_whole_study(spark, sf, tmp_path):
     b = fixtures.base(spark, sf)
     logs = {k: null_tokens(fixtures.view_of(b, k)) for k in fixtures.LOGS}
     study = Study(width=21_600, settings=SMALL, tuning_rule="max_threshold", balance="context",
-                  models=["Logistic Regression", "SGD SVM"])
+                  validation_days=[20, 21, 22], models=["Logistic Regression", "SGD SVM"])
     written = run_study(logs, str(tmp_path), study)
     assert len(written) == 22
     report = spark.read.parquet(str(tmp_path / "report" / "comparison"))
@@ -113,3 +113,6 @@ def test_whole_study(spark, sf, tmp_path):
         (d, m) for d in ("EDR", "XDR") for m in study.models}
     tables = [spark.read.parquet(str(tmp_path / "tables" / d)) for d in ("EDR", "XDR")]
     assert tables[0].count() == tables[1].count() > 0
+    cells = spark.read.parquet(str(tmp_path / "report" / "errors")).first()
+    tested = tables[0].filter("split = 'test'").count()
+    assert cells.tn + cells.fp + cells.fn + cells.tp == tested
