@@ -18,10 +18,8 @@ def null_tokens(df: DataFrame, cols: Iterable[str] | None = None,
     """Replace the texts that mean "missing" by NULL, by default in every text column."""
     chosen = {n for n, t in df.dtypes if t == "string"} if cols is None else set(cols)
     listed = ", ".join("'" + t.replace("'", "''") + "'" for t in tokens)
-    return df.selectExpr(*[
-        f"case when `{c}` not in ({listed}) then `{c}` end as `{c}`" if c in chosen else f"`{c}`"
-        for c in df.columns
-    ])
+    return map_columns(df, {
+        c: f"case when `{c}` not in ({listed}) then `{c}` end" for c in chosen})
 
 
 def to_num(c: Column) -> Column:
@@ -85,12 +83,17 @@ def safe_ratio(n: Column, d: Column) -> Column:
 
 def clean_inf(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Replace infinities and NaN by NULL."""
-    chosen = set(cols)
-    return df.select(*[
-        F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c)).alias(c)
-        if c in chosen else F.col(c)
-        for c in df.columns
-    ])
+    finite = "case when not isnan(`{0}`) and abs(`{0}`) <> double('Infinity') then `{0}` end"
+    return map_columns(df, {c: finite.format(c) for c in cols})
+
+
+def map_columns(df: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """Replace columns by SQL expressions, keeping the others and the order.
+
+    One call for any number of columns: wide tables would otherwise need thousands.
+    """
+    return df.selectExpr(*[f"{texts[c]} as `{c}`" if c in texts else f"`{c}`"
+                           for c in df.columns])
 
 
 def drop_unparseable(df: DataFrame, *cols: str) -> DataFrame:

@@ -84,7 +84,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], q: float) -> DataFrame:
     NULL and NaN are left out. Equal values are counted together before they are sorted,
     so a column with few distinct values costs next to nothing.
     """
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+    long = df.selectExpr(*[f"cast(`{c}` as double) as `{c}`" for c in cols]).unpivot(
         [], cols, "feature", "value")
     counts = (long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
               .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))

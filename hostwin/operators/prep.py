@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostwin.functions.scalars import clean_inf
+from hostwin.functions.scalars import clean_inf, map_columns
 from hostwin.operators.order import exact_quantiles
 from hostwin.session import bounded_rows
 
@@ -52,20 +52,20 @@ def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
 
 def as_double(df: DataFrame, cols: list[str]) -> DataFrame:
     """Cast columns to DOUBLE, so that a fractional median is not cut off."""
-    return df.withColumns({c: F.col(c).cast("double") for c in cols})
+    return map_columns(df, {c: f"cast(`{c}` as double)" for c in cols})
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation; a constant column gets deviation 1."""
-    row = df.agg(*[f(c).alias(f"{p}_{c}") for c in cols
-                   for p, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
-    return {c: (row[f"mean_{c}"], row[f"std_{c}"] or 1.0) for c in cols}
+    row = df.agg(*[F.expr(f"struct(avg(`{c}`) as mean, stddev_pop(`{c}`) as std)").alias(c)
+                   for c in cols]).first()
+    return {c: (row[c]["mean"], row[c]["std"] or 1.0) for c in cols}
 
 
 def scale(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
     """Subtract the mean and divide by the deviation."""
-    return df.withColumns({
-        c: (F.col(c) - F.lit(mean)) / F.lit(std) for c, (mean, std) in stats.items()})
+    return map_columns(df, {c: f"(`{c}` - double('{mean!r}')) / double('{std!r}')"
+                            for c, (mean, std) in stats.items()})
 
 
 def label_codes(train: DataFrame, target: str) -> list:

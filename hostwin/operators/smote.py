@@ -5,6 +5,9 @@ cut into blocks; each block first finds neighbours among its own rows, which bou
 far the true neighbours can be; a second pass compares it only with the blocks whose
 bounding box comes that close. A task never holds more than two blocks, and at most ``k``
 neighbours per row and block pair leave it.
+
+Equal rows are taken out first: beyond ``k + 1`` copies none can be a nearest neighbour, and
+its own neighbours are the first copies. However many copies there are, few are compared.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from hostwin.session import pin
 BLOCK_ROWS = 1024
 # Up to this many blocks every pair of blocks is checked against the bounding boxes.
 FEW_BLOCKS = 64
+# Parts in which the copies of one row are looked up.
+SALTS = 16
 
 
 def _nearest(queries: pd.DataFrame, others: pd.DataFrame, k: int):
@@ -42,12 +47,39 @@ def _nearest(queries: pd.DataFrame, others: pd.DataFrame, k: int):
     return others, at, np.take_along_axis(d2, at, axis=1)
 
 
-def _blocks(rows: DataFrame, features: list[str], block_rows: int) -> DataFrame:
-    """(id, block, r, vec), blocks being runs of rows by distance from the centroid."""
+def _placed(rows: DataFrame, features: list[str]) -> DataFrame:
+    """(id, r, vec): each row with its distance from the centroid."""
     centre = rows.agg(*[F.avg(c).alias(c) for c in features]).first()
     away = F.sqrt(sum(F.pow(F.col(c) - F.lit(centre[c]), 2) for c in features))
-    placed = global_index(
-        rows.select("id", away.alias("r"), F.array(*features).alias("vec")), ["r", "id"], "at")
+    return pin(rows.select("id", away.alias("r"), F.array(*features).alias("vec")))
+
+
+def _first_copies(placed: DataFrame, k: int) -> DataFrame:
+    """The first ``k + 1`` of equal rows, by id. The limit is applied before the shuffle."""
+    copies = Window.partitionBy("vec").orderBy("id")
+    return pin(placed.withColumn("copy", F.row_number().over(copies)).filter(
+        F.col("copy") <= k + 1))
+
+
+def _later_copies(placed: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """Neighbours of all further copies: the first ``k`` copies of the same row."""
+    # One short array per row that has further copies, in SALTS parts as copies may be many.
+    lists = first.groupBy("vec").agg(
+        F.max("copy").alias("copies"),
+        F.sort_array(F.collect_list("id")).alias("ids")).filter(F.col("copies") > k)
+    salted = lists.select("vec", F.slice("ids", 1, k).alias("ids"), F.explode(
+        F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    later = placed.join(first.select("id"), "id", "left_anti").select(
+        "id", "vec", F.pmod("id", F.lit(SALTS)).cast("int").alias("salt"))
+    return later.join(salted, ["vec", "salt"]).select(
+        "id", "vec", F.posexplode("ids").alias("pos", "nbr")).select(
+        "id", "vec", "nbr", F.col("vec").alias("nbr_vec"), F.lit(0.0).alias("d2"),
+        (F.col("pos") + 1).alias("rank"))
+
+
+def _blocks(first: DataFrame, block_rows: int) -> DataFrame:
+    """(id, block, r, vec), blocks being runs of rows by distance from the centroid."""
+    placed = global_index(first.select("id", "r", "vec"), ["r", "id"], "at")
     return placed.select("id", F.floor(F.col("at") / block_rows).alias("block"), "r", "vec")
 
 
@@ -78,8 +110,10 @@ def _block_range(boxes: DataFrame) -> DataFrame:
         return running_totals(both, ["g"], ["v", "tie", "block"], ["one"]).filter(
             "block is not null").select("block", F.col("one_cum").alias("n"))
 
-    low = count_upto(F.col("r_hi"), F.col("r_lo") - F.col("far"), False)
-    high = count_upto(F.col("r_lo"), F.col("r_hi") + F.col("far"), True)
+    # The distances from the centroid are rounded themselves, so leave room for that too.
+    reach = F.col("far") + F.col("r_hi") * 1e-12
+    low = count_upto(F.col("r_hi"), F.col("r_lo") - reach, False)
+    high = count_upto(F.col("r_lo"), F.col("r_hi") + reach, True)
     return (boxes.join(low.withColumnRenamed("n", "first"), "block")
             .join(high.select("block", (F.col("n") - 1).alias("last")), "block"))
 
@@ -115,7 +149,9 @@ def nearest_neighbours(rows: DataFrame, features: list[str], k: int = 5,
 
     ``rows`` has a BIGINT ``id`` and DOUBLE features.
     """
-    blocks = _with_reach(_blocks(rows, features, block_rows), k)
+    placed = _placed(rows, features)
+    first = _first_copies(placed, k)
+    blocks = _with_reach(_blocks(first, block_rows), k)
     pairs = pin(_block_pairs(blocks, len(features)))
     asking = pairs.join(blocks, pairs.a == blocks.block).select("a", "b", "id", "vec", "reach")
     # New names, as both sides of the meeting come from the same two tables.
@@ -136,7 +172,8 @@ def nearest_neighbours(rows: DataFrame, features: list[str], k: int = 5,
     found = asking.groupBy("a", "b").cogroup(asked.groupBy("a2", "b2")).applyInPandas(
         meet, "id bigint, vec array<double>, nbr bigint, nbr_vec array<double>, d2 double")
     best = Window.partitionBy("id").orderBy("d2", "nbr")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    near = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return near.unionByName(_later_copies(placed, first, k))
 
 
 def smote(df: DataFrame, features: list[str], key: str, label: str = "label",

@@ -81,7 +81,7 @@ def evaluate_dataset(name: str, train: DataFrame, test: DataFrame,
 def run_study(logs: dict[str, DataFrame], path: str, study: Study | None = None) -> list[str]:
     """Build, split, train and evaluate EDR and XDR; write the tables under ``path``.
 
-    Tables go to ``path/tables/<dataset>`` by split and day, reports to
+    Tables go to ``path/tables/<dataset>`` by split, reports to
     ``path/report/<section>`` with one folder per dataset.
     """
     study = study or Study()

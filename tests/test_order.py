@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostwin.operators import order, splits
+from hostwin.session import bounded_rows, small_side
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,13 @@ def test_splits(spark):
     fixed = splits.split_days(df, [1, 2, 3], [3, 4])
     assert {r.day: r.split for r in fixed.collect()} == {
         1: "train", 2: "train", 3: "train", 4: "test"}
+
+
+def test_small_side_checks_its_size(spark):
+    small, large = (small_side(spark.range(n), limit=10) for n in (10, 11))
+    hint = "strategy=broadcast"
+    plans = [df._jdf.queryExecution().analyzed().toString() for df in (small, large)]
+    assert hint in plans[0] and hint not in plans[1]
+    assert small.count() == 10 and large.count() == 11
+    with pytest.raises(ValueError, match="more than 10 classes"):
+        bounded_rows(spark.range(11), "classes", limit=10)

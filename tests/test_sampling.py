@@ -80,6 +80,18 @@ def test_neighbours_equal_brute_force(spark, block_rows, copies):
         (i, j + 1): int(want[i, j]) for i in range(150) for j in range(4)}
 
 
+def test_many_copies_are_not_compared(spark):
+    """Only k + 1 of 20,000 equal rows take part in the search."""
+    rows = spark.range(20_300).select("id", F.when(F.col("id") < 20_000, 1.0).otherwise(
+        F.col("id").cast("double")).alias("a"))
+    near = nearest_neighbours(rows, ["a"], 3).cache()
+    assert near.count() == 3 * 20_300
+    copies = near.filter("id between 3 and 19999").agg(
+        F.max("nbr"), F.max("d2"), F.count_distinct("id")).first()
+    assert tuple(copies) == (2, 0.0, 19_997)
+    assert {r.nbr for r in near.filter("id = 1").collect()} == {0, 2, 3}
+
+
 def test_smote_counts_and_place(spark):
     rows = spark.range(400).select(
         F.col("id"), (F.col("id") % 10 == 0).cast("int").alias("label"),
