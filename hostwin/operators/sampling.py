@@ -94,7 +94,8 @@ def context_balance(edr: DataFrame, xdr: DataFrame, lo: int = MIN_CONTEXT,
     """Keep positives and sampled negatives near them, the same rows in both tables.
 
     The endpoint rows come back with their position ``idx`` in the full table. Only keys
-    and labels are sorted and sampled; the wide tables are then filtered by key.
+    and labels are sorted and sampled; the wide tables are then filtered by key. Both are
+    read more than once, so pass stored tables rather than ones still to be computed.
     """
     indexed = global_index(edr.select(*KEYS, "label"))
     positions = context_positions(indexed, lo, hi, window, seed)

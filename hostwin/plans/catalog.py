@@ -19,7 +19,7 @@ from hostwin.operators.models import (
 from hostwin.operators.smote import smote
 from hostwin.plans.flagship import Study, study_tables
 from hostwin.schemas import KEPT_DAYS, KEYS, LOG_COLUMNS, XDR_COLUMNS
-from hostwin.session import scratch_path
+from hostwin.session import pin, scratch_path
 from hostwin.sources import fixtures
 from hostwin.sources.tables import (
     read_log, read_logs, read_master, read_text, write_sorted, write_split,
@@ -333,22 +333,26 @@ def draw_sizes(spark, sf_dir):
     return sampling.draw_sizes(_indexed(spark, sf_dir).filter("label = 1").select("idx"))
 
 
+def _study_master(spark, sf_dir):
+    """The stored master of the kept days: balancing reads it more than once."""
+    return pin(filter_days(master_of(spark, sf_dir), KEPT_DAYS))
+
+
 @query
 def context_balance_edr(spark, sf_dir):
-    edr = filter_days(edr_of(spark, sf_dir), KEPT_DAYS)
-    return sampling.context_balance(edr, edr)[0]
+    master = _study_master(spark, sf_dir)
+    return sampling.context_balance(datasets.edr_of(master), master)[0]
 
 
 @query
 def context_balance_xdr(spark, sf_dir):
-    master = master_of(spark, sf_dir)
-    edr = filter_days(datasets.edr_of(master), KEPT_DAYS)
-    return sampling.context_balance(edr, master)[1]
+    master = _study_master(spark, sf_dir)
+    return sampling.context_balance(datasets.edr_of(master), master)[1]
 
 
 @query
 def context_balance_tight(spark, sf_dir):
-    edr = filter_days(edr_of(spark, sf_dir), KEPT_DAYS)
+    edr = datasets.edr_of(_study_master(spark, sf_dir))
     kept, _ = sampling.context_balance(edr, edr, 5, 10, 20, seed=7)
     return kept.select("idx", *KEYS, "label")
 

@@ -105,7 +105,7 @@ def test_whole_study(spark, sf, tmp_path):
     b = fixtures.base(spark, sf)
     logs = {k: null_tokens(fixtures.view_of(b, k)) for k in fixtures.LOGS}
     study = Study(width=21_600, settings=SMALL, tuning_rule="max_threshold", balance="context",
-                  validation_days=[20, 21, 22], models=["Logistic Regression", "SGD SVM"])
+                  validation_days=[20, 21, 22], models=["Logistic Regression"])
     written = run_study(logs, str(tmp_path), study)
     assert len(written) == 22
     report = spark.read.parquet(str(tmp_path / "report" / "comparison"))
