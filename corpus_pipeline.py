@@ -1,14 +1,54 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``.
+
+Each stage takes the documents that its predecessor kept and is stored before the next one reads
+it. All but the last return the columns of ``documents``; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from hostwin.llm import langid, mixing, packing, secrets, simhash
+from hostwin.llm.queries import tokenizer_file
+from hostwin.session import pin
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; texts without letters or without clear language go."""
+    return langid.keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark and lengths counted anew."""
+    return secrets.redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with probabilities raked to evened-out source, language and topic shares."""
+    return mixing.keep_mixed(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4096 tokens, neighbours on the curve together."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), with_ids=False).withColumnRenamed(
+        "id", "doc_id")
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secret_scan),
+          ("mixture", mixture), ("packing", packed)]
+
+#: No SQL states the language model, the tests for randomness or the curve; see tests/llm.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = pin(stage(spark, docs, sf_dir))
     return docs

@@ -99,14 +99,12 @@ def chunk_pairs(df: DataFrame, key: str, member: str, most: int) -> DataFrame:
 def attach(df: DataFrame, facts: DataFrame, key: str, salts: int = 32) -> DataFrame:
     """Left join of one row per ``key``; a key with a third of ``df`` is dealt over ``salts``.
 
-    Only the salts that a key really has in ``df`` are made on the side of ``facts``.
-    NULL keys find nothing and stay spread.
+    The salt is a hash of the row, and only the salts that a key really has in ``df`` are made on
+    the side of ``facts``. NULL keys find nothing and stay spread. ``df`` is read twice.
     """
-    dealt = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    dealt = pin(dealt)
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
     wanted = dealt.filter(F.col(key).isNotNull()).select(key, "_salt").distinct()
-    facts = wanted.join(facts, key)
-    return dealt.join(facts, [key, "_salt"], "left").drop("_salt")
+    return dealt.join(wanted.join(facts, key), [key, "_salt"], "left").drop("_salt")
 
 
 def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

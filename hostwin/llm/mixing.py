@@ -92,12 +92,35 @@ def mix_documents(docs: DataFrame, power: float = 0.7, rounds: int = 12, seed: s
     Documents with the same id share a draw; NULL ids draw as ''. An empty table gives no rows.
     """
     rows = labelled(docs, topic, id_col, text)
+    return (join_cells(rows, cell_odds(rows, power, rounds, keep, targets))
+            .withColumn("draw", draw_of("id", seed))
+            .withColumn("kept", F.col("draw") < F.col("probability")))
+
+
+def cell_odds(rows: DataFrame, power: float = 0.7, rounds: int = 12, keep: float = 0.8,
+              targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(source, lang, topic, probability) of every cell of labelled rows, stored."""
     cells = pin(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     targets = targets or {d: pin(tempered(cells, d, power)) for d in DIMENSIONS}
-    odds = calibrated(rake(cells, targets, rounds), keep).select(*DIMENSIONS, "probability")
-    draw = hash_unit(seed, F.coalesce(F.col("id").cast("string"), F.lit("")))
-    return (join_cells(rows, pin(odds)).withColumn("draw", draw)
-            .withColumn("kept", F.col("draw") < F.col("probability")))
+    return pin(calibrated(rake(cells, targets, rounds), keep).select(*DIMENSIONS, "probability"))
+
+
+def draw_of(id_col: str, seed: str) -> Column:
+    """The draw of an id in [0, 1)."""
+    return hash_unit(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+
+
+def keep_mixed(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text: str = "text",
+               **options) -> DataFrame:
+    """The documents that :func:`mix_documents` keeps, with their columns."""
+    odds = cell_odds(labelled(docs, None, id_col, text), **options).select(
+        *[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
+    named = docs.withColumns({"_source": F.coalesce("source", F.lit("")),
+                              "_lang": F.coalesce("lang", F.lit("")),
+                              "_topic": register_topic(F.col(text)), "_id": F.col(id_col)})
+    dims = [f"_{d}" for d in DIMENSIONS]
+    return (join_cells(named, odds, dims, "_id").filter(draw_of(id_col, seed) < F.col("_probability"))
+            .select(*docs.columns))
 
 
 def labelled(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id",
@@ -109,15 +132,16 @@ def labelled(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id
                        word_count(F.col(text)).alias("tokens"))
 
 
-def join_cells(rows: DataFrame, odds: DataFrame, salts: int = 64) -> DataFrame:
+def join_cells(rows: DataFrame, odds: DataFrame, dims: list[str] = DIMENSIONS, id_col: str = "id",
+               salts: int = 64) -> DataFrame:
     """Give rows the facts of their cell; a hot cell is dealt over ``salts``.
 
     The planner broadcasts the stored cells while they are small. Beyond that both sides are
     shuffled on cell and salt, and a cell is repeated once per salt.
     """
     dealt = odds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
-    return (rows.withColumn("_salt", salt).join(dealt, [*DIMENSIONS, "_salt"]).drop("_salt"))
+    salt = F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")
+    return rows.withColumn("_salt", salt).join(dealt, [*dims, "_salt"]).drop("_salt")
 
 
 def oracle(power: float = 0.7, rounds: int = 12, seed: str = "mix", keep: float = 0.8) -> str:

@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostwin.llm import mixing
+from hostwin.llm.caps import near_vectors
 from hostwin.llm.common import read_table
+from hostwin.llm.graph_ann import nearest
+from hostwin.llm.langid import identify_held_out
+from hostwin.llm.lattice import score_documents
+from hostwin.llm.packing import pack
+from hostwin.llm.secrets import KINDS, find_secrets, written
 from hostwin.llm.sharding import assign_shards
+from hostwin.llm.simhash import hex_print, near_duplicates
 from hostwin.llm.warc import (
     mark_revisits, page_number, read_archives, write_archives)
 from hostwin.session import pin, scratch_path
@@ -24,6 +31,25 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary of the public tokenizers, which every machine has installed."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = find_secrets(read_table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(kind))).cast("bigint")
+
+    base = F.filter("spans", lambda s: s["kind"] < KINDS.index("random"))
+    return found.select(F.col("id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in KINDS],
+                        F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC archives and read back."""
@@ -34,6 +60,20 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         page_number("refers_to").alias("refers_to"))
 
 
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens, along the curve."""
+    pieces = pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"),
+                  with_ids=False)
+    return pieces.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op4_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every 20th vector."""
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its raked sampling probability and decision."""
@@ -43,6 +83,34 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round("draw", 9).alias("draw"), "kept")
 
 
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with fingerprint and near-duplicate component."""
+    groups = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), hex_print("fp").alias("fingerprint"),
+                         F.col("component").alias("component_id"))
+
+
+@query
+def op7_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with their number of near-duplicates and component."""
+    return near_vectors(read_table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the subword lattice, beside the add-one base."""
+    scored = score_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return identify_held_out(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 shards that are even in bytes, tokens and rows."""
@@ -53,7 +121,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for each query of this package that SQL can express."""
-    return {"op5_mixing": mixing.oracle(), "op2_warc": WARC_SQL}
+    return {"op2_warc": WARC_SQL, "op5_mixing": mixing.oracle(), "op7_caps": CAPS_SQL}
 
 
 WARC_SQL = """
@@ -70,3 +138,18 @@ select page_id, payload_bytes,
  case when page_id = first then 'response' else 'revisit' end as record_type,
  case when page_id <> first then first end as refers_to from b
 """
+
+CAPS_SQL = """
+with recursive v as (select row_number() over () as r, vec_id, label, embedding::double[] as e from embeddings),
+u as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v
+ where label is not null and e is not null and len(e) > 0
+ and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as materialized (select a.r as src, b.r as dst, b.vec_id as other from u a join u b
+ on a.label = b.label and len(a.e) = len(b.e) and a.r <> b.r
+ where list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach as (select r as src, r as dst from v union select reach.src, links.dst from reach join links on reach.dst = links.src),
+least as (select src, min(vec_id) as component_id from reach join v on v.r = reach.dst group by src),
+n as (select src, count(*) as n_links from links group by src)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from v join least on least.src = v.r left join n on n.src = v.r
+"""
