@@ -31,6 +31,14 @@ def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     return pin(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A beginning that no column name of ``df`` has, for helper columns beside any others."""
+    prefix = "_h"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "h"
+    return prefix
+
+
 def stratum(uid: str | Column, n: int) -> Column:
     """A number in [0, n) that deals rows evenly, whatever their values."""
     return F.pmod(F.xxhash64(uid), F.lit(n)).cast("int")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostwin.functions.scalars import hash_unit
+from hostwin.llm.common import free_prefix
 from hostwin.session import pin
 
 DIMENSIONS = ["source", "lang", "topic"]
@@ -113,14 +114,13 @@ def draw_of(id_col: str, seed: str) -> Column:
 def keep_mixed(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text: str = "text",
                **options) -> DataFrame:
     """The documents that :func:`mix_documents` keeps, with their columns."""
-    odds = cell_odds(labelled(docs, None, id_col, text), **options).select(
-        *[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
-    named = docs.withColumns({"_source": F.coalesce("source", F.lit("")),
-                              "_lang": F.coalesce("lang", F.lit("")),
-                              "_topic": register_topic(F.col(text)), "_id": F.col(id_col)})
-    dims = [f"_{d}" for d in DIMENSIONS]
-    return (join_cells(named, odds, dims, "_id").filter(draw_of(id_col, seed) < F.col("_probability"))
-            .select(*docs.columns))
+    own = free_prefix(docs)
+    dims = [own + d for d in DIMENSIONS]
+    odds = cell_odds(labelled(docs, None, id_col, text), **options).toDF(*dims, own + "p")
+    named = docs.withColumns(dict(zip(dims, (
+        F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), register_topic(F.col(text))))))
+    return (join_cells(named, odds, dims, id_col, salt=own + "salt")
+            .filter(draw_of(id_col, seed) < F.col(own + "p")).drop(*dims, own + "p"))
 
 
 def labelled(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id",
@@ -133,15 +133,15 @@ def labelled(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id
 
 
 def join_cells(rows: DataFrame, odds: DataFrame, dims: list[str] = DIMENSIONS, id_col: str = "id",
-               salts: int = 64) -> DataFrame:
+               salts: int = 64, salt: str = "_salt") -> DataFrame:
     """Give rows the facts of their cell; a hot cell is dealt over ``salts``.
 
     The planner broadcasts the stored cells while they are small. Beyond that both sides are
     shuffled on cell and salt, and a cell is repeated once per salt.
     """
-    dealt = odds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")
-    return rows.withColumn("_salt", salt).join(dealt, [*dims, "_salt"]).drop("_salt")
+    dealt = odds.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")
+    return rows.withColumn(salt, own).join(dealt, [*dims, salt]).drop(salt)
 
 
 def oracle(power: float = 0.7, rounds: int = 12, seed: str = "mix", keep: float = 0.8) -> str:

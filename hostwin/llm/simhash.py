@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostwin.llm.common import Batches, attach, chunk_pairs, map_runs, slices
+from hostwin.llm.common import Batches, attach, chunk_pairs, free_prefix, map_runs, slices, with_uid
 from hostwin.llm.components import connected_components
 from hostwin.session import pin
 
@@ -200,17 +200,16 @@ def hex_print(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without near-duplicates: one row per component stays, that of its id.
 
     Rows are numbered first, so of several rows with the kept id one stays; which is decided by
     the row number, as with NULL ids.
     """
-    from hostwin.llm.common import with_uid
-    rows = with_uid(docs, "_uid")
-    groups = pin(near_duplicates(rows.select(F.struct(F.col(id_col).isNull().alias("none"),
-                                                      F.col(id_col).alias("id"), "_uid").alias("_id"),
-                                             F.col(options.get("text", "text")).alias("text")),
-                                 "_id", **{k: v for k, v in options.items() if k != "text"}))
-    kept = groups.filter(F.col("id._uid") == F.col("component._uid")).select(F.col("id._uid").alias("_uid"))
-    return rows.join(kept, "_uid", "left_semi").drop("_uid")
+    uid = free_prefix(docs)
+    rows = with_uid(docs, uid)
+    # NULL ids come last, so that the smallest is an id wherever there is one.
+    whole = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(uid).alias("uid"))
+    groups = pin(near_duplicates(rows.select(whole.alias("id"), F.col(text).alias("text")), "id", **options))
+    kept = groups.filter(F.col("id.uid") == F.col("component.uid")).select(F.col("id.uid").alias(uid))
+    return rows.join(kept, uid, "left_semi").drop(uid)
