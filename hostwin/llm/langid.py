@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostwin.llm.common import Batches, slices
+from hostwin.llm.common import Batches, free_prefix, slices
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -151,7 +151,7 @@ class Scorer:
         return np.zeros(len(model.languages), np.float32)
 
     def rows_of(self, words: list[str]) -> list[int]:
-        """Row numbers of the costs of words."""
+        """Row numbers of the costs of words, of which there may be as many as are remembered."""
         rows = list(map(self.at.get, words))
         if None in rows:
             missing = {w for w, r in zip(words, rows) if r is None}
@@ -159,6 +159,7 @@ class Scorer:
                 for w in self.extra:
                     del self.at[w]
                 self.extra = []
+                missing = {w for w in words if w not in self.at}
             for w in missing:
                 row = len(self.model.words) + len(self.extra)
                 self.costs[row] = self.unseen(w)
@@ -177,7 +178,7 @@ class Scorer:
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.model.languages))
-        step = max(1, self.remembered // 2)
+        step = self.remembered
         for a in range(0, len(words), step):
             part = words[a:a + step]
             total += self.costs[self.rows_of(part)].sum(axis=0, dtype=np.float64)
@@ -222,6 +223,6 @@ def identify_held_out(docs: DataFrame, id_col: str = "doc_id", **sizes) -> DataF
 
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id") -> DataFrame:
     """The documents whose language is recognised with a score of at least ``least``."""
-    told = identify(docs, learn(docs, id_col=id_col), lang="_lang_pred", score="_lang_score")
-    return told.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).drop(
-        "_lang_pred", "_lang_score")
+    lang, score = (free_prefix(docs) + name for name in ("lang", "score"))
+    told = identify(docs, learn(docs, id_col=id_col), lang=lang, score=score)
+    return told.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
