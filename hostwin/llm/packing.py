@@ -27,48 +27,115 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_MARKS = string.punctuation.encode()
+
+
+class Remembered:
+    """A dictionary of about ``most`` to twice ``most`` entries; what was not used lately goes."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def age(self) -> None:
+        """Begin anew if there are too many entries; those in use are taken over when wanted."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+
+    def lacking(self, keys: set) -> list:
+        """Bring ``keys`` into ``new`` as far as they are known; returns the others."""
+        unknown = []
+        for key in keys.difference(self.new):
+            value = self.old.get(key)
+            if value is None:
+                unknown.append(key)
+            else:
+                self.new[key] = value
+        return unknown
+
+
 class WordEncoder:
     """Ids of texts by a vocabulary whose pre-tokenizer drops white space.
 
     There the ids of a text are those of its words one after the other, so each distinct word is
-    encoded once and remembered, up to ``most`` words. A word of letters or digits and trailing
-    marks is encoded as these two parts, which such a pre-tokenizer separates as well.
+    encoded once and remembered while it stays in use. A word of letters and trailing marks is
+    put together from these two parts, which such a pre-tokenizer separates as well. Where the
+    vocabulary marks the end of a word, plain words are encoded many at a time. The vocabulary
+    must be one of lower-case words.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
-        self.tokenizer, self.most = tokenizer(path), most
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+    def __init__(self, path: str, most: int = 300_000):
+        self.tokenizer = tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
+        self.words = Remembered(most)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """For each text its ids and ``end``, as little-endian bytes of ``kind``."""
-        split = [(t or "").encode().split() for t in texts]
-        if len(self.words) > self.most:
-            self.words.clear()
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        known = self.words
-        missing = list({w for words in split for w in words if w not in known})
-        if missing:
-            self._learn(missing)
+        split = [_lowered(t or "").split() for t in texts]
+        self.words.age()
+        self._learn(self.words.lacking(set().union(*split)))
+        ids = self.words.new.__getitem__
         last = np.array([end], self.kind).tobytes()
-        return [b"".join([known[w] for w in words]) + last for words in split]
+        return [b"".join(map(ids, words)) + last for words in split]
 
     def _learn(self, missing: list[bytes]) -> None:
-        cut = [_cut(w.decode()) for w in missing]
-        new = list({p for parts in cut for p in parts if p not in self.parts})
-        for part, ids in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.parts[part] = np.array(ids.ids, self.kind).tobytes()
-        for word, parts in zip(missing, cut):
-            self.words[word] = b"".join([self.parts[p] for p in parts])
-
-
-def _cut(word: str) -> tuple[str, ...]:
-    core = word.rstrip(string.punctuation)
-    if not core or len(core) == len(word) or not core[-1].isalnum() or "<|" in word:
-        return (word,)
-    return core, word[len(core):]
+        plain, whole, marked = [], [], []
+        for word in missing:
+            core = word.rstrip(_MARKS)
+            if not (core.isalpha() or _letters(core)):
+                whole.append(word)
+            elif core is word:
+                plain.append(word)
+            else:
+                marked.append((word, core, word[len(core):]))
+        plain += self.words.lacking({core for _, core, _ in marked}.difference(plain))
+        whole += self.words.lacking({tail for _, _, tail in marked}.difference(whole))
+        known = self.words.new
+        if self.ends.any():
+            known.update(self._together(plain))
+        rest = [w for w in (*plain, *whole) if w not in known]
+        ids = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        known.update(zip(rest, (np.array(i.ids, self.kind).tobytes() for i in ids)))
+        for word, core, tail in marked:
+            known[word] = known[core] + known[tail]
+
+    def _together(self, words: list[bytes], many: int = 256) -> dict[bytes, bytes]:
+        """The ids of words, from texts of ``many`` of them; without those that do not come apart.
+
+        Each word ends at least once, so as many ends as words mean one end for each.
+        """
+        found: dict[bytes, bytes] = {}
+        groups = [words[a:a + many] for a in range(0, len(words), many)]
+        texts = [b" ".join(group).decode() for group in groups]
+        for group, text in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(text.ids, self.kind)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+            raw = ids.tobytes()
+            if len(cuts) == len(group) and cuts[-1] == len(raw):
+                found.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+        return found
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process, which goes on with what it has learned."""
+    return WordEncoder(path)
+
+
+def _lowered(text: str) -> bytes:
+    """A text in UTF-8, with A-Z in lower case as in the vocabulary; marks of special tokens stay."""
+    data = text.encode()
+    return data if b"<|" in data else data.lower()
+
+
+def _letters(word: bytes) -> bool:
+    """Whether a word is letters alone, each of which stays one letter in lower case."""
+    text = word.decode()
+    return text.isalpha() and len(text.lower()) == len(text)
 
 
 class Projector:
@@ -127,7 +194,7 @@ def tokenized(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Batches):
-        encoder = WordEncoder(vocabulary)
+        encoder = word_encoder(vocabulary)
         projector = Projector(encoder.tokenizer.get_vocab_size())
         for batch in slices(batches):
             ids = encoder.encode(batch.column(1).to_pylist(), end)
