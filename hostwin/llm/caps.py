@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -19,38 +18,62 @@ from hostwin.session import pin
 
 @dataclass(frozen=True)
 class CapPlan:
-    """``codes`` words per block, ``blocks`` blocks, and the height from which a cap holds a vector."""
+    """``rounds`` product codes of ``blocks`` blocks with ``codes`` words each, and the height from
+    which a cap holds a vector."""
 
     dim: int
     blocks: int
     codes: int
     height: float
+    rounds: int = 1
     seed: int = 7
 
 
+def cap_height(dim: int, share: float) -> float:
+    """The height of a cap that holds a ``share`` of all directions."""
+    angle = np.linspace(0, math.pi, 20_001)
+    weight = np.sin(angle) ** (dim - 2)
+    held = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+    return float(np.interp(share, held / held[-1], np.cos(angle)))
+
+
+@lru_cache(maxsize=64)
 def plan_caps(n: int, dim: int, threshold: float, recall: float = 0.999, bucket: int = 16,
-              seed: int = 7) -> CapPlan:
-    """Caps that hold about ``bucket`` of ``n`` vectors each, enough to meet ``recall``.
+              each: float = 1.0, seed: int = 7, trials: int = 4000) -> CapPlan:
+    """Caps that hold about ``bucket`` of ``n`` vectors, in enough rounds to meet ``recall``.
 
-    The projection of a vector on a random direction is close to normal with variance 1 / dim.
-    A partner at cosine ``threshold`` is in a cap that holds the vector with probability ``both``,
-    so ``wanted`` caps per vector miss it with probability (1 - both) ** wanted. The same formula
-    holds at every size; more vectors give more and smaller caps.
+    A round is a random rotation with a product code that puts a vector into ``each`` caps on
+    average. The caps of a round share code words and so are far from independent; how often a
+    round brings two vectors at cosine ``threshold`` together is therefore tried on random
+    pairs. Rounds are independent, so their number follows from that. The same rule holds at
+    every size; more vectors give more and smaller caps.
     """
-    normal = NormalDist()
     share = min(0.02, bucket / max(n, 1))
-    height = normal.inv_cdf(1 - share)
-    both = 1 - normal.cdf(height * (1 - threshold) / math.sqrt(1 - threshold**2))
-    wanted = math.ceil(math.log(1 - recall) / math.log(1 - both))
-    filters = wanted / share
+    filters = each / share
     blocks = min(dim, max(2, math.ceil(math.log(filters) / math.log(4096))))
-    return CapPlan(dim, blocks, math.ceil(filters ** (1 / blocks)), height / math.sqrt(dim), seed)
+    plan = CapPlan(dim, blocks, math.ceil(filters ** (1 / blocks)), cap_height(dim, share), 1, seed)
+    rng = np.random.default_rng([seed, dim, n])
+    met = 0
+    for part in range(8):
+        x = rng.standard_normal((trials // 8, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        away = rng.standard_normal(x.shape)
+        away -= (away * x).sum(axis=1, keepdims=True) * x
+        away /= np.linalg.norm(away, axis=1, keepdims=True)
+        own = decode_round(x, plan, part)
+        other = decode_round(threshold * x + math.sqrt(1 - threshold**2) * away, plan, part)
+        width = plan.codes ** blocks
+        shared = np.intersect1d(own[0] * width + own[1], other[0] * width + other[1])
+        met += len(np.unique(shared // width))
+    found = (met + 1) / (trials + 2)
+    rounds = math.ceil(math.log(1 - recall) / math.log(1 - found))
+    return CapPlan(dim, blocks, plan.codes, plan.height, rounds, seed)
 
 
-@lru_cache(maxsize=8)
-def code_words(plan: CapPlan) -> tuple[np.ndarray, list[slice], list[np.ndarray]]:
-    """A random rotation, the blocks of coordinates and the unit code words of each block."""
-    rng = np.random.default_rng([plan.seed, plan.dim])
+@lru_cache(maxsize=256)
+def code_words(plan: CapPlan, number: int) -> tuple[np.ndarray, list[slice], list[np.ndarray]]:
+    """Of a round: a random rotation, the blocks of coordinates and the unit code words of each."""
+    rng = np.random.default_rng([plan.seed, plan.dim, number])
     rotation, upper = np.linalg.qr(rng.standard_normal((plan.dim, plan.dim)))
     rotation *= np.sign(np.diag(upper))
     cuts = [plan.dim * i // plan.blocks for i in range(plan.blocks + 1)]
@@ -62,13 +85,13 @@ def code_words(plan: CapPlan) -> tuple[np.ndarray, list[slice], list[np.ndarray]
     return rotation, parts, words
 
 
-def list_decode(units: np.ndarray, plan: CapPlan) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) for every product code word whose cap holds a unit vector.
+def decode_round(units: np.ndarray, plan: CapPlan, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) for every product code word of a round whose cap holds a unit vector.
 
     Code words are extended block by block; a prefix goes on only if the best words of the
     remaining blocks can still lift it to the height.
     """
-    rotation, parts, words = code_words(plan)
+    rotation, parts, words = code_words(plan, number)
     turned = units @ rotation
     scores = [turned[:, part] @ w.T for part, w in zip(parts, words)]
     best = [s.max(axis=1) for s in scores]
@@ -87,6 +110,14 @@ def list_decode(units: np.ndarray, plan: CapPlan) -> tuple[np.ndarray, np.ndarra
     return row, code
 
 
+def list_decode(units: np.ndarray, plan: CapPlan) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) over all rounds; filters of different rounds have different numbers."""
+    found = [decode_round(units, plan, number) for number in range(plan.rounds)]
+    width = plan.codes ** plan.blocks
+    return (np.concatenate([row for row, _ in found]),
+            np.concatenate([code + number * width for number, (_, code) in enumerate(found)]))
+
+
 def usable(vector: str) -> Column:
     """Whether a vector has components, all of them finite, and is not zero."""
     return F.expr(f"`{vector}` is not null and size(`{vector}`) > 0 and not exists(`{vector}`, x -> "
@@ -104,11 +135,12 @@ def decoded(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
             found: list = [None] * len(rows)
             for dim in {len(r) for r in rows}:
                 at = [i for i, r in enumerate(rows) if len(r) == dim]
-                x = np.array([rows[i] for i in at], dtype=np.float64)
+                x = np.zeros((len(at), max(dim, 4)))  # more zeros change no cosine
+                x[:, :dim] = [rows[i] for i in at]
                 # Scaled before the norm, so that huge and tiny components keep their direction.
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 row, code = list_decode(x / np.linalg.norm(x, axis=1, keepdims=True),
-                                        plan_caps(n, dim, threshold, recall))
+                                        plan_caps(n, x.shape[1], threshold, recall))
                 order = np.lexsort((code, row))
                 ends = np.searchsorted(row[order], np.arange(len(at) + 1))
                 code = code[order]
@@ -122,7 +154,12 @@ def decoded(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
 
 
 def close_pairs(group: pa.RecordBatch, threshold: float) -> pa.RecordBatch | None:
-    """Verified links of the vectors in one cap, each only in the first cap that holds both."""
+    """What the verified links of the vectors in one cap come to: (node, partner, linked).
+
+    ``linked`` counts the copies that a node links to, each link only in the first cap that holds
+    both its ends. ``partner`` is the first node of the cap that the node reaches; these links
+    alone connect what all links connect. So the rows are no more than the vectors in the cap.
+    """
     if group.num_rows < 2:
         return None
     column = dict(zip(group.schema.names, group.columns))
@@ -159,10 +196,21 @@ def close_pairs(group: pa.RecordBatch, threshold: float) -> pa.RecordBatch | Non
         left, right = earlier[i[a:a + 1024], :, None], earlier[j[a:a + 1024], None, :]
         new[a:a + 1024] = ~((left == right) & (left >= 0)).any(axis=(1, 2))
     node, copies = column["node"].to_numpy(), column["copies"].to_numpy()
-    i, j = i[new], j[new]
+    linked = np.zeros(len(x), dtype=np.int64)
+    np.add.at(linked, i[new], copies[j[new]])
+    np.add.at(linked, j[new], copies[i[new]])
+    first = np.arange(len(x))
+    while True:  # each round takes over the smaller number of a neighbour, and what that has
+        least = first.copy()
+        np.minimum.at(least, i, first[j])
+        np.minimum.at(least, j, first[i])
+        least = least[least]
+        if (least == first).all():
+            break
+        first = least
+    told = np.flatnonzero((linked > 0) | (first != np.arange(len(x))))
     return pa.RecordBatch.from_arrays(
-        [pa.array(v) for v in (node[i], node[j], copies[i], copies[j])],
-        ["src", "dst", "src_copies", "dst_copies"])
+        [pa.array(v) for v in (node[told], node[first[told]], linked[told])], ["node", "partner", "linked"])
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
@@ -196,12 +244,11 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
     buckets = chunk_pairs(keyed, "key", "node", most).select(
         "bucket", "side", "within", "filter", "filters", "node", "copies", "vector")
     links = pin(map_runs(buckets, "bucket", lambda g: close_pairs(g, threshold),
-                         "src bigint, dst bigint, src_copies bigint, dst_copies bigint"))
-    counted = (links.select(F.col("src").alias("node"), F.col("dst_copies").alias("n"))
-               .unionAll(links.select(F.col("dst").alias("node"), F.col("src_copies").alias("n")))
-               .groupBy("node").agg(F.sum("n").alias("linked")))
+                         "node bigint, partner bigint, linked bigint"))
+    counted = links.groupBy("node").agg(F.sum("linked").alias("linked"))
     groups = (nodes.select("same", "node", "copies", "least")
-              .join(connected_components(links.select("src", "dst")), "node", "left")
+              .join(connected_components(links.select(
+                  F.col("node").alias("src"), F.col("partner").alias("dst"))), "node", "left")
               .withColumn("component", F.coalesce("component", "node")).join(counted, "node", "left"))
     least = groups.groupBy("component").agg(F.min("least").alias("smallest"))
     facts = pin(groups.join(least, "component").select(
