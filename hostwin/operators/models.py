@@ -17,8 +17,9 @@ from hostwin.functions.scalars import anomaly_to_label
 from hostwin.operators.iforest import (
     anomaly_cut, fit_iforest, predict_iforest, score_iforest)
 from hostwin.operators.prep import Prepared
-from hostwin.operators.sampling import bag_rates, class_counts, class_poisson
+from hostwin.operators.sampling import bag_rates, class_counts, class_poisson, two_classes
 from hostwin.operators.smote import smote
+from hostwin.session import pin
 
 # The models by name, in report order.
 MODEL_NAMES = ["Logistic Regression", "Random Forest (SMOTE)", "LightGBM", "Balanced RF",
@@ -69,8 +70,11 @@ def fit_logreg(train: DataFrame, features: list[str], strength: float = 1.0) ->
 
 
 def fit_linear_svm(train: DataFrame, features: list[str], alpha: float = 1e-4,
-                   rounds: int = 100) -> Any:
-    """Linear SVM with hinge loss and balanced class weights; gives no probabilities."""
+                   rounds: int = 1000) -> Any:
+    """Linear SVM with hinge loss and balanced class weights; gives no probabilities.
+
+    Spark's LinearSVC, which stops early once the loss settles; each round is a pass over the data.
+    """
     rows = assemble(train, features).withColumn("w", balanced_weight(class_counts(train, "y")))
     return LinearSVC(labelCol="y", weightCol="w", regParam=alpha, standardization=False,
                      maxIter=rounds, tol=1e-4).fit(rows)
@@ -79,9 +83,12 @@ def fit_linear_svm(train: DataFrame, features: list[str], alpha: float = 1e-4,
 def fit_rf_smote(train: DataFrame, features: list[str], key: str,
                  settings: Settings = Settings()) -> Any:
     """Random forest on the training rows plus synthetic minority rows."""
-    extra = smote(train, features, key, "y", RATIO, seed=settings.seed)
-    rows = train.select("y", *features).unionByName(extra.select("y", *features))
-    weighted = rows.withColumn("w", balanced_weight(class_counts(rows, "y")))
+    (minor, few), (major, many) = two_classes(train, "y")
+    # Stored, as every level of the trees reads the rows again; their number is known.
+    extra = pin(smote(train, features, key, "y", RATIO, seed=settings.seed).select("y", *features))
+    rows = train.select("y", *features).unionByName(extra)
+    counts = [(minor, max(few, int(RATIO * many))), (major, many)]
+    weighted = rows.withColumn("w", balanced_weight(counts))
     return _forest(settings.trees, settings, settings.seed).fit(assemble(weighted, features))
 
 
@@ -92,8 +99,11 @@ def _forest(trees: int, settings: Settings, seed: int) -> RandomForestClassifier
 
 
 def fit_gbt(train: DataFrame, features: list[str], settings: Settings = Settings()) -> Any:
-    """Gradient-boosted trees with the positive class weighted by negatives / positives."""
-    counts = dict(class_counts(train, "y"))
+    """Gradient-boosted trees with the positive class weighted by negatives / positives.
+
+    Spark's GBTClassifier, which grows trees level by level; it stands where the report says LightGBM.
+    """
+    counts = dict(two_classes(train, "y"))
     weight = F.when(F.col("y") == 1, counts[0] / counts[1]).otherwise(1.0)
     rows = assemble(train.withColumn("w", weight), features)
     return GBTClassifier(
@@ -131,9 +141,8 @@ def fit_balanced_rf(train: DataFrame, features: list[str], key: str,
     One bag per group of trees, not per tree: a job per tree would keep the cluster waiting
     for the driver. Each tree still draws its own bootstrap of its bag.
     """
-    counts = dict(class_counts(train, "y"))
-    minor, major = sorted(counts, key=lambda c: counts[c])
-    low, high = bag_rates(counts[minor], counts[major], RATIO)
+    (_, few), (major, many) = two_classes(train, "y")
+    low, high = bag_rates(few, many, RATIO)
     rows = assemble(train, features)
     bags = max(1, min(settings.bags, settings.trees))
     forests = []

@@ -11,7 +11,7 @@ from hostwin.functions.scalars import hash_long, hash_unit
 from hostwin.operators.datasets import semi_keys
 from hostwin.operators.order import global_index
 from hostwin.schemas import KEYS
-from hostwin.session import bounded_rows, pin
+from hostwin.session import pin
 
 # Negatives drawn on each side of a positive row.
 MIN_CONTEXT, MAX_CONTEXT = 75, 150
@@ -133,8 +133,7 @@ def balanced_bag(df: DataFrame, key: str, label: str = "label", ratio: float = 0
     Minority rows are drawn once on average; majority rows so that minority / majority is
     ``ratio``. A draw depends only on the seed, the bag and the row key.
     """
-    counts = class_counts(df, label)
-    (_, minority), (major_label, majority) = counts[0], counts[-1]
+    (_, minority), (major_label, majority) = two_classes(df, label)
     low, high = bag_rates(minority, majority, ratio)
     per_bag = F.explode(F.sequence(F.lit(0), F.lit(bags - 1))).alias("bag")
     rows = df.select("*", per_bag)
@@ -148,6 +147,19 @@ def class_poisson(is_major: Column, high: float, low: float, *parts) -> Column:
 
 
 def class_counts(df: DataFrame, label: str) -> list[tuple]:
-    """[(class, rows)] from the rarest to the most frequent class."""
-    rows = bounded_rows(df.groupBy(label).count(), "classes")
-    return sorted(((r[0], r["count"]) for r in rows), key=lambda r: (r[1], -r[0]))
+    """[(class, rows)] from the rarest to the most frequent class, for labels of any type.
+
+    Of equally frequent classes the one with the higher label comes first. Rows without label
+    are no class. One row per class reaches the driver.
+    """
+    rows = df.filter(F.col(label).isNotNull()).groupBy(label).count().collect()
+    by_label = sorted(((r[0], r["count"]) for r in rows), reverse=True)
+    return sorted(by_label, key=lambda r: r[1])
+
+
+def two_classes(df: DataFrame, label: str) -> list[tuple]:
+    """:func:`class_counts` of a binary label; any other number of classes is an error."""
+    counts = class_counts(df, label)
+    if len(counts) != 2:
+        raise ValueError(f"{label} has {len(counts)} classes, but exactly two are needed")
+    return counts

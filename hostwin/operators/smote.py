@@ -1,10 +1,14 @@
 """Synthetic minority rows between a row and one of its nearest minority neighbours.
 
-The neighbours are exact. Minority rows are sorted by their distance from the centroid and
-cut into blocks; each block first finds neighbours among its own rows, which bounds how
-far the true neighbours can be; a second pass compares it only with the blocks whose
-bounding box comes that close. A task never holds more than two blocks, and at most ``k``
-neighbours per row and block pair leave it.
+The neighbours are exact by default. Minority rows are cut into compact blocks, each split in
+two at the median of its widest feature until it is small. Each block first finds neighbours
+among its own rows, which bounds how far the true neighbours of a row can be; the row then goes
+to those other blocks whose bounding box comes that close, and to no more. A task never holds
+more than two blocks, and at most ``k`` neighbours per row and block pair leave it.
+
+In many dimensions every box comes close, and exact search compares most blocks.
+``method="projected"`` searches only inside blocks, over several independent cuts by random
+projections; see :func:`nearest_neighbours`.
 
 Equal rows are taken out first: beyond ``k + 1`` copies none can be a nearest neighbour, and
 its own neighbours are the first copies. However many copies there are, few are compared.
@@ -12,6 +16,8 @@ its own neighbours are the first copies. However many copies there are, few are
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,12 +25,12 @@ from pyspark.sql import functions as F
 
 from hostwin.functions.scalars import hash_long, hash_unit
 from hostwin.operators.order import global_index, running_totals
-from hostwin.operators.sampling import class_counts
+from hostwin.operators.sampling import two_classes
 from hostwin.session import pin
 
 BLOCK_ROWS = 1024
-# Up to this many blocks every pair of blocks is checked against the bounding boxes.
-FEW_BLOCKS = 64
+# Independent cuts and random directions of the approximate method.
+CUTS, DIRECTIONS = 6, 8
 # Parts in which the copies of one row are looked up.
 SALTS = 16
 
@@ -77,10 +83,34 @@ def _later_copies(placed: DataFrame, first: DataFrame, k: int) -> DataFrame:
         (F.col("pos") + 1).alias("rank"))
 
 
-def _blocks(first: DataFrame, block_rows: int) -> DataFrame:
-    """(id, block, r, vec), blocks being runs of rows by distance from the centroid."""
-    placed = global_index(first.select("id", "r", "vec"), ["r", "id"], "at")
-    return placed.select("id", F.floor(F.col("at") / block_rows).alias("block"), "r", "vec")
+def compact_blocks(rows: DataFrame, column: str, width: int, block_rows: int) -> DataFrame:
+    """Add ``block``: parts of at most about ``block_rows`` rows that are narrow in every direction.
+
+    ``column`` is an array of ``width`` numbers. Each round splits every larger block at the
+    approximate median of its widest entry; two passes a round, and a round per doubling. Rows
+    that agree in all entries stay together.
+    """
+    table = pin(rows.withColumn("block", F.lit(1).cast("bigint")))
+    while True:
+        entry = [F.get(column, i) for i in range(width)]
+        stats = table.groupBy("block").agg(
+            F.count(F.lit(1)).alias("n"), F.array(*map(F.min, entry)).alias("lo"),
+            F.array(*map(F.max, entry)).alias("hi"),
+            F.array(*[F.percentile_approx(e, 0.5, 1000) for e in entry]).alias("mid"))
+        span = F.zip_with("hi", "lo", lambda h, w: h - w)
+        wide = stats.filter(F.col("n") > block_rows).withColumn("span", span).filter(
+            F.array_max("span") > 0).withColumn(
+            "at", (F.array_position("span", F.array_max("span")) - 1).cast("int"))
+        low, high, mid = (F.get(c, F.col("at")) for c in ("lo", "hi", "mid"))
+        half = (low + high) / 2
+        cuts = pin(wide.select("block", "at", F.when(mid < high, mid).when(half < high, half)
+                               .otherwise(low).alias("cut")))
+        if cuts.isEmpty():
+            return table
+        right = (F.get(column, F.col("at")) > F.col("cut")).cast("bigint")
+        table = pin(table.join(cuts, "block", "left").withColumn("block", F.when(
+            F.col("at").isNull(), F.col("block")).otherwise(F.col("block") * 2 + right))
+            .select(*table.columns))
 
 
 def _with_reach(blocks: DataFrame, k: int) -> DataFrame:
@@ -90,72 +120,96 @@ def _with_reach(blocks: DataFrame, k: int) -> DataFrame:
         full = d2.shape[1] == k
         return pdf.assign(reach=d2[:, -1] if full else np.inf)
 
-    schema = "id bigint, block bigint, r double, vec array<double>, reach double"
-    return pin(blocks.groupBy("block").applyInPandas(own, schema))
+    schema = "id bigint, r double, vec array<double>, block bigint, reach double"
+    return pin(blocks.select("id", "r", "vec", "block").groupBy("block").applyInPandas(own, schema))
 
 
 def _block_range(boxes: DataFrame) -> DataFrame:
-    """Add first and last: the run of blocks whose distance from the centroid is in reach.
+    """Add last: the place, by distance from the centroid, of the last block that is in reach.
 
-    By the triangle inequality no other block can hold a neighbour. Both ends are ranks
-    among the sorted block limits, found by one running count each.
+    By the triangle inequality no block that begins farther out can hold a neighbour. The place
+    is a rank among the sorted block starts, found by a running count.
     """
-    def count_upto(limit, probe, inclusive: bool) -> DataFrame:
-        # A probe sees the limits below it; at a tie it comes after them if inclusive.
-        marks = boxes.select(F.lit(None).cast("bigint").alias("block"), limit.alias("v"),
-                             F.lit(0 if inclusive else 1).alias("tie"), F.lit(1).alias("one"))
-        probes = boxes.select("block", probe.alias("v"),
-                              F.lit(1 if inclusive else 0).alias("tie"), F.lit(0).alias("one"))
-        both = marks.unionByName(probes).withColumn("g", F.lit(0))
-        return running_totals(both, ["g"], ["v", "tie", "block"], ["one"]).filter(
-            "block is not null").select("block", F.col("one_cum").alias("n"))
-
-    # The distances from the centroid are rounded themselves, so leave room for that too.
-    reach = F.col("far") + F.col("r_hi") * 1e-12
-    low = count_upto(F.col("r_hi"), F.col("r_lo") - reach, False)
-    high = count_upto(F.col("r_lo"), F.col("r_hi") + reach, True)
-    return (boxes.join(low.withColumnRenamed("n", "first"), "block")
-            .join(high.select("block", (F.col("n") - 1).alias("last")), "block"))
+    # A probe sees the starts at or below it. The distances from the centroid are rounded
+    # themselves, so leave room for that too.
+    marks = boxes.select(F.lit(None).cast("bigint").alias("block"), F.col("r_lo").alias("v"),
+                         F.lit(0).alias("tie"), F.lit(1).alias("one"))
+    probes = boxes.select("block", (F.col("r_hi") + F.col("far") + F.col("r_hi") * 1e-12).alias("v"),
+                          F.lit(1).alias("tie"), F.lit(0).alias("one"))
+    both = marks.unionByName(probes).withColumn("g", F.lit(0))
+    ranks = running_totals(both, ["g"], ["v", "tie", "block"], ["one"]).filter("block is not null")
+    return boxes.join(ranks.select("block", (F.col("one_cum") - 1).alias("last")), "block")
 
 
 def _block_pairs(rows: DataFrame, width: int) -> DataFrame:
-    """(a, b): blocks b that may hold a neighbour of a row of block a."""
+    """(a, b, lo, hi): blocks b, with their box, that may hold a neighbour of a row of block a."""
     boxes = pin(rows.groupBy("block").agg(
         F.min("r").alias("r_lo"), F.max("r").alias("r_hi"),
         # A hair more than needed, so that rounding never excludes a block.
         (F.sqrt(F.max("reach")) * (1 + 1e-9)).alias("far"),
         F.array(*[F.min(F.get("vec", i)) for i in range(width)]).alias("lo"),
-        F.array(*[F.max(F.get("vec", i)) for i in range(width)]).alias("hi")))
-    blocks = boxes.count()
-    if blocks <= FEW_BLOCKS:
-        ranged = boxes.withColumns({"first": F.lit(0), "last": F.lit(blocks - 1)})
-    else:
-        ranged = _block_range(boxes)
-    pairs = ranged.select(
-        F.col("block").alias("a"), "lo", "hi", "far",
-        F.explode(F.sequence(F.col("first").cast("bigint"), F.col("last").cast("bigint")))
-        .alias("b"))
-    other = boxes.select(F.col("block").alias("b"), F.col("lo").alias("lo2"),
-                         F.col("hi").alias("hi2"))
-    apart = sum(
-        F.pow(F.greatest(F.get("lo", i) - F.get("hi2", i), F.get("lo2", i) - F.get("hi", i),
-                         F.lit(0.0)), 2) for i in range(width))
-    return pairs.join(other, "b").filter(F.sqrt(apart) <= F.col("far")).select("a", "b")
+        F.array(*[F.max(F.get("vec", i)) for i in range(width)]).alias("hi"))
+        .withColumn("place", F.row_number().over(Window.orderBy("r_lo", "block")) - 1))  # one row per block
+    pairs = _block_range(boxes).select(
+        F.col("block").alias("a"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), "far",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last").cast("bigint"))).alias("place"))
+    other = boxes.select("place", F.col("block").alias("b"), "lo", "hi")
+    apart = sum(F.pow(F.greatest(F.get("lo1", i) - F.get("hi", i), F.get("lo", i) - F.get("hi1", i),
+                                 F.lit(0.0)), 2) for i in range(width))
+    return pairs.join(other, "place").filter(F.sqrt(apart) <= F.col("far")).select("a", "b", "lo", "hi")
+
+
+def _projected(first: DataFrame, width: int, k: int, block_rows: int, seed: int) -> DataFrame:
+    """(id, vec, nbr, nbr_vec, d2): neighbours inside the blocks of several random cuts."""
+    rng = np.random.default_rng(seed)
+    schema = "id bigint, vec array<double>, nbr bigint, nbr_vec array<double>, d2 double"
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        others, at, d2 = _nearest(pdf, pdf, k)
+        row, col = np.nonzero(np.isfinite(d2))
+        near = at[row, col]
+        return pd.DataFrame({"id": pdf["id"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row],
+                             "nbr": others["id"].to_numpy()[near],
+                             "nbr_vec": others["vec"].to_numpy()[near], "d2": d2[row, col]})
+
+    parts = []
+    for _ in range(CUTS):
+        lines = rng.standard_normal((min(DIRECTIONS, width), width))
+        turned = F.array(*[sum((F.get("vec", i) * F.lit(float(w)) for i, w in enumerate(line)),
+                               F.lit(0.0)) for line in lines])
+        blocks = compact_blocks(first.select("id", "vec", turned.alias("turned")), "turned",
+                                len(lines), block_rows)
+        parts.append(blocks.select("id", "vec", "block").groupBy("block").applyInPandas(inside, schema))
+    return reduce(DataFrame.unionAll, parts).dropDuplicates(["id", "nbr"])
 
 
 def nearest_neighbours(rows: DataFrame, features: list[str], k: int = 5,
-                       block_rows: int = BLOCK_ROWS) -> DataFrame:
+                       block_rows: int = BLOCK_ROWS, method: str = "exact",
+                       seed: int = 42) -> DataFrame:
     """(id, rank, vec, nbr, nbr_vec, d2): the k nearest other rows, ties by id.
 
-    ``rows`` has a BIGINT ``id`` and DOUBLE features.
+    ``rows`` has a BIGINT ``id`` and DOUBLE features. "exact" finds the true neighbours; how many
+    rows meet how many blocks depends on the data, and beyond about ten independent features it
+    is most of them. "projected" costs the same per row at any size: it searches the blocks of
+    CUTS cuts along random directions and may miss neighbours. Its recall on 4,000 normal rows
+    of 8 features in blocks of 512 is about 0.8 (see the tests), and higher in fewer or larger
+    blocks. Every row gets ``k`` neighbours either way, if its blocks hold so many.
     """
     placed = _placed(rows, features)
     first = _first_copies(placed, k)
-    blocks = _with_reach(_blocks(first, block_rows), k)
-    pairs = pin(_block_pairs(blocks, len(features)))
-    asking = pairs.join(blocks, pairs.a == blocks.block).select("a", "b", "id", "vec", "reach")
+    best = Window.partitionBy("id").orderBy("d2", "nbr")
+    if method == "projected":
+        found = _projected(first, len(features), k, block_rows, seed)
+        near = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return near.unionByName(_later_copies(placed, first, k))
+    if method != "exact":
+        raise ValueError(f"unknown method '{method}'")
+    blocks = _with_reach(compact_blocks(
+        first.select("id", "r", "vec"), "vec", len(features), block_rows), k)
+    asking = asking_rows(blocks, len(features))
     # New names, as both sides of the meeting come from the same two tables.
-    asked = pairs.join(blocks, pairs.b == blocks.block).select(
+    asked = asking.select("a", "b").distinct().join(
+        blocks, F.col("b") == F.col("block")).select(
         F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("id").alias("id2"),
         F.col("vec").alias("vec2"))
 
@@ -171,21 +225,30 @@ def nearest_neighbours(rows: DataFrame, features: list[str], k: int = 5,
 
     found = asking.groupBy("a", "b").cogroup(asked.groupBy("a2", "b2")).applyInPandas(
         meet, "id bigint, vec array<double>, nbr bigint, nbr_vec array<double>, d2 double")
-    best = Window.partitionBy("id").orderBy("d2", "nbr")
     near = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return near.unionByName(_later_copies(placed, first, k))
 
 
+def asking_rows(blocks: DataFrame, width: int) -> DataFrame:
+    """(a, b, id, vec, reach): each row of block a with every block b that its reach touches."""
+    pairs = pin(_block_pairs(blocks, width))
+    apart = sum(F.pow(F.greatest(F.get("lo", i) - F.get("vec", i), F.get("vec", i) - F.get("hi", i),
+                                 F.lit(0.0)), 2) for i in range(width))
+    return pin(pairs.join(blocks, F.col("a") == F.col("block"))
+               .filter(apart <= F.col("reach") * (1 + 1e-9)).select("a", "b", "id", "vec", "reach"))
+
+
 def smote(df: DataFrame, features: list[str], key: str, label: str = "label",
           ratio: float = 0.5, k: int = 5, seed: int = 42,
-          block_rows: int = BLOCK_ROWS) -> DataFrame:
+          block_rows: int = BLOCK_ROWS, method: str = "exact") -> DataFrame:
     """Synthetic minority rows: (s, label, features), enough to make minority / majority ``ratio``.
 
+    The label may be of any type but must have two classes.
+
     Row ``s`` starts at a minority row and goes a random part of the way to one of its
     ``k`` neighbours; start, neighbour and part are fixed by the seed and ``s``.
     """
-    counts = class_counts(df, label)
-    (minor_label, minority), (_, majority) = counts[0], counts[-1]
+    (minor_label, minority), (_, majority) = two_classes(df, label)
     wanted = int(ratio * majority) - minority
     if wanted <= 0:
         raise ValueError(f"minority already has {minority} of {majority} rows")
@@ -197,7 +260,7 @@ def smote(df: DataFrame, features: list[str], key: str, label: str = "label",
         df.filter(F.col(label) == minor_label).select(
             F.col(key).alias("_key"),
             *[F.col(c).cast("double").alias(n) for c, n in zip(features, names)]), ["_key"], "id")
-    near = nearest_neighbours(rows.drop("_key"), names, k, block_rows)
+    near = nearest_neighbours(rows.drop("_key"), names, k, block_rows, method, seed)
     draws = df.sparkSession.range(wanted).select(
         F.col("id").alias("s"),
         F.pmod(hash_long(seed, "base", F.col("id")), F.lit(minority)).alias("id"),

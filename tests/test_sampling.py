@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostwin.operators import order, sampling
-from hostwin.operators.smote import nearest_neighbours, smote
+from hostwin.operators.smote import (
+    _with_reach, asking_rows, compact_blocks, nearest_neighbours, smote)
 
 
 def table(spark, n, positives):
@@ -80,6 +81,50 @@ def test_neighbours_equal_brute_force(spark, block_rows, copies):
         (i, j + 1): int(want[i, j]) for i in range(150) for j in range(4)}
 
 
+@pytest.mark.parametrize("d, most", [(3, 0.25), (8, 0.95), (31, 1.0)])
+def test_blocks_that_meet(spark, d, most):
+    """Compact blocks keep rows from most others while there are few dimensions."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.standard_normal((1500, d)))]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>").withColumn("r", F.sqrt(
+        F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)))
+    blocks = compact_blocks(df, "vec", d, 32)
+    sizes = [r["count"] for r in blocks.groupBy("block").count().collect()]
+    assert max(sizes) <= 32 and len(sizes) < 160
+    met = asking_rows(_with_reach(blocks, 5), d).count()
+    assert met / (len(rows) * len(sizes)) <= most
+
+
+def test_projected_neighbours(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((4000, 8))
+    names = [f"f{i}" for i in range(8)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)],
+                               "id bigint, " + ", ".join(f"{c} double" for c in names))
+    got = nearest_neighbours(df, names, 5, 512, method="projected").collect()
+    assert len(got) == 5 * len(x)
+    d2 = (x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T
+    np.fill_diagonal(d2, np.inf)
+    want = np.argsort(d2, axis=1)[:, :5]
+    found = {}
+    for r in got:
+        found.setdefault(r.id, set()).add(r.nbr)
+    recall = np.mean([len(found[i] & set(want[i].tolist())) / 5 for i in range(len(x))])
+    assert recall > 0.75
+    with pytest.raises(ValueError, match="unknown method"):
+        nearest_neighbours(df, names, 5, method="guess")
+
+
+def test_text_labels(spark):
+    rows = spark.range(300).select("id", F.when(F.col("id") % 10 == 0, "bad").otherwise("good").alias("label"),
+                                   (F.col("id") % 37).cast("double").alias("a"))
+    out = smote(rows, ["a"], "id")
+    assert out.count() == int(0.5 * 270) - 30 and out.filter("label <> 'bad'").count() == 0
+    assert sampling.class_counts(rows, "label") == [("bad", 30), ("good", 270)]
+    with pytest.raises(ValueError, match="exactly two"):
+        smote(rows.withColumn("label", F.col("id") % 3), ["a"], "id")
+
+
 def test_many_copies_are_not_compared(spark):
     """Only k + 1 of 20,000 equal rows take part in the search."""
     rows = spark.range(20_300).select("id", F.when(F.col("id") < 20_000, 1.0).otherwise(
