@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostwin.functions.scalars import hash_long, hash_unit
-from hostwin.operators.order import exact_quantiles, global_index
+from hostwin.operators.order import exact_quantiles
 
 SAMPLE_ROWS = 256
 _TREE = ("tree int, feature array<int>, cut array<double>, child array<int>, depth array<double>")
@@ -24,26 +24,33 @@ def average_path(n) -> np.ndarray:
     return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
 
 
-def sample_positions(df: DataFrame, n: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """(tree, idx): ``sample`` different row positions for each tree."""
-    spark = df.sparkSession
-    if n <= 4 * sample:
-        # Few rows: rank them all, at most 4 * sample per tree.
-        drawn = spark.range(trees * n).select(
-            F.floor(F.col("id") / n).cast("int").alias("tree"), (F.col("id") % n).alias("idx"))
-        order = hash_long(seed, F.col("tree"), F.col("idx"))
-    else:
-        # Twice as many draws as needed leaves enough once repeats are dropped.
-        draws = 2 * sample
-        each = spark.range(trees * draws).select(
-            F.floor(F.col("id") / draws).cast("int").alias("tree"),
-            (F.col("id") % draws).alias("draw"))
-        drawn = each.select("tree", F.pmod(
-            hash_long(seed, F.col("tree"), F.col("draw")), F.lit(n)).alias("idx")).distinct()
-        order = hash_long(seed, "keep", F.col("tree"), F.col("idx"))
-    best = Window.partitionBy("tree").orderBy(order, "idx")
-    return drawn.withColumn("rank", F.row_number().over(best)).filter(
-        F.col("rank") <= sample).select("tree", "idx")
+def sampled_rows(df: DataFrame, key: str, n: int, trees: int, sample: int, seed: int) -> DataFrame:
+    """(tree, columns of df): ``sample`` different rows of the whole table for each tree.
+
+    One formula at every size. A row enters a tree with probability min(1, 2 * sample / n): the
+    number of its trees is a binomial draw from its key, and these are the trees that a hash of
+    key and tree ranks first. Of the rows of a tree, about twice ``sample``, the first by
+    another hash stay. Only chosen rows leave the scan.
+    """
+    rate = min(1.0, 2 * sample / max(n, 1))
+    steps, cdf = [], 0.0
+    for k in range(trees):
+        log = math.lgamma(trees + 1) - math.lgamma(k + 1) - math.lgamma(trees - k + 1)
+        rest = (trees - k) * math.log1p(-rate) if rate < 1 else -math.inf
+        cdf += math.exp(log + k * math.log(rate) + rest)
+        if 1.0 - cdf < 2.0**-52:
+            break
+        steps.append(cdf)
+    # A one-element array binds the draw to a name, so that it is computed once.
+    count = F.get(F.transform(F.array(hash_unit(seed, "trees", F.col(key))), lambda u: sum(
+        (F.when(u >= F.lit(c), 1).otherwise(0) for c in steps), F.lit(0))), 0)
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        hash_long(seed, "tree", F.col(key), t).alias("h"), t.alias("tree"))))
+    drawn = df.withColumn("_count", count).filter(F.col("_count") > 0).select(
+        *df.columns, F.explode(F.slice(ranked, F.lit(1), F.col("_count"))["tree"]).alias("tree"))
+    best = Window.partitionBy("tree").orderBy(hash_long(seed, "keep", F.col("tree"), F.col(key)), key)
+    return drawn.withColumn("_rank", F.row_number().over(best)).filter(
+        F.col("_rank") <= sample).drop("_rank")
 
 
 def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> dict[str, list]:
@@ -76,21 +83,18 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> dict[str, list
 
 def fit_iforest(df: DataFrame, features: list[str], key: str, trees: int = 200,
                 seed: int = 42, sample: int = SAMPLE_ROWS) -> dict:
-    """Grow the trees, one small group each; a forest has at most trees * 2 * sample nodes."""
-    n, pool = df.count(), 4 * trees * sample
-    if n > 2 * pool:
-        # A repeatable draw of about ``pool`` rows in one scan; trees then sample from it.
-        df = df.filter(hash_unit(seed, "pool", F.col(key)) < F.lit(pool / n))
-    indexed = global_index(df.select(key, *features), [key])
-    n = indexed.count()
+    """Grow the trees, one small group each; a forest has at most trees * 2 * sample nodes.
+
+    ``key`` must be unique: draws depend on it alone.
+    """
+    n = df.count()
     size = min(sample, n)
-    # At most trees * sample rows, so the positions can be broadcast over the table.
-    picked = indexed.join(F.broadcast(sample_positions(df, n, trees, size, seed)), "idx")
+    picked = sampled_rows(df.select(key, *features), key, n, trees, size, seed)
     limit = max(1, math.ceil(math.log2(max(size, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        rows = pdf.sort_values("idx")[features].to_numpy(dtype=float)
+        rows = pdf.sort_values(key)[features].to_numpy(dtype=float)
         grown = _grow(rows, limit, np.random.default_rng([seed, tree]))
         return pd.DataFrame({"tree": [tree], **{k: [v] for k, v in grown.items()}})
 

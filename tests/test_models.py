@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from hostwin.functions.scalars import null_tokens
 from hostwin.operators import evaluate, models, prep
 from hostwin.operators.iforest import (
-    anomaly_cut, average_path, fit_iforest, predict_iforest, sample_positions, score_iforest)
+    anomaly_cut, average_path, fit_iforest, predict_iforest, sampled_rows, score_iforest)
 from hostwin.plans.flagship import Study, run_study
 from hostwin.sources import fixtures
 
@@ -90,10 +90,14 @@ def test_isolation_forest_flags_the_contaminated_share(prepared):
 @pytest.mark.parametrize("n", [50, 900, 5000])
 def test_tree_samples(spark, n):
     size = min(256, n)
-    rows = sample_positions(spark.range(1), n, 4, size, 1).groupBy("tree").agg(
-        F.count_distinct("idx").alias("u"), F.count(F.lit(1)).alias("n"), F.max("idx").alias("m"))
-    assert [(r.u, r.n) for r in rows.collect()] == [(size, size)] * 4
-    assert all(r.m < n for r in rows.collect())
+    rows = sampled_rows(spark.range(n), "id", n, 4, size, 1).groupBy("tree").agg(
+        F.count_distinct("id").alias("u"), F.count(F.lit(1)).alias("n"), F.collect_set("id").alias("ids"))
+    rows = rows.collect()
+    assert [(r.u, r.n) for r in rows] == [(size, size)] * 4
+    # Trees draw from the whole table, each for itself.
+    if n > 512:
+        assert all(max(r.ids) > n * 0.9 and min(r.ids) < n * 0.1 for r in rows)
+        assert len(set(rows[0].ids) & set(rows[1].ids)) < size
 
 
 def test_average_path():
@@ -107,7 +111,7 @@ def test_whole_study(spark, sf, tmp_path):
     study = Study(width=21_600, settings=SMALL, tuning_rule="max_threshold", balance="context",
                   validation_days=[20, 21, 22], models=["Logistic Regression"])
     written = run_study(logs, str(tmp_path), study)
-    assert len(written) == 22
+    assert len(written) == 30
     report = spark.read.parquet(str(tmp_path / "report" / "comparison"))
     assert {(r.dataset, r.model) for r in report.collect()} == {
         (d, m) for d in ("EDR", "XDR") for m in study.models}
