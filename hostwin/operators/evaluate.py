@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostwin.operators.order import running_totals
-from hostwin.session import pin, small_side
+from hostwin.session import pin
 
 METRICS = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
 ERROR_RATES = ["fp_rate", "miss_rate"]
@@ -267,7 +267,7 @@ def score_histogram(df: DataFrame, bins: int = 30) -> DataFrame:
     guess = F.least(F.floor((score - a) / (b - a) * bins), F.lit(bins - 1))
     placed = F.when(score < edge(guess), guess - 1).when(
         (score >= edge(guess + 1)) & (guess < bins - 1), guess + 1).otherwise(guess)
-    counts = scored.join(small_side(span), "model").groupBy(
+    counts = scored.join(span, "model").groupBy(
         "model", "a", "b", placed.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     full = _fill_grid(counts, "bin", 0, bins - 1, ["n"], ("model", "a", "b"))
     total = F.sum("n").over(Window.partitionBy("model"))
@@ -313,7 +313,7 @@ def percent_positive(df: DataFrame, threshold: float) -> DataFrame:
 
 def apply_tuning(df: DataFrame, tuned: DataFrame) -> DataFrame:
     """Replace predictions of tuned models by those at their cut-off; adds threshold_tuned."""
-    cut = small_side(tuned.select("model", "threshold", "threshold_tuned"))
+    cut = tuned.select("model", "threshold", "threshold_tuned")
     joined = df.join(cut, "model", "left")
     use = F.coalesce("threshold_tuned", F.lit(False))
     return joined.withColumn("pred", F.when(
@@ -323,8 +323,25 @@ def apply_tuning(df: DataFrame, tuned: DataFrame) -> DataFrame:
 
 # Model comparison
 
+def compare_classes(df: DataFrame, by_class: DataFrame | None = None) -> DataFrame:
+    """The headline metrics of each model for any number of classes.
+
+    Precision, recall and F1 are weighted by class support. ``by_class`` has the score of each
+    row for each class (model, class, y, score) and gives the one-vs-rest ROC-AUC; without it,
+    and for the PR-AUC, which is one of two classes, the area is NULL.
+    """
+    classes = per_class(df)
+    tables = [weighted_metrics(df), balanced_accuracy(df), classes.groupBy("model").agg(
+        ratio(F.sum("hit"), F.sum("support")).alias("accuracy"))]
+    if by_class is not None:
+        tables.append(roc_auc_ovr(by_class))
+    joined = reduce(lambda a, b: a.join(b, "model", "left"), tables)
+    missing = [m for m in METRICS if m not in joined.columns]
+    return joined.withColumns({m: F.lit(None).cast("double") for m in missing}).select("model", *METRICS)
+
+
 def compare(df: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
-    """The seven headline metrics of each model."""
+    """The seven headline metrics of each model on two classes; see :func:`compare_classes`."""
     ranked = rank_scores(df) if ranked is None else ranked
     tables = [binary_metrics(df), balanced_accuracy(df), roc_auc(ranked), average_precision(ranked)]
     joined = reduce(lambda a, b: a.join(b, "model", "left"), tables)

@@ -78,26 +78,44 @@ def running_totals(df: DataFrame, group: list[str], order: list, values: list[st
         *[f"{v}_total" for v in values])
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], q: float) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: list[str], q: float, accuracy: int = 10_000) -> DataFrame:
     """Exact interpolated quantile of each column: (feature, quantile).
 
-    NULL and NaN are left out. Equal values are counted together before they are sorted,
-    so a column with few distinct values costs next to nothing.
+    NULL and NaN are left out; a column without any other value is left out of the result. A
+    first pass brackets each quantile by approximate ones, whose rank is off by at most
+    1 / ``accuracy``. The second counts what lies below the bracket and keeps only the values
+    inside, counted by value, which are then ranked. Most of a column is never shuffled.
     """
-    long = df.selectExpr(*[f"cast(`{c}` as double) as `{c}`" for c in cols]).unpivot(
-        [], cols, "feature", "value")
-    counts = (long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-              .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
-    cum = running_totals(counts, ["feature"], ["value"], ["n"])
-    rank = F.lit(q) * (F.col("n_total") - 1)
-    low, high = F.floor(rank), F.ceil(rank)
+    valid = {c: f"case when not isnan(double(`{c}`)) then double(`{c}`) end" for c in cols}
+    low, high = max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)
+    around = df.agg(*[F.expr(f"struct(count({v}) as n, percentile_approx({v}, array({low!r}D, {high!r}D), "
+                             f"{accuracy}) as ends)").alias(c) for c, v in valid.items()]).first()
+    cols = [c for c in cols if around[c]["n"]]
+    # Interpolation takes two ranks, so a bracket needs room: at least 4 rows on either side of
+    # the rank, or else no bound. The lowest and highest ranks need none on their side.
+    roomy = {c: around[c]["n"] >= 4 * accuracy for c in cols}
+    ends = {c: (f"double('{around[c]['ends'][0]!r}')" if roomy[c] and low > 0 else "double('-Infinity')",
+                f"double('{around[c]['ends'][1]!r}')" if roomy[c] and high < 1 else "double('Infinity')")
+            for c in cols}
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "feature string, quantile double")
+    below = df.agg(*[F.expr(f"count_if({valid[c]} < {ends[c][0]})").alias(c) for c in cols]).first()
+    facts = spark.createDataFrame(
+        [(c, q * (around[c]["n"] - 1), int(below[c])) for c in cols], "feature string, rank double, below bigint")
+    long = df.selectExpr(*[f"case when {valid[c]} between {ends[c][0]} and {ends[c][1]} then {valid[c]} end as `{c}`"
+                           for c in cols]).unpivot([], cols, "feature", "value")
+    counts = long.filter("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    cum = running_totals(counts, ["feature"], ["value"], ["n"]).join(F.broadcast(facts), "feature")
 
     def value_at(position):
-        first = F.col("n_cum") - F.col("n")
-        return F.max(F.when((first <= position) & (position < F.col("n_cum")), F.col("value")))
+        last = F.col("below") + F.col("n_cum")
+        return F.max(F.when((last - F.col("n") <= position) & (position < last), F.col("value")))
 
+    rank = F.col("rank")
     picked = cum.groupBy("feature").agg(
-        value_at(low).alias("lo"), value_at(high).alias("hi"), F.max(rank - low).alias("w"))
+        value_at(F.floor(rank)).alias("lo"), value_at(F.ceil(rank)).alias("hi"),
+        F.max(rank - F.floor(rank)).alias("w"))
     # Equal ends are returned as they are, since inf - inf is not a number.
     mixed = F.col("lo") * (1 - F.col("w")) + F.col("hi") * F.col("w")
     return picked.select(

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostwin.functions.scalars import clean_inf, map_columns
-from hostwin.operators.order import exact_quantiles
-from hostwin.session import bounded_rows
+from hostwin.operators.order import exact_quantiles, global_index
+from hostwin.session import pin
 
 # Target names in order of preference, host identifiers, time columns.
 TARGETS = ["label", "Class", "target", "y"]
@@ -68,19 +68,23 @@ def scale(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
                             for c, (mean, std) in stats.items()})
 
 
-def label_codes(train: DataFrame, target: str) -> list:
-    """Distinct training labels in their own order; the position is the code."""
-    found = train.select(target).distinct().orderBy(target)
-    return [r[0] for r in bounded_rows(found, f"classes in {target}")]
+def label_codes(train: DataFrame, target: str) -> DataFrame:
+    """(class, code): distinct training labels, numbered in their own order. Stored."""
+    found = train.select(F.col(target).alias("class")).filter("class is not null").distinct()
+    return pin(global_index(found, ["class"], "code").select("class", F.col("code").cast("int")))
 
 
-def encode_labels(df: DataFrame, target: str, classes: list, name: str = "y") -> DataFrame:
-    """Add the class code; a label that training did not have is an error."""
-    known = F.array(*[F.lit(c) for c in classes]).cast(f"array<{dict(df.dtypes)[target]}>")
-    code = F.array_position(known, F.col(target)).cast("int") - 1
+def encode_labels(df: DataFrame, target: str, codes: DataFrame, name: str = "y") -> DataFrame:
+    """Add the class code; a label that training did not have is an error.
+
+    Any number of classes will do: they are joined, and the planner broadcasts them while few.
+    """
+    known = codes.select(F.col("class").cast(dict(df.dtypes)[target]).alias("_class"),
+                         F.col("code").alias("_code"))
     unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.col(target).cast("string")))
-    return df.withColumn(name, F.when(code >= 0, code).when(
-        F.col(target).isNotNull(), unseen.cast("int")))
+    code = F.coalesce("_code", F.when(F.col(target).isNotNull(), unseen.cast("int")))
+    joined = df.join(known, F.col(target) == F.col("_class"), "left")
+    return joined.withColumn(name, code).drop("_class", "_code")
 
 
 @dataclass
@@ -90,13 +94,14 @@ class Prepared:
     train: DataFrame
     test: DataFrame
     features: list[str]
-    classes: list
+    codes: DataFrame
+    n_classes: int
     medians: dict[str, float]
     stats: dict[str, tuple[float, float]]
 
     @property
     def binary(self) -> bool:
-        return len(self.classes) == 2
+        return self.n_classes == 2
 
 
 def prepare(train: DataFrame, test: DataFrame, include_time: bool = True,
@@ -108,7 +113,7 @@ def prepare(train: DataFrame, test: DataFrame, include_time: bool = True,
     target = find_target(train)
     features = feature_columns(train, include_time)
     features = [c for c in features if c not in keep]
-    classes = label_codes(train, target)
+    codes = label_codes(train, target)
     carried = [*keep, *[c for c in HOST_IDS if c not in keep]]
     clean = clean_inf(as_double(train, features), features)
     medians = fit_medians(clean, features)
@@ -118,7 +123,7 @@ def prepare(train: DataFrame, test: DataFrame, include_time: bool = True,
         df = align(df, features, [*carried, target])
         df = impute(df, medians)
         if has_target:
-            return encode_labels(df, target, classes).drop(*([target] if target != "y" else []))
+            return encode_labels(df, target, codes).drop(*([target] if target != "y" else []))
         return df.withColumn("y", F.lit(None).cast("int"))
 
     train_x, test_x = ready(train), ready(test)
@@ -126,7 +131,7 @@ def prepare(train: DataFrame, test: DataFrame, include_time: bool = True,
     if scaled:
         stats = fit_scaler(train_x, features)
         train_x, test_x = scale(train_x, stats), scale(test_x, stats)
-    return Prepared(train_x, test_x, features, classes, medians, stats)
+    return Prepared(train_x, test_x, features, codes, codes.count(), medians, stats)
 
 
 def class_balance(df: DataFrame, target: str = "label") -> DataFrame:

@@ -3,7 +3,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostwin.operators import order, splits
-from hostwin.session import bounded_rows, small_side
 
 
 @pytest.fixture(scope="module")
@@ -65,11 +64,12 @@ def test_splits(spark):
         1: "train", 2: "train", 3: "train", 4: "test"}
 
 
-def test_small_side_checks_its_size(spark):
-    small, large = (small_side(spark.range(n), limit=10) for n in (10, 11))
-    hint = "strategy=broadcast"
-    plans = [df._jdf.queryExecution().analyzed().toString() for df in (small, large)]
-    assert hint in plans[0] and hint not in plans[1]
-    assert small.count() == 10 and large.count() == 11
-    with pytest.raises(ValueError, match="more than 10 classes"):
-        bounded_rows(spark.range(11), "classes", limit=10)
+def test_bracketed_quantiles_are_exact(spark):
+    """With a coarse accuracy the bracket leaves most of the column out."""
+    df = spark.range(50_000).select((F.pow(F.col("id"), 1.5) % 9973).alias("a"), (F.col("id") % 3).alias("b"),
+                                    F.when(F.col("id") % 2 == 0, F.col("id")).cast("double").alias("c"))
+    want = {c: df.selectExpr(*[f"percentile({c}, {q}) as q{i}" for i, q in enumerate((0.0, 0.5, 0.93, 1.0))]).first()
+            for c in df.columns}
+    for i, q in enumerate((0.0, 0.5, 0.93, 1.0)):
+        got = {r.feature: r.quantile for r in order.exact_quantiles(df, df.columns, q, accuracy=1000).collect()}
+        assert got == pytest.approx({c: want[c][i] for c in df.columns})

@@ -5,12 +5,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostwin.operators import prep
+from hostwin.operators.sampling import class_counts, two_classes
 
 
 def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
+def listed(codes):
+    return [r[0] for r in codes.orderBy("code").collect()]
+
+
 def test_target_and_features(spark):
     df = frame(spark, [("a", 1, 2, 3.0, 0)], "src_comp string, day int, win int, x double, y int")
     assert prep.find_target(df) == "y"
@@ -28,7 +33,7 @@ def test_prepare(spark):
     test = frame(spark, [(7, None, "bad", 9.0), (8, 8.0, "good", 9.0)],
                  "row_id int, x double, label string, extra double")
     done = prep.prepare(train, test, keep=["row_id"])
-    assert done.classes == ["bad", "good"] and done.features == ["x", "c"]
+    assert listed(done.codes) == ["bad", "good"] and done.features == ["x", "c"]
     assert done.medians == {"x": 3.0, "c": 5.0} and done.binary
     filled = np.array([1, 3, 2, 3, 4, 7], float)
     got = done.train.orderBy("row_id").toPandas()
@@ -49,11 +54,20 @@ def test_test_without_target(spark):
 def test_unseen_label_is_an_error(spark):
     df = frame(spark, [("c",)], "label string")
     with pytest.raises(Exception, match="unseen label: c"):
-        prep.encode_labels(df, "label", ["a", "b"]).collect()
+        prep.encode_labels(df, "label", prep.label_codes(frame(spark, [("a",), ("b",)], "label string"), "label")).collect()
+
+
+def test_any_number_of_classes(spark):
+    df = spark.range(12_000).select(F.concat(F.lit("c"), F.lpad("id", 6, "0")).alias("label"), "id")
+    codes = prep.label_codes(df, "label")
+    assert prep.encode_labels(df, "label", codes).filter("y <> id").count() == 0
+    assert len(class_counts(df, "label")) == 12_000
+    with pytest.raises(ValueError, match="exactly two"):
+        two_classes(df, "label")
 
 
 def test_numbers_sort_as_numbers(spark):
-    assert prep.label_codes(frame(spark, [(10,), (9,), (2,)], "label int"), "label") == [2, 9, 10]
+    assert listed(prep.label_codes(frame(spark, [(10,), (9,), (2,)], "label int"), "label")) == [2, 9, 10]
 
 
 def test_class_statistics(spark):
