@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostwin.functions.scalars import drop_unparseable
 from hostwin.schemas import TEST_DAYS, TRAIN_DAYS
+from hostwin.session import pin
 from hostwin.sources.tables import write_table
 
 
@@ -40,12 +41,13 @@ def split_and_save(tables: dict[str, DataFrame], path: str, n: int = 7,
                    fmt: str = "parquet") -> dict[str, str]:
     """Last-days split of each table, written as ``path/<table>/split=...``.
 
-    The last day is the table's own. A run replaces what an earlier run wrote.
+    The last day is the table's own. Each table is stored once, since finding the last day, the
+    sort and the write all read it. A run replaces what an earlier run wrote.
     """
     written = {}
     for name, df in tables.items():
         target = f"{path.rstrip('/')}/{name}"
-        ordered = split_last_days(df, n).orderBy("split", "day", "win", "src_comp")
+        ordered = split_last_days(pin(df), n).orderBy("split", "day", "win", "src_comp")
         write_table(ordered, target, fmt, partition_by=["split"])
         written[name] = target
     return written

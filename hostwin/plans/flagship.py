@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from hostwin.functions.scalars import filter_days
 from hostwin.operators.datasets import build_master, edr_of
-from hostwin.operators.evaluate import report_tables
+from hostwin.operators.evaluate import report_tables, top_features
 from hostwin.operators.models import MODEL_NAMES, Settings, importances, train_and_score
-from hostwin.operators.prep import prepare
+from hostwin.operators.prep import baseline_accuracy, class_balance, overview, prepare
 from hostwin.operators.sampling import MAX_CONTEXT, MIN_CONTEXT, context_balance
 from hostwin.operators.splits import split_days, take
 from hostwin.schemas import KEPT_DAYS, KEYS, TEST_DAYS, TRAIN_DAYS, WINDOW_SECONDS
-from hostwin.session import pin
+from hostwin.session import pin, scratch_scope
 from hostwin.sources.tables import write_table
 
 
@@ -42,16 +42,16 @@ class Study:
 
 def study_tables(logs: dict[str, DataFrame], study: Study) -> dict[str, DataFrame]:
     """EDR and XDR rows of the study days with their ``split``, balanced if asked for."""
-    master = pin(build_master(logs, study.width))
+    # Days that are not studied are dropped from the logs, before anything is shuffled.
+    master = pin(filter_days(build_master(logs, study.width), study.keep_days))
     edr, xdr = edr_of(master), master
     if study.balance == "context":
         edr, xdr = context_balance(
-            filter_days(edr, study.keep_days), xdr, study.min_context, study.max_context,
-            study.max_context, study.seed)
+            edr, xdr, study.min_context, study.max_context, study.max_context, study.seed)
         edr = edr.drop("idx")
     elif study.balance != "none":
         raise ValueError(f"unknown balance '{study.balance}'")
-    return {name: split_days(filter_days(df, study.keep_days), study.train_days, study.test_days)
+    return {name: split_days(df, study.train_days, study.test_days)
             for name, df in (("EDR", edr), ("XDR", xdr))}
 
 
@@ -67,6 +67,9 @@ def evaluate_dataset(name: str, train: DataFrame, test: DataFrame,
     if study.validation_days:
         to_score = to_score.unionByName(keyed(train.filter(held), "valid"))
     prep = prepare(fit_on, to_score, study.include_time, keep=["row_id"])
+    if not prep.binary:
+        raise ValueError(f"the detectors need two classes, but {name} has {prep.n_classes}; "
+                         "compare_classes evaluates predictions of more")
     fitted, scored = train_and_score(prep, "row_id", study.models, study.settings)
     scored = pin(scored)
     valid = F.startswith("row_id", F.lit("valid|"))
@@ -74,25 +77,37 @@ def evaluate_dataset(name: str, train: DataFrame, test: DataFrame,
         scored.filter(~valid), name, study.models, study.target_recall, study.tuning_rule,
         scored.filter(valid) if study.validation_days else None)
     weights = importances(train.sparkSession, fitted, prep.features)
-    tables["importances"] = weights.select(F.lit(name).alias("dataset"), "*")
-    return tables
+    more = {"overview": overview(train, test, study.include_time),
+            "class_balance": data_balance(train, test),
+            "baseline": baseline_accuracy(train, test),
+            "importances": weights, "top_features": top_features(weights)}
+    return tables | {n: t.select(F.lit(name).alias("dataset"), "*") for n, t in more.items()}
+
+
+def data_balance(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Class balance of both sides, with the warning where one is extremely unbalanced."""
+    sides = [class_balance(df).withColumn("split", F.lit(side))
+             for df, side in ((train, "train"), (test, "test"))]
+    return sides[0].unionByName(sides[1])
 
 
 def run_study(logs: dict[str, DataFrame], path: str, study: Study | None = None) -> list[str]:
     """Build, split, train and evaluate EDR and XDR; write the tables under ``path``.
 
     Tables go to ``path/tables/<dataset>`` by split, reports to
-    ``path/report/<section>`` with one folder per dataset.
+    ``path/report/<section>`` with one folder per dataset. What was stored on the way is removed.
     """
     study = study or Study()
+    spark = next(iter(logs.values())).sparkSession
     written = []
-    for name, df in study_tables(logs, study).items():
-        target = f"{path}/tables/{name}"
-        write_table(df, target, partition_by=["split"])
-        stored = df.sparkSession.read.parquet(target).select(*df.columns)
-        reports = evaluate_dataset(name, take(stored, "train"), take(stored, "test"), study)
-        for section, table in reports.items():
-            out = f"{path}/report/{section}/dataset={name}"
-            write_table(table.drop("dataset"), out)
-            written.append(out)
+    with scratch_scope(spark):
+        for name, df in study_tables(logs, study).items():
+            target = f"{path}/tables/{name}"
+            write_table(df, target, partition_by=["split"])
+            stored = spark.read.parquet(target).select(*df.columns)
+            reports = evaluate_dataset(name, take(stored, "train"), take(stored, "test"), study)
+            for section, table in reports.items():
+                out = f"{path}/report/{section}/dataset={name}"
+                write_table(table.drop("dataset"), out)
+                written.append(out)
     return written

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+_LOCAL_SCRATCH = "hostwin.local.scratch"
+_scope: ContextVar[list[str] | None] = ContextVar("pins of the innermost scratch scope", default=None)
 
 
 def get_spark(app: str = "hostwin", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,29 +34,76 @@ def get_spark(app: str = "hostwin", master: str | None = None, **conf: str) -> S
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever it is installed for the driver.
+
+    Functions that run in tasks are found by the name of their module. On a cluster where every
+    machine has the package installed this is not needed.
+    """
+    if any("hostwin-" in file for file in spark.sparkContext.listFiles):
+        return
+    root = Path(__file__).resolve().parent
+    # A file of the driver, which Spark serves to the workers.
+    archive = Path(tempfile.mkdtemp(prefix="hostwin-")) / f"hostwin-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The checkpoint folder of the session.
+    """The checkpoint folder of the session, which is left as it is.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``. Only a local session may
     fall back to a temporary folder, since every task then runs on this machine.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="hostwin-")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = spark.conf.get(_LOCAL_SCRATCH, None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="hostwin-")
+        spark.conf.set(_LOCAL_SCRATCH, folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared checkpoint folder, removed with the scope around it if any."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    held = _scope.get()
+    if held is not None:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at its end, everything that was stored in the shared folder inside.
+
+    Results must be written elsewhere or fetched before the scope ends. Without a scope stored
+    tables stay until the folder is cleared.
+    """
+    token = _scope.set([])
+    try:
+        yield
+    finally:
+        held = _scope.get()
+        _scope.reset(token)
+        for path in held:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path in any store that Spark reaches."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -61,23 +115,3 @@ def pin(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "pinned")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """``df`` ready to be a join side.
-
-    Up to ``limit`` rows are fetched once and broadcast; a larger table is returned as it
-    is and joined by shuffle.
-    """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
-def bounded_rows(df: DataFrame, what: str, limit: int = 10_000) -> list:
-    """Fetch a result that must be small by its meaning, such as one row per class."""
-    rows = df.take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} {what}")
-    return rows

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from hostwin.functions.scalars import day_id
 from hostwin.operators.features import check_width, measured_rows, row_measures, sum_of
@@ -36,21 +39,65 @@ def stream_features(rows: DataFrame, kind: str, width: int = WINDOW_SECONDS,
     return sums.select("src_comp", day_id(start).alias("day"), start.alias("win"), *measures)
 
 
+class _Progress(StreamingQueryListener):
+    """Adds up the progress of one query, however many batches it has."""
+
+    def __init__(self) -> None:
+        self.batches: dict[int, int] = {}
+        self.query = None
+        self.ended = threading.Event()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        if str(progress.id) == self.query:
+            self.batches[progress.batchId] = sum(
+                op.numRowsDroppedByWatermark for op in progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if str(event.id) == self.query:
+            self.ended.set()
+
+
 def run_stream(features: DataFrame, path: str, checkpoint: str) -> dict[str, int]:
     """Process everything available, then stop; returns batches and late rows dropped.
 
     Each micro-batch writes the windows it changed to a folder of its own number, so a
     repeated batch replaces itself. ``path`` and ``checkpoint`` must be shared folders.
+    A source without a limit per batch gives its whole backlog as the first batch.
     """
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = (features.writeStream.outputMode("update").foreachBatch(store)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
-    progress = query.recentProgress
-    late = sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
-    return {"batches": len(progress), "late_rows": late}
+    spark, seen = features.sparkSession, _Progress()
+    spark.streams.addListener(seen)
+    try:
+        query = (features.writeStream.outputMode("update").foreachBatch(store)
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        seen.query = str(query.id)
+        # The last progress also stays with the query; earlier ones reach the listener in order.
+        query.awaitTermination()
+        seen.ended.wait(60)
+        for progress in query.recentProgress:
+            seen.batches[progress["batchId"]] = sum(
+                op["numRowsDroppedByWatermark"] for op in progress["stateOperators"])
+    finally:
+        spark.streams.removeListener(seen)
+    return {"batches": len(seen.batches), "late_rows": sum(seen.batches.values())}
+
+
+def compact_windows(spark: SparkSession, path: str, target: str) -> None:
+    """Write the last state of every window once, one folder per day.
+
+    Readers of many batches then read each window once; batches stored so far can be removed.
+    """
+    rows = read_windows(spark, path)
+    rows.repartition("day").write.mode("overwrite").partitionBy("day").parquet(target)
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:

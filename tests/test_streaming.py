@@ -1,8 +1,11 @@
+import os
+
 import pytest
 
 from hostwin.operators import features
 from hostwin.sources.tables import read_log
-from hostwin.streaming.features import read_log_stream, read_windows, run_stream, stream_features
+from hostwin.streaming.features import (
+    compact_windows, read_log_stream, read_windows, run_stream, stream_features)
 
 
 def write(folder, name, rows):
@@ -41,3 +44,30 @@ def test_late_rows_change_nothing_and_are_counted(spark, folders):
     done = run(spark, source, out, ckpt)
     assert {tuple(r) for r in read_windows(spark, out).collect()} == before
     assert done["late_rows"] >= 1
+
+
+def test_totals_cover_batches_that_progress_forgot(spark, folders):
+    """Only three updates are remembered, of eight batches and one more without data."""
+    source, out, ckpt = folders
+    name = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(name, "3")
+    try:
+        for i in range(8):
+            rows = [(9000 + i, "A")] if i == 0 else [(9000 + i, "A"), (100, "B")]
+            write(source, f"{i}.txt", rows)
+            os.utime(source / f"{i}.txt", (1_700_000_000 + i, 1_700_000_000 + i))
+        done = run(spark, source, out, ckpt)
+    finally:
+        spark.conf.unset(name)
+    assert done["batches"] >= 8 and done["late_rows"] >= 6
+
+
+def test_compacted_windows(spark, folders, tmp_path):
+    source, out, ckpt = folders
+    write(source, "a.txt", [(t, f"C{t % 3}") for t in range(0, 2000, 40)])
+    write(source, "b.txt", [(t, f"C{t % 3}") for t in range(1000, 90_000, 900)])
+    run(spark, source, out, ckpt)
+    compact_windows(spark, out, str(tmp_path / "compact"))
+    stored = spark.read.parquet(str(tmp_path / "compact"))
+    got = read_windows(spark, out)
+    assert stored.select(*got.columns).exceptAll(got).count() == 0 and stored.count() == got.count()
