@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostwin.functions.scalars import (
@@ -24,7 +24,8 @@ from hostwin.sources import fixtures
 from hostwin.sources.tables import (
     read_log, read_logs, read_master, read_text, write_sorted, write_split,
     write_table)
-from hostwin.streaming.features import read_windows, run_stream, stream_features
+from hostwin.streaming.features import (
+    compact_windows, read_windows, run_stream, stream_features)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,7 +168,7 @@ def split_round_trip(spark, sf_dir):
 def sorted_files(spark, sf_dir):
     path = scratch_path(spark, "sorted")
     rows = edr_of(spark, sf_dir).select(*KEYS, "auth_total")
-    write_sorted(filter_days(rows, [1, 2, 5]), path, order.CHRONO)
+    write_sorted(rows, path, order.CHRONO)
     return read_master(spark, path)
 
 
@@ -297,7 +298,7 @@ def sorted_filtered(spark, sf_dir):
 
 @query
 def split_last_days(spark, sf_dir):
-    return splits.split_last_days(edr_of(spark, sf_dir).select(*KEYS, "label"))
+    return splits.split_last_days(pin(edr_of(spark, sf_dir).select(*KEYS, "label")))
 
 
 @query
@@ -307,7 +308,7 @@ def split_fixed_days(spark, sf_dir):
 
 @query
 def split_and_save(spark, sf_dir):
-    master = master_of(spark, sf_dir, SIX_HOURS)
+    master = pin(master_of(spark, sf_dir, SIX_HOURS))
     paths = splits.split_and_save(
         {"EDR": datasets.edr_of(master), "XDR": master}, scratch_path(spark, "splits"))
     parts = [spark.read.parquet(p).groupBy("split").agg(
@@ -320,7 +321,8 @@ def split_and_save(spark, sf_dir):
 # Balancing
 
 def _indexed(spark, sf_dir):
-    return order.global_index(order.sort_filter(edr_of(spark, sf_dir)))
+    """Positions of the kept rows; only keys and label are sorted."""
+    return order.global_index(order.sort_filter(edr_of(spark, sf_dir).select(*KEYS, "label")))
 
 
 @query
@@ -350,6 +352,13 @@ def context_balance_xdr(spark, sf_dir):
     return sampling.context_balance(datasets.edr_of(master), master)[1]
 
 
+@query
+def slice_like(spark, sf_dir):
+    master = _study_master(spark, sf_dir)
+    chosen = order.global_index(datasets.edr_of(master).select(*KEYS)).filter("idx % 7 = 3")
+    return sampling.slice_like(master, chosen).select(*KEYS, "flows_count", "label")
+
+
 @query
 def context_balance_tight(spark, sf_dir):
     edr = datasets.edr_of(_study_master(spark, sf_dir))
@@ -417,8 +426,8 @@ def column_quantiles(spark, sf_dir):
 @query
 def encode_labels(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
-    classes = prep.label_codes(events, "event_type")
-    return prep.encode_labels(events, "event_type", classes)
+    codes = prep.label_codes(events, "event_type")
+    return prep.encode_labels(events, "event_type", codes)
 
 
 @query
@@ -571,6 +580,14 @@ def compare(spark, sf_dir):
     return evaluate.compare(_scored(spark, sf_dir))
 
 
+@query
+def compare_classes(spark, sf_dir):
+    scored3 = fixtures.view(spark, sf_dir, "scored3")
+    each = scored3.select("model", "y", "pred", F.explode(F.array(*map(F.lit, range(3)))).alias("class"))
+    return evaluate.compare_classes(scored3, each.withColumn(
+        "score", (F.col("pred") == F.col("class")).cast("double")))
+
+
 @query
 def compare_rounded(spark, sf_dir):
     return round_doubles(evaluate.compare(_scored(spark, sf_dir)))
@@ -587,8 +604,7 @@ def best_models(spark, sf_dir):
 def report_sections(spark, sf_dir):
     tables = evaluate.report_tables(_scored(spark, sf_dir), "EDR", rule="max_threshold")
     parts = [t.groupBy("dataset", "model").agg(F.count(F.lit(1)).alias("n_rows")).select(
-        "dataset", F.lit(name).alias("section"), "model", "n_rows")
-        for name, t in tables.items() if name != "best_models"]
+        "dataset", F.lit(name).alias("section"), "model", "n_rows") for name, t in tables.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -620,6 +636,23 @@ def successor_counts(spark, sf_dir):
 
 # Streaming
 
+@query
+def stream_many_batches(spark, sf_dir):
+    """The same features over the log in four files in time order, a file per micro-batch, compacted."""
+    auth = log_of(spark, sf_dir, "auth")
+    source, out, compact = (scratch_path(spark, n) for n in ("log", "windows", "compact"))
+    week = F.floor(F.col("time").try_cast("bigint") / (8 * 86_400)).cast("int")
+    parts = auth.withColumn("part", F.coalesce(F.least(week, F.lit(3)), F.lit(0)))
+    for part in range(4):  # one after the other, so that file times follow log times
+        write_table(parts.filter(F.col("part") == part).drop("part").coalesce(1), source, "csv", "append")
+    stream = spark.readStream.schema(auth.schema).option("header", True).option("escape", '"').option(
+        "maxFilesPerTrigger", 1).csv(source)
+    run_stream(stream_features(stream, "auth", watermark="3 days"), out, scratch_path(spark, "stream"))
+    compact_windows(spark, out, compact)
+    windows = spark.read.parquet(compact).withColumn("day", F.col("day").cast("bigint"))
+    return features.finish(windows.select(*KEYS, *features.row_measures("auth")), "auth")
+
+
 @query
 def stream_auth_features(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -653,47 +686,69 @@ def _predictions(spark, sf_dir, name, fit):
     return scored_rows(name, out, "row_id", score, pred)
 
 
+def _summary(scored):
+    """What SQL can state of each fit, and what must be true of any that learned something.
+
+    ``answers`` is the number of classes predicted; ``informed`` whether predictions, or scores
+    where there are any, are higher on average for positive rows.
+    """
+    told = F.coalesce("score", F.col("pred").cast("double"))
+    return scored.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("row_id").alias("n_ids"),
+        F.sum(F.col("y").cast("bigint")).alias("positives"), F.count("score").alias("with_score"),
+        F.count_if(~F.col("score").between(0, 1) | F.isnan("score")).alias("outside"),
+        F.count_if(~F.col("pred").isin(0, 1) | F.col("pred").isNull()).alias("odd_answers"),
+        F.count_if(F.col("score").isNotNull() & (F.abs(F.col("score") - 0.5) > 1e-9)
+                   & ((F.col("score") > 0.5).cast("int") != F.col("pred"))).alias("disagree"),
+        (F.count_distinct(told) > 1).alias("varied"),
+        (F.avg(F.when(F.col("y") == 1, told)) > F.avg(F.when(F.col("y") == 0, told))).alias("informed"))
+
+
 @query
 def fit_logistic(spark, sf_dir):
-    return _predictions(spark, sf_dir, MODEL_NAMES[0], lambda p: fit_logreg(p.train, p.features))
+    return _summary(_predictions(spark, sf_dir, MODEL_NAMES[0], lambda p: fit_logreg(p.train, p.features)))
 
 
 @query
 def fit_forest_smote(spark, sf_dir):
-    return _predictions(spark, sf_dir, MODEL_NAMES[1],
-                        lambda p: fit_rf_smote(p.train, p.features, "row_id", SMALL))
+    return _summary(_predictions(spark, sf_dir, MODEL_NAMES[1],
+                        lambda p: fit_rf_smote(p.train, p.features, "row_id", SMALL)))
 
 
 @query
 def fit_boosted(spark, sf_dir):
-    return _predictions(spark, sf_dir, MODEL_NAMES[2],
-                        lambda p: fit_gbt(p.train, p.features, SMALL))
+    return _summary(_predictions(spark, sf_dir, MODEL_NAMES[2],
+                        lambda p: fit_gbt(p.train, p.features, SMALL)))
 
 
 @query
 def fit_balanced_forest(spark, sf_dir):
-    return _predictions(spark, sf_dir, MODEL_NAMES[3],
-                        lambda p: fit_balanced_rf(p.train, p.features, "row_id", SMALL))
+    return _summary(_predictions(spark, sf_dir, MODEL_NAMES[3],
+                        lambda p: fit_balanced_rf(p.train, p.features, "row_id", SMALL)))
 
 
 @query
 def fit_svm(spark, sf_dir):
-    return _predictions(spark, sf_dir, MODEL_NAMES[4],
-                        lambda p: fit_linear_svm(p.train, p.features))
+    return _summary(_predictions(spark, sf_dir, MODEL_NAMES[4],
+                        lambda p: fit_linear_svm(p.train, p.features)))
 
 
 @query
 def iforest_scores(spark, sf_dir):
     done = _prepared(spark, sf_dir)
-    forest = fit_iforest(done.train, done.features, "row_id", trees=50)
-    return score_iforest(done.test, forest).select("row_id", "y", "anomaly")
+    forest = fit_iforest(done.train, done.features, "row_id")
+    score = F.col("anomaly")
+    return score_iforest(done.test, forest).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("y").cast("bigint")).alias("positives"),
+        F.count_if((score <= 0) | (score >= 1) | score.isNull()).alias("outside"),
+        F.lit(len(forest["trees"])).alias("trees"), (F.count_distinct(score) > 1).alias("varied"))
 
 
 @query
 def train_and_score_all(spark, sf_dir):
     done = _prepared(spark, sf_dir)
     _, scored = train_and_score(done, "row_id", settings=SMALL)
-    return scored
+    return _summary(scored)
 
 
 @query
@@ -701,5 +756,13 @@ def top_features(spark, sf_dir):
     done = _prepared(spark, sf_dir)
     fitted = {MODEL_NAMES[0]: fit_logreg(done.train, done.features),
               MODEL_NAMES[2]: fit_gbt(done.train, done.features, SMALL)}
-    return evaluate.top_features(importances(spark, fitted, done.features))
+    top = evaluate.top_features(importances(spark, fitted, done.features))
+    below = Window.partitionBy("model").orderBy("rank")
+    ordered = top.withColumn("before", F.lag("importance").over(below))
+    return ordered.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("feature").alias("n_features"),
+        F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"),
+        F.count_if(F.col("before") < F.col("importance")).alias("out_of_order"),
+        F.count_if(F.col("importance") != F.abs("coefficient")).alias("odd_coefficients"),
+        F.count("coefficient").alias("coefficients"), (F.max("importance") > 0).alias("informed"))
 
