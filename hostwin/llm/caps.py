@@ -126,8 +126,11 @@ def usable(vector: str) -> Column:
 
 
 def decoded(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Adds ``filters``: the sorted numbers of all caps that hold the vector."""
-    n = nodes.count()
+    """Adds ``filters``: the sorted numbers of all caps that hold the vector.
+
+    Only vectors of one label meet, so caps are planned for the number of the largest label.
+    """
+    n = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
 
     def run(batches: Batches):
         for batch in slices(batches, 512):
