@@ -39,6 +39,8 @@ SHORTEST = 20
 CLASSES = [20, 24, 32, 40, 48, 64, 128]
 BINS = 64
 _SYMBOLS = [(set(a), {c: i for i, c in enumerate(a)}) for a in ENCODINGS.values()]
+_KINDS_OF = [np.unique([c.isdigit() + 2 * c.islower() + 4 * c.isupper() for c in a], return_inverse=True)[1]
+             for a in ENCODINGS.values()]
 _RUN = bytes(120 if chr(i) in ENCODINGS["base64"] + "-_" else 32 for i in range(256))
 Span = tuple[str, int, int]
 
@@ -79,8 +81,9 @@ def randomness(value: str) -> float | None:
     """How well a string agrees with random symbols of its inferred encoding, from 0 to 1.
 
     Three p-values are combined by Fisher's method: the chi-squared test of equal symbol counts
-    (with its exact mean and variance, as counts are small), the runs test about the middle of
-    the alphabet, and the lag-1 serial correlation. None if no encoding or digits alone.
+    (the smaller p of single symbols and of digits, capitals, small letters and marks, twice),
+    the runs test about the middle of the alphabet, and the lag-1 serial correlation. None if no
+    encoding or digits alone.
     """
     number = encoding_of(value)
     if number is None:
@@ -89,8 +92,10 @@ def randomness(value: str) -> float | None:
     v = np.array([place[c] for c in value])
     n, k = len(v), len(place)
     counts = np.bincount(v, minlength=k)
-    chi = (k / n) * float((counts * counts).sum()) - n
-    p1 = _upper((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+    fine = _chi_tail(counts, np.full(k, n / k))
+    kinds = _KINDS_OF[number]
+    coarse = _chi_tail(np.bincount(kinds, counts), np.bincount(kinds) * n / k)
+    p1 = min(1.0, 2 * min(fine, coarse))
     high = v >= k / 2
     n1 = int(high.sum())
     n2 = n - n1
@@ -108,6 +113,20 @@ def randomness(value: str) -> float | None:
     return math.exp(-x) * (1 + x + x * x / 2)
 
 
+def _chi_tail(counts: np.ndarray, expected: np.ndarray) -> float:
+    """P-value of Pearson's statistic, by a normal with its exact mean and variance.
+
+    Counts may be small: the variance has the term for few observations.
+    """
+    n, k = float(counts.sum()), len(counts)
+    if k == 1:
+        return 1.0
+    share = expected / n
+    chi = float(((counts - expected) ** 2 / expected).sum())
+    variance = 2 * (k - 1) + (float((1 / share).sum()) - k * k - 2 * (k - 1)) / n
+    return _upper((chi - (k - 1)) / math.sqrt(max(variance, 1e-9)))
+
+
 def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
