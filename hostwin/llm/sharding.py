@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from hostwin.session import pin
 
 SIZES = ["bytes", "tokens", "rows"]
+#: Importance of the dimensions: shards are to be even in bytes first of all.
+WEIGHTS = (4.0, 1.0, 1.0)
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -19,18 +21,19 @@ def measures(text: Column) -> dict[str, Column]:
             "tokens": words.cast("bigint"), "rows": F.lit(1).cast("bigint")}
 
 
-def place(items: np.ndarray, shards: int) -> np.ndarray:
+def place(items: np.ndarray, shards: int, weights: tuple[float, ...] | None = None) -> np.ndarray:
     """A shard for each item (rows of non-negative sizes, one column per dimension).
 
     Items go by falling size to the shard whose residual capacity has the highest dot product
-    with them; capacities are equal shares of the total and may be overdrawn. Ties go to the
-    shard with the lower number.
+    with them, its dimensions weighted by ``weights`` (1 each if not given); capacities are equal
+    shares of the total and may be overdrawn. Ties go to the shard with the lower number.
     """
     scaled = items / np.maximum(items.sum(axis=0) / shards, 1e-300)
     left = np.ones((shards, items.shape[1]))
+    worth = np.ones(items.shape[1]) if weights is None else np.array(weights)
     chosen = np.empty(len(items), dtype=np.int32)
     for i in np.argsort(-scaled.sum(axis=1), kind="stable"):
-        at = int(np.argmax(left @ scaled[i]))
+        at = int(np.argmax(left @ (scaled[i] * worth)))
         chosen[i] = at
         left[at] -= scaled[i]
     return chosen
@@ -70,7 +73,7 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
         np.repeat((heavy[SIZES].to_numpy(float) / np.maximum(pieces, 1).to_numpy()[:, None]), pieces,
                   axis=0).reshape(-1, len(SIZES)),
         light[SIZES].to_numpy(float).reshape(-1, len(SIZES))])
-    chosen = place(items, shards).tolist()
+    chosen = place(items, shards, WEIGHTS).tolist()
     spark = docs.sparkSession
     keys = [(int(k), p, int(n)) for k, n in zip(heavy["key"], pieces) for p in range(n)]
     own = spark.createDataFrame(
