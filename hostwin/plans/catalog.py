@@ -611,6 +611,20 @@ def report_sections(spark, sf_dir):
     return out
 
 
+@query
+def report_values(spark, sf_dir):
+    tables = evaluate.report_tables(_scored(spark, sf_dir), "EDR", rule="max_threshold")
+
+    def values(section, measures):
+        return tables[section].unpivot(["model"], measures, "measure", "value").select(
+            F.lit(section).alias("section"), "model", "measure", "value")
+
+    best = tables["best_models"].select(
+        F.lit("best_models").alias("section"), "model", F.col("metric").alias("measure"), F.col("score").alias("value"))
+    return (values("comparison", evaluate.METRICS).unionAll(values("errors", evaluate.ERROR_RATES))
+            .unionAll(values("tuning", ["threshold"])).unionAll(best).filter("value is not null"))
+
+
 # Text
 
 def _docs(spark, sf_dir):

@@ -510,10 +510,21 @@ top as (select *, row_number() over (partition by metric order by v desc,
         "threshold_sweep": "select model, 101 as n from tune",
         "score_histogram": "select model, 30 as n from tune",
     }
-    out["report_sections"] = _with(
-        ["scored"], *compared, _TUNE_MAX, roc, final) + " union all ".join(
+    sections["best_models"] = "select model, count(*) as n from top where r = 1 group by 1"
+    # The sections evaluate the tuned predictions.
+    tuned = [_RANKED, _TUNE_MAX, roc, final, _CELLS.format("final"), _CLASSES, _BINARY, _BALACC, _AREAS,
+             _COMPARE, _ERRORS, f"every as ({long})", """top as (select *, row_number() over (
+ partition by metric order by v desc, model) as r from every where score is not null)"""]
+    out["report_sections"] = _with(["scored"], *tuned) + " union all ".join(
         f"select 'EDR' as dataset, '{k}' as section, model, cast(n as bigint) as n_rows from ({v})"
         for k, v in sections.items())
+    # Values of the short sections, one row per model and measure.
+    values = [f"select 'comparison' as section, model, '{m}' as measure, {m} as v from cmp" for m in metrics]
+    values += [f"select 'errors', model, '{m}', {m} from err" for m in ("fp_rate", "miss_rate")]
+    values += ["select 'tuning', model, 'threshold', threshold from tune",
+               "select 'best_models', model, metric, score from top where r = 1"]
+    out["report_values"] = _with(["scored"], *tuned) + f"""select section, model, measure,
+ round(cast(v as double), 6) as value from ({" union all ".join(values)}) where v is not null"""
 
     # Every fit sees the whole six-hour table; its test rows are the last seven days.
     rows = _on_master(SIX_HOURS, "", """rows as (select * from (select *, day > max(day) over () - 7 as held
