@@ -49,8 +49,8 @@ def held_out(id_col: str, parts: int = 4, part: int = 2) -> Column:
 
 
 def learn(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id",
-          docs_per_language: int = 6000, most_languages: int = 64, words_per_language: int = 50_000,
-          grams_per_language: int = 30_000, longest: int = 5) -> Model:
+          docs_per_language: int = 6000, most_languages: int = 64, words_per_language: int = 40_000,
+          grams_per_language: int = 20_000, longest: int = 5) -> Model:
     """A model from labelled texts.
 
     Rows with a NULL text or language teach nothing. About ``docs_per_language`` documents of each
@@ -113,14 +113,16 @@ def _most_frequent(counts: DataFrame, most: int):
         "row_number() over (partition by lang, part order by n desc, word)")).filter(F.col("place") <= most)
     return narrowed.withColumn("place", F.expr(
         "row_number() over (partition by lang order by n desc, word)")).filter(
-        F.col("place") <= most).select("lang", "word", "n").toPandas()
+        F.col("place") <= most).select("lang", "word", "n").toArrow()
 
 
 def _costs(languages: list[str], rows, kind) -> tuple[dict[str, int], np.ndarray]:
     """Costs of words per language; a word that a language lacks costs ten times its rarest one."""
-    at = {w: i for i, w in enumerate(sorted(set(rows["word"])))}
+    listed = rows["word"].to_pylist()
+    at = {w: i for i, w in enumerate(sorted(set(listed)))}
     counts = np.zeros((len(at), len(languages)))
-    counts[rows["word"].map(at), rows["lang"].map({x: i for i, x in enumerate(languages)})] = rows["n"]
+    number = {x: i for i, x in enumerate(languages)}
+    counts[[at[w] for w in listed], [number[x] for x in rows["lang"].to_pylist()]] = rows["n"].to_numpy()
     kinds = np.array([kind(w) for w in at])
     costs = np.zeros_like(counts)
     for k in set(kinds.tolist()):
@@ -134,8 +136,8 @@ def _costs(languages: list[str], rows, kind) -> tuple[dict[str, int], np.ndarray
 class Scorer:
     """Costs of whole texts; costs of unseen words are remembered up to a bound."""
 
-    def __init__(self, model: Model, remembered: int = 100_000):
-        self.model, self.remembered = model, remembered
+    def __init__(self, model: Model, remembered: int = 100_000, evidence: int = 25):
+        self.model, self.remembered, self.evidence = model, remembered, evidence
         self.at = dict(model.words)
         self.costs = np.concatenate([model.word_costs, np.zeros(
             (remembered, len(model.languages)), np.float32)])
@@ -171,8 +173,10 @@ class Scorer:
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the lowest mean cost per word; the score is its share of 1.
 
-        Languages share 1 in proportion to 10 ** -(mean cost per word). Ties go to the language
-        that comes first by name. NULL, letters none or no model: ('und', 0).
+        Languages share 1 in proportion to 10 ** -(cost of the text), where a text longer than
+        ``evidence`` words costs as much as so many of its mean words: words of a text are not
+        independent, and a long one is not certain for its length. Ties go to the language that
+        comes first by name. NULL, letters none or no model: ('und', 0).
         """
         words = words_of(text)
         if not words or not self.model.languages:
@@ -184,7 +188,8 @@ class Scorer:
             total += self.costs[self.rows_of(part)].sum(axis=0, dtype=np.float64)
         mean = total / len(words)
         best = int(mean.argmin())
-        return self.model.languages[best], float(1 / (10 ** (mean[best] - mean)).sum())
+        weight = min(len(words), self.evidence)
+        return self.model.languages[best], float(1 / (10 ** (weight * (mean[best] - mean))).sum())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred",

@@ -44,18 +44,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12) -> D
 
     ``targets`` has (value, target) per dimension; a value without target gets weight 0. Each
     round scales by one dimension after another; its result is stored, so plans stay short.
-    Cells are one per combination that occurs, far fewer than documents.
+    Targets are joined once, and a step is one window over the cells of each value: cells are
+    one per combination that occurs, far fewer than documents.
     """
     cells = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for dim, target in targets.items():
+        cells = cells.join(target.withColumnRenamed("target", f"_{dim}"), dim, "left")
+    cells = pin(cells)
     for _ in range(rounds):
-        for dim, target in targets.items():
-            now = cells.groupBy(dim).agg(F.sum("weight").alias("_now"))
-            scale = now.join(target, dim, "left").select(
-                dim, F.coalesce(F.try_divide("target", "_now"), F.lit(0.0)).alias("_scale"))
-            cells = (cells.join(scale, dim).withColumn("weight", F.col("weight") * F.col("_scale"))
-                     .drop("_scale"))
+        for dim in targets:
+            now = F.sum("weight").over(Window.partitionBy(dim))
+            cells = cells.withColumn("weight", F.coalesce(
+                F.col("weight") * F.try_divide(F.col(f"_{dim}"), now), F.lit(0.0)))
         cells = pin(cells)
-    return cells
+    return cells.drop(*[f"_{dim}" for dim in targets])
 
 
 def calibrated(cells: DataFrame, keep: float = 0.8) -> DataFrame:

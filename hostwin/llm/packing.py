@@ -263,8 +263,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "
     """
     tokens = tokenized(docs, vocabulary, id_col, text, end)
     placed, length = along_curve(tokens)
-    rows = tokens.join(placed, "uid").select("id", "hilbert", "ids", "position")
-    width = 2 if tokenizer(vocabulary).get_vocab_size() <= 1 << 16 else 4
+    rows = tokens.join(placed, "uid").select("id", "hilbert", "ids", "position", "n")
     schema = PIECES.format(kind=dict(rows.dtypes)["id"]) + (", ids array<int>" if with_ids else "")
 
     def cut(batches: Batches):
@@ -274,8 +273,9 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "
             source, rows, ids = [], [], []
             blobs = batch.column(names.index("ids")).to_pylist()
             positions = batch.column(names.index("position")).to_pylist()
-            for k, (blob, position) in enumerate(zip(blobs, positions)):
-                whole = np.frombuffer(blob, f"<u{width}").astype("<u4")
+            counts = batch.column(names.index("n")).to_pylist()
+            for k, (blob, position, n) in enumerate(zip(blobs, positions, counts)):
+                whole = np.frombuffer(blob, f"<u{len(blob) // n}").astype("<u4")
                 start = 0
                 while start < len(whole):
                     sequence, offset, room = sequences.at(position + start)

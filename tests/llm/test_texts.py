@@ -137,11 +137,13 @@ def test_held_out_languages_are_recognised(spark, sf, docs):
 def test_backoff():
     counts = {"a": "the then there", "b": "der den dem"}
     import pandas as pd
-    rows = pd.DataFrame([(k, w, 1) for k, v in counts.items() for w in v.split()], columns=["lang", "word", "n"])
+    import pyarrow as pa
+    rows = pa.Table.from_pylist([{"lang": k, "word": w, "n": 1} for k, v in counts.items() for w in v.split()])
     words, costs = langid._costs(["a", "b"], rows, lambda w: 0)
     pieces = pd.DataFrame([(k, g, 1) for k, v in counts.items() for w in v.split() for n in range(1, 6)
                            for g in langid.grams(w, n)], columns=["lang", "word", "n"])
-    known, gram_costs = langid._costs(["a", "b"], pieces.groupby(["lang", "word"], as_index=False).sum(), len)
+    known, gram_costs = langid._costs(["a", "b"], pa.Table.from_pandas(
+        pieces.groupby(["lang", "word"], as_index=False).sum()), len)
     scorer = langid.Scorer(langid.Model(["a", "b"], words, costs, known, gram_costs, 5), remembered=3)
     assert scorer.predict("the the")[0] == "a" and scorer.predict("DEN")[0] == "b"
     assert scorer.predict("thex they thes theo")[0] == "a"  # unseen; more of them than are remembered
