@@ -29,8 +29,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with probabilities raked to evened-out source, language and topic shares."""
-    return mixing.keep_mixed(docs)
+    """Documents drawn, some more than once, so that tokens have evened-out source, language and topic shares."""
+    return mixing.repeat_mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

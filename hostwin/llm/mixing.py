@@ -60,12 +60,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12) -> D
     return cells.drop(*[f"_{dim}" for dim in targets])
 
 
-def calibrated(cells: DataFrame, keep: float = 0.8) -> DataFrame:
+def calibrated(cells: DataFrame, keep: float = 0.8, repeats: bool = False) -> DataFrame:
     """Sampling probability of each cell: in proportion to its weight per token, at most 1.
 
     The factor is the one with which ``keep`` of all tokens are expected. Cells that it would
-    lift above 1 are taken whole, and the factor of the others is raised to make up for them.
+    lift above 1 are taken whole, and the factor of the others is raised to make up for them:
+    the expected shares then miss those of the weights. With ``repeats`` nothing is capped, a
+    probability above 1 is the expected number of copies, and the shares are those of the weights.
     """
+    if repeats:
+        whole = cells.agg(F.sum("tokens").alias("t"), F.sum("weight").alias("w"))
+        return cells.join(F.broadcast(whole)).withColumn("probability", F.coalesce(
+            F.try_divide(F.lit(keep) * F.col("t") * F.col("weight"), F.col("w") * F.col("tokens")),
+            F.lit(0.0))).drop("t", "w")
     rated = cells.withColumn("rate", F.coalesce(F.try_divide("weight", F.col("tokens").cast("double")),
                                                 F.lit(0.0)))
     total = rated.agg(F.sum("tokens").alias("t"), F.sum("weight").alias("w"))
@@ -85,27 +92,61 @@ def calibrated(cells: DataFrame, keep: float = 0.8) -> DataFrame:
 
 def mix_documents(docs: DataFrame, power: float = 0.7, rounds: int = 12, seed: str = "mix",
                   keep: float = 0.8, topic: Column | None = None, targets: dict[str, DataFrame] | None = None,
-                  id_col: str = "doc_id", text: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text: str = "text", repeats: bool = True) -> DataFrame:
     """Every document with its cell, calibrated probability and decision.
 
-    Adds to (id): source, lang, topic, tokens, probability, draw, kept. The token weights of the
-    cells are raked to the target shares (by default :func:`tempered` own shares), and a document
-    is kept if a draw in [0, 1) hashed from its id is below the probability of its cell. Cells
-    below probability 1 keep their raked proportions in expectation. NULL values are a group of their own, written ''.
-    Documents with the same id share a draw; NULL ids draw as ''. An empty table gives no rows.
+    Adds to (id): source, lang, topic, tokens, probability, draw, copies, kept. The token weights
+    of the cells are raked to the target shares (by default :func:`tempered` own shares).
+    ``probability`` is the expected number of copies of each document of a cell: its whole part
+    is certain, and one more is taken if a draw in [0, 1) hashed from the id is below the rest.
+    Without ``repeats`` it is capped at 1 and the mix misses the targets (see :func:`calibrated`).
+    NULL values are a group of their own, written ''. Documents with the same id share a draw;
+    NULL ids draw as ''. An empty table gives no rows.
     """
     rows = labelled(docs, topic, id_col, text)
-    return (join_cells(rows, cell_odds(rows, power, rounds, keep, targets))
+    return (join_cells(rows, cell_odds(rows, power, rounds, keep, targets, repeats))
             .withColumn("draw", draw_of("id", seed))
+            .withColumn("copies", copies_of(F.col("probability"), F.col("draw")))
             .withColumn("kept", F.col("draw") < F.col("probability")))
 
 
 def cell_odds(rows: DataFrame, power: float = 0.7, rounds: int = 12, keep: float = 0.8,
-              targets: dict[str, DataFrame] | None = None) -> DataFrame:
+              targets: dict[str, DataFrame] | None = None, repeats: bool = True) -> DataFrame:
     """(source, lang, topic, probability) of every cell of labelled rows, stored."""
     cells = pin(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     targets = targets or {d: pin(tempered(cells, d, power)) for d in DIMENSIONS}
-    return pin(calibrated(rake(cells, targets, rounds), keep).select(*DIMENSIONS, "probability"))
+    return pin(calibrated(rake(cells, targets, rounds), keep, repeats).select(*DIMENSIONS, "probability"))
+
+
+def reached(mixed: DataFrame, power: float = 0.7, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(dimension, value, own, target, expected, reached) token shares of every value.
+
+    ``mixed`` is a result of :func:`mix_documents`; ``expected`` follows from its probabilities,
+    ``reached`` from its copies.
+    """
+    sums = pin(mixed.groupBy(*DIMENSIONS).agg(
+        F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("probability")).alias("expected"),
+        F.sum(F.col("tokens") * F.col("copies")).alias("reached")))
+    total = sums.agg(*[F.sum(c).alias(f"all_{c}") for c in ("tokens", "expected", "reached")])
+    parts = None
+    for dim in DIMENSIONS:
+        target = (targets or {}).get(dim)
+        target = tempered(sums, dim, power) if target is None else target
+        own = sums.groupBy(dim).agg(*[F.sum(c).alias(c) for c in ("tokens", "expected", "reached")])
+        part = (own.join(target, dim, "left").join(F.broadcast(total))
+                .select(F.lit(dim).alias("dimension"), F.col(dim).alias("value"),
+                        F.try_divide("tokens", "all_tokens").alias("own"),
+                        F.coalesce("target", F.lit(0.0)).alias("target"),
+                        F.try_divide("expected", "all_expected").alias("expected"),
+                        F.try_divide("reached", "all_reached").alias("reached")))
+        parts = part if parts is None else parts.unionAll(part)
+    return parts
+
+
+def copies_of(probability: Column, draw: Column) -> Column:
+    """The whole part of a probability, and one more if the draw is below the rest."""
+    certain = F.floor(probability)
+    return (certain + F.when(draw < probability - certain, 1).otherwise(0)).cast("int")
 
 
 def draw_of(id_col: str, seed: str) -> Column:
@@ -115,14 +156,31 @@ def draw_of(id_col: str, seed: str) -> Column:
 
 def keep_mixed(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text: str = "text",
                **options) -> DataFrame:
-    """The documents that :func:`mix_documents` keeps, with their columns."""
+    """The documents that :func:`mix_documents` keeps, once each, with their columns.
+
+    This is not the mix: its token shares are those of :func:`repeat_mixed`.
+    """
+    return _drawn(docs, lambda p, draw: F.array_repeat(F.lit(0), F.when(draw < p, 1).otherwise(0)),
+                  seed, id_col, text, **options)
+
+
+def repeat_mixed(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text: str = "text",
+                 **options) -> DataFrame:
+    """As many rows of each document as :func:`mix_documents` counts copies, with its columns."""
+    return _drawn(docs, lambda p, draw: F.array_repeat(F.lit(0), copies_of(p, draw)),
+                  seed, id_col, text, **options)
+
+
+def _drawn(docs: DataFrame, rows_of, seed: str, id_col: str, text: str, **options) -> DataFrame:
+    """The documents, one row for each element of the array that ``rows_of`` makes of probability and draw."""
     own = free_prefix(docs)
     dims = [own + d for d in DIMENSIONS]
     odds = cell_odds(labelled(docs, None, id_col, text), **options).toDF(*dims, own + "p")
     named = docs.withColumns(dict(zip(dims, (
         F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), register_topic(F.col(text))))))
     return (join_cells(named, odds, dims, id_col, salt=own + "salt")
-            .filter(draw_of(id_col, seed) < F.col(own + "p")).drop(*dims, own + "p"))
+            .withColumn(own + "c", F.explode(rows_of(F.col(own + "p"), draw_of(id_col, seed))))
+            .drop(*dims, own + "p", own + "c"))
 
 
 def labelled(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id",

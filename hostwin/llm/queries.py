@@ -77,7 +77,8 @@ def op4_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its raked sampling probability and decision."""
-    mixed = mixing.mix_documents(read_table(spark, sf_dir, "documents"))
+    # The SQL beside it states probabilities of at most 1.
+    mixed = mixing.mix_documents(read_table(spark, sf_dir, "documents"), repeats=False)
     return mixed.select(F.col("id").alias("doc_id"), *mixing.DIMENSIONS, "tokens",
                         F.round("probability", 9).alias("probability"),
                         F.round("draw", 9).alias("draw"), "kept")
