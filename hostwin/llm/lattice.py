@@ -118,6 +118,71 @@ def word_log_prob(word: str, pieces: Pieces) -> float:
     return forward[n]
 
 
+def count_pieces(word: str, pieces: Pieces, weight: float, counts: dict[str, float]) -> None:
+    """Add to ``counts`` how often each piece is expected over all segmentations of a word.
+
+    Segmentations weigh by their probability (forward and backward recursion); ``weight`` is
+    the number of such words. Bytes count as pieces of their own, written as <0x41>.
+    """
+    text = START + word
+    costs, n = pieces.costs, len(text)
+    edges: list[tuple[int, int, float, str | None]] = []
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            part = text[i:j]
+            known = part in costs
+            cost = costs[part] if known else None
+            if cost is not None:
+                edges.append((i, j, cost, part))
+            elif j == i + 1:
+                edges.append((i, j, sum(pieces.byte_costs[b] for b in part.encode("utf-8", "surrogatepass")), None))
+            if not known:
+                break
+    forward, backward = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    forward[0] = backward[n] = 0.0
+    for i, j, cost, _ in edges:
+        forward[j] = _add(forward[j], forward[i] + cost)
+    for i, j, cost, _ in reversed(edges):
+        backward[i] = _add(backward[i], backward[j] + cost)
+    for i, j, cost, part in edges:
+        share = weight * math.exp(forward[i] + cost + backward[j] - forward[n])
+        for name in [part] if part is not None else [
+                f"<0x{b:02X}>" for b in text[i:j].encode("utf-8", "surrogatepass")]:
+            counts[name] = counts.get(name, 0.0) + share
+
+
+def refit(counted: DataFrame, vocabulary: str, ends: int, strength: float, rounds: int = 2) -> Pieces:
+    """Piece probabilities refitted to expected counts over all segmentations of the training words.
+
+    The first round weighs segmentations by the vocabulary's scores alone. A word counts as
+    often as it occurs, ``ends`` is the number of training texts, and the scores count as
+    ``strength`` pieces. Only one sum per piece reaches the driver.
+    """
+    model = processor(vocabulary)
+    counts = np.zeros(model.get_piece_size())
+    pieces = weigh_pieces(vocabulary, counts, ends if not rounds else 0, strength)
+    for _ in range(rounds):
+        sent = counted.sparkSession.sparkContext.broadcast(pieces)
+
+        def expect(batches: Batches, sent=sent):
+            sums: dict[str, float] = {}
+            for batch in slices(batches, 4096):
+                for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    count_pieces(word, sent.value, float(c), sums)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()),
+                                              pa.array(list(sums.values()), pa.float64())], ["piece", "n"])
+
+        found = (counted.filter("c > 0").select("word", "c").mapInArrow(expect, "piece string, n double")
+                 .groupBy("piece").agg(F.sum("n").alias("n")).toPandas())
+        counts = np.zeros(model.get_piece_size())
+        for piece, n in zip(found["piece"], found["n"]):
+            at = model.piece_to_id(piece)
+            if not model.is_unknown(at):
+                counts[at] += n
+        pieces = weigh_pieces(vocabulary, counts, ends, strength)
+    return pieces
+
+
 def _add(a: float, b: float) -> float:
     if a < b:
         a, b = b, a
@@ -131,14 +196,16 @@ def held_out(id_col: str, parts: int = 7, part: int = 2) -> Column:
 
 @dataclass
 class LatticeModel:
-    """``words`` (word, c, lattice): every word of the corpus with its count in the training texts
-    and its lattice probability as natural log; totals of training tokens and kinds; pieces."""
+    """``words`` (word, c, lattice, marginal): every word of the corpus with its count in the
+    training texts and, as natural logs, its lattice probabilities by ``pieces`` (for words that
+    are new) and by ``refitted``; totals of training tokens and kinds."""
 
     words: DataFrame
     tokens: int
     kinds: int
     ends: int
     pieces: Pieces
+    refitted: Pieces
 
 
 def learn(docs: DataFrame, vocabulary: str, text: str = "text", learned: str = "learned",
@@ -172,16 +239,18 @@ def learn(docs: DataFrame, vocabulary: str, text: str = "text", learned: str = "
     counts = np.zeros(processor(vocabulary).get_piece_size())
     counts[found["piece"].to_numpy(np.int64)] = found["n"]
     pieces = weigh_pieces(vocabulary, counts, int(total[1]), strength)
-    sent = docs.sparkSession.sparkContext.broadcast(pieces)
+    refitted = refit(counted, vocabulary, ends, strength)
+    sent = docs.sparkSession.sparkContext.broadcast((pieces, refitted))
 
     def weigh(batches: Batches):
         for batch in slices(batches, 4096):
-            found = [word_log_prob(w, sent.value) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())],
-                                             ["word", "c", "lattice"])
+            words = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array([word_log_prob(w, own) for w in words], pa.float64())
+                                   for own in sent.value]], ["word", "c", "lattice", "marginal"])
 
-    words = pin(counted.mapInArrow(weigh, "word string, c bigint, lattice double"))
-    return LatticeModel(words, int(total[0]) + ends, int(total[1]) + (ends > 0), ends, pieces)
+    words = pin(counted.mapInArrow(weigh, "word string, c bigint, lattice double, marginal double"))
+    return LatticeModel(words, int(total[0]) + ends, int(total[1]) + (ends > 0), ends, pieces, refitted)
 
 
 def _count_words(batches: Batches):
@@ -208,9 +277,11 @@ def _counted(counts: Counter, others: set[bytes]) -> pa.RecordBatch:
 
 def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text",
                     head: int = 65_536) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score) of every document.
 
-    The probability of a word is its count over the training tokens, plus the mass of new words
+    ``lattice_score`` is the marginal probability of the text over all segmentations of all its
+    words, known or new, by the pieces of :func:`refit`. ``score`` mixes word counts with the
+    lattice: The probability of a word is its count over the training tokens, plus the mass of new words
     (kinds + 1 of tokens + kinds + 1) times its lattice probability; a text is the product of its
     words and an end. Scores are log10; ``base_score`` adds 1 to every count instead.
 
@@ -228,35 +299,37 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     known = {w.encode(): i for i, w in enumerate(frequent["word"])}
     base = np.log10((c + 1) / (tokens + kinds + 1))
     score = np.log10(c / (tokens + kinds + 1) + new * np.exp(frequent["lattice"].to_numpy(float)))
-    sent = docs.sparkSession.sparkContext.broadcast((known, base, score))
+    marginal = frequent["marginal"].to_numpy(float) / math.log(10)
+    end_marginal = model.refitted.end / math.log(10)
+    sent = docs.sparkSession.sparkContext.broadcast((known, base, score, marginal))
     end_base = math.log10((model.ends + 1) / (tokens + kinds + 1))
     end_score = math.log10(model.ends / (tokens + kinds + 1) + new * math.exp(model.pieces.end))
     end_known = int(model.ends > 0)
 
     def settle(batches: Batches):
-        known, base, score = sent.value
+        known, base, score, marginal = sent.value
         for batch in slices(batches):
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for words in map(split_words, batch.column(1).to_pylist()):
                 places = [known.get(w) for w in words]
                 at = np.array([p for p in places if p is not None], dtype=np.int64)
                 rest = Counter(w for w, p in zip(words, places) if p is None)
                 for column, value in zip(out, (
                         len(words) + 1, len(at) + end_known, float(base[at].sum()) + end_base,
-                        float(score[at].sum()) + end_score, rest)):
+                        float(score[at].sum()) + end_score, float(marginal[at].sum()) + end_marginal, rest)):
                     column.append(value)
-            starts = np.cumsum([0, *map(len, out[4])])
+            starts = np.cumsum([0, *map(len, out[5])])
             rest = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays(
-                [pa.array([w for r in out[4] for w in r], pa.binary()).cast(pa.string()),
-                 pa.array([n for r in out[4] for n in r.values()], pa.int64())], ["word", "n"]))
+                [pa.array([w for r in out[5] for w in r], pa.binary()).cast(pa.string()),
+                 pa.array([n for r in out[5] for n in r.values()], pa.int64())], ["word", "n"]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), *[pa.array(v, pa.int64()) for v in out[:2]],
-                 *[pa.array(v, pa.float64()) for v in out[2:4]], rest],
-                ["id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+                 *[pa.array(v, pa.float64()) for v in out[2:5]], rest],
+                ["id", "held_out", "n_tokens", "n_known", "base", "score", "marginal", "rest"])
 
     settled = pin(rows.mapInArrow(settle, (
         f"id {dict(rows.dtypes)['id']}, held_out boolean, n_tokens bigint, n_known bigint, "
-        "base double, score double, rest array<struct<word:string,n:bigint>>"))
+        "base double, score double, marginal double, rest array<struct<word:string,n:bigint>>"))
         .withColumn("uid", F.monotonically_increasing_id()))
     rare = (settled.select("uid", F.explode("rest").alias("r")).select("uid", "r.word", "r.n")
             .join(model.words, "word"))
@@ -268,12 +341,14 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     sums = rare.groupBy("uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
         F.sum(F.col("n") * F.log10((F.col("c") + 1) / F.lit(whole))).alias("more_base"),
-        F.sum(F.col("n") * log_probability).alias("more_score"))
+        F.sum(F.col("n") * log_probability).alias("more_score"),
+        F.sum(F.col("n") * F.col("marginal") / math.log(10)).alias("more_marginal"))
     zero = F.lit(0)
     return settled.drop("rest").join(sums, "uid", "left").select(
         "id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", zero)).cast("bigint").alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
+        (F.col("marginal") + F.coalesce("more_marginal", F.lit(0.0))).alias("lattice_score"))
 

@@ -101,9 +101,10 @@ def op7_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probability of every document under the subword lattice, beside the add-one base."""
+    """Log probability of every document under the subword lattice, beside the add-one base and a mixture."""
     scored = score_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
-    return scored.withColumnRenamed("id", "doc_id")
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
+                         F.col("lattice_score").alias("score"), F.col("score").alias("mixture_score"))
 
 
 @query
