@@ -49,19 +49,19 @@ def held_out(id_col: str, parts: int = 4, part: int = 2) -> Column:
 
 
 def learn(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id",
-          docs_per_language: int = 6000, most_languages: int = 64, words_per_language: int = 40_000,
-          grams_per_language: int = 20_000, longest: int = 5) -> Model:
+          docs_per_language: int = 6000, most_languages: int | None = None, words_per_language: int = 50_000,
+          grams_per_language: int = 30_000, longest: int = 5) -> Model:
     """A model from labelled texts.
 
     Rows with a NULL text or language teach nothing. About ``docs_per_language`` documents of each
-    of the ``most_languages`` largest languages are used, chosen by a hash of their id, and the
-    most frequent words and n-grams of each are kept; these bounds are the size of the model,
-    which goes to every task. The n-grams come from all words of the chosen documents, known
+    of every language (or of the ``most_languages`` largest) are used, chosen by a hash of their
+    id, and the most frequent words and n-grams of each are kept; these bounds and the number of
+    languages are the size of the model, which goes to every task. The n-grams come from all words of the chosen documents, known
     words or not. No labelled rows give a model without languages.
     """
     usable = train.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = (usable.groupBy(F.col(lang).alias("lang")).count()
-             .orderBy(F.desc("count"), "lang").limit(most_languages).collect())
+    sizes = usable.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang")
+    sizes = (sizes if most_languages is None else sizes.limit(most_languages)).collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], {}, np.empty((0, 0)), {}, np.empty((0, 0)), longest)
