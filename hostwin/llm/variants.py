@@ -21,7 +21,7 @@ SYMBOLS = np.array([*range(0x61, 0x7B), *range(0xC0, 0x100)], dtype=np.uint64)
 LONGEST = 64
 #: A block of a filter: lanes of 64 bits, one bit in each per word.
 LANES = 8
-WORDS_A_SHARD = 1 << 17
+WORDS_A_SHARD, WORDS_A_TASK = 1 << 17, 1 << 14
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNDO = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -84,9 +84,9 @@ class Filter:
         """The filter of some hashes."""
         blocks = max(1, math.ceil(len(hashes) * bits_a_word / (64 * LANES)))
         made = cls(np.zeros(blocks * LANES, dtype=np.uint64))
-        block = made.block(hashes)
+        block, bits = made.block(hashes), made.bits(hashes)
         for lane in range(LANES):
-            np.bitwise_or.at(made.lanes[:, lane], block, made.bit(hashes, lane))
+            np.bitwise_or.at(made.lanes[:, lane], block, made.bit(bits, lane))
         return made
 
     def block(self, hashes: np.ndarray) -> np.ndarray:
@@ -94,32 +94,33 @@ class Filter:
         return ((hashes >> np.uint64(32)) * np.uint64(len(self.lanes)) >> np.uint64(32)).astype(np.int64)
 
     @staticmethod
-    def bit(hashes: np.ndarray, lane: int) -> np.ndarray:
-        """The bit of each hash in a lane."""
-        turned = hashes * (_MIX[0] + np.uint64(2 * lane))
-        return np.uint64(1) << (turned >> np.uint64(58))
+    def bits(hashes: np.ndarray) -> np.ndarray:
+        """The numbers that choose a bit in each lane, independent of the block."""
+        return mixed(hashes * _BASE)
+
+    @staticmethod
+    def bit(bits: np.ndarray, lane: int) -> np.ndarray:
+        """The bit of each in a lane, by its own six bits."""
+        return np.uint64(1) << ((bits >> np.uint64(6 * lane)) & np.uint64(63))
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         """Positions of the hashes that may be in the filter: all that are, and few others."""
         at = np.arange(len(hashes))
-        block = self.block(hashes)
+        block, bits = self.block(hashes), self.bits(hashes)
         for lane in range(LANES):
-            good = np.flatnonzero(self.lanes[block[at], lane] & self.bit(hashes[at], lane))
-            at = at[good]
+            at = at[(self.lanes[block[at], lane] & self.bit(bits[at], lane)) != 0]
         return at
 
 
-def sharded(words: DataFrame) -> DataFrame:
-    """(word, n, class, shard): words of a length class in as many shards as bound their size."""
-    sizes = words.groupBy(length_class("word").alias("class")).agg(
-        F.ceil(F.count("*") / WORDS_A_SHARD).cast("int").alias("shards"))
+def sharded(words: DataFrame) -> tuple[DataFrame, int]:
+    """((word, n, class, shard), words): a length class has as many shards as bound their size."""
     # One row per class of lengths, of which there are at most LONGEST.
-    shards = {r["class"]: r.shards for r in sizes.collect()}
+    sizes = {r["class"]: r["count"] for r in words.groupBy(length_class("word").alias("class")).count().collect()}
     number = F.lit(1)
-    for kind, n in shards.items():
-        number = F.when(length_class("word") == kind, n).otherwise(number)
-    return words.select("word", "n", length_class("word").alias("class"),
-                        F.pmod(F.xxhash64("word"), number.cast("bigint")).cast("int").alias("shard"))
+    for kind, n in sizes.items():
+        number = F.when(length_class("word") == kind, -(-n // WORDS_A_SHARD)).otherwise(number)
+    return words.select(
+        "word", "n", length_class("word").alias("class"), F.pmod(F.xxhash64("word"), number.cast("bigint")).cast("int").alias("shard")), sum(sizes.values())
 
 
 def build_filters(words: DataFrame, bits_a_word: int) -> DataFrame:
@@ -211,7 +212,8 @@ def near_pairs(words: DataFrame, bits_a_word: int = 16, round_bytes: int = 32 <<
     themselves, which removes what passed by chance.
     """
     spark = words.sparkSession
-    dealt = pin(sharded(words))
+    dealt, total = sharded(words)
+    dealt = pin(dealt)
     made = build_filters(dealt, bits_a_word)
     sizes = sorted((r["class"], r.shard, r.size) for r in made.select("class", "shard", "size").collect())
     rounds: list[list[tuple[int, int]]] = [[]]
@@ -222,8 +224,8 @@ def near_pairs(words: DataFrame, bits_a_word: int = 16, round_bytes: int = 32 <<
             held = 0
         rounds[-1].append((kind, shard))
         held += size
-    # The words are few and wide in work, so they are dealt over all tasks.
-    spread = dealt.repartition("word")
+    # Words are small but each makes hundreds of edits, so a task has few of them.
+    spread = dealt.repartition(1 + total // WORDS_A_TASK, "word")
     found = None
     for part in rounds:
         if not part:
