@@ -119,8 +119,9 @@ def sharded(words: DataFrame) -> tuple[DataFrame, int]:
     number = F.lit(1)
     for kind, n in sizes.items():
         number = F.when(length_class("word") == kind, -(-n // WORDS_A_SHARD)).otherwise(number)
-    return words.select(
-        "word", "n", length_class("word").alias("class"), F.pmod(F.xxhash64("word"), number.cast("bigint")).cast("int").alias("shard")), sum(sizes.values())
+    shard = F.pmod(F.xxhash64("word"), number.cast("bigint")).cast("int")
+    dealt = words.select("word", "n", length_class("word").alias("class"), shard.alias("shard"))
+    return dealt, sum(sizes.values())
 
 
 def build_filters(words: DataFrame, bits_a_word: int) -> DataFrame:
