@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +30,38 @@ def processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+@lru_cache(maxsize=2)
+def parts(path: str) -> dict[str, int]:
+    """Numbers of a vocabulary's pieces, and -1 for beginnings of pieces, where a search goes on."""
+    model = processor(path)
+    known: dict[str, int] = {}
+    for i in range(model.get_piece_size()):
+        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
+            continue
+        piece = model.id_to_piece(i)
+        known[piece] = i
+        for n in range(1, len(piece)):
+            known.setdefault(piece[:n], -1)
+    return known
+
+
 @dataclass
 class Pieces:
     """Natural-log probabilities of a vocabulary's pieces and of the end of a text.
 
-    ``costs`` also holds the beginnings of pieces, with None, so that a search can stop early.
+    ``path`` names the vocabulary and ``weights`` are the log probabilities by number of piece.
     """
 
-    costs: dict[str, float | None]
+    path: str
+    weights: np.ndarray
     byte_costs: list[float]
     end: float
 
+    @cached_property
+    def costs(self) -> dict[str, float | None]:
+        """Log probabilities by piece; the beginnings of pieces have None."""
+        return {part: None if i < 0 else float(self.weights[i]) for part, i in parts(self.path).items()}
+
 
 def prior(path: str) -> np.ndarray:
     """Probabilities of the pieces by the vocabulary's own scores.
@@ -65,57 +86,108 @@ def weigh_pieces(path: str, counts: np.ndarray, ends: int, strength: float = 100
     model = processor(path)
     mass = counts + strength * prior(path)
     total = mass.sum() + ends + 1
-    costs: dict[str, float | None] = {}
+    weights = np.full(len(mass), -math.inf)
     byte_costs = [math.log(1e-9)] * 256
     for i, weight in enumerate(mass.tolist()):
         if model.is_control(i) or model.is_unknown(i):
             continue
-        piece, cost = model.id_to_piece(i), math.log(weight / total)
+        weights[i] = math.log(weight / total)
         if model.is_byte(i):
-            byte_costs[int(piece[3:5], 16)] = cost
-            continue
-        costs[piece] = cost
-        for n in range(1, len(piece)):
-            costs.setdefault(piece[:n], None)
-    return Pieces(costs, byte_costs, math.log((ends + 1) / total))
+            byte_costs[int(model.id_to_piece(i)[3:5], 16)] = float(weights[i])
+    return Pieces(path, weights, byte_costs, math.log((ends + 1) / total))
 
 
-def word_log_prob(word: str, pieces: Pieces) -> float:
-    """Natural log of the probability of a word: the sum over all its segmentations.
+def edges_of(word: str, known: dict[str, int]) -> np.ndarray:
+    """The edges of a word's lattice: every piece at every place of the word with its start mark.
 
-    A forward recursion in log space over the word with its start mark. A character without a
-    piece of its own is spelt in bytes.
+    One number per edge: its length in the low 8 bits, then a bit for a character that has no piece
+    and is spelt in bytes, then the piece or the character. Edges are in order of their beginnings;
+    each place begins with the one edge of length 1.
     """
     text = START + word
-    costs, n = pieces.costs, len(text)
-    forward = [-math.inf] * (n + 1)
-    forward[0] = 0.0
-    exp, log1p = math.exp, math.log1p
+    n = len(text)
+    out = []
     for i in range(n):
-        base = forward[i]
-        if base == -math.inf:
-            continue
         for j in range(i + 1, n + 1):
-            part = text[i:j]
-            if part not in costs:
-                if j == i + 1:
-                    spelt = base + sum(pieces.byte_costs[b] for b in part.encode("utf-8", "surrogatepass"))
-                    forward[j] = spelt if forward[j] == -math.inf else _add(forward[j], spelt)
+            number = known.get(text[i:j])
+            if number is not None and number >= 0:
+                out.append(number << 9 | j - i)
+            elif j == i + 1:
+                out.append(ord(text[i]) << 9 | 1 << 8 | 1)
+            if number is None:
                 break
-            cost = costs[part]
-            if cost is None:
-                if j == i + 1:
-                    spelt = base + sum(pieces.byte_costs[b] for b in part.encode("utf-8", "surrogatepass"))
-                    forward[j] = _add(forward[j], spelt)
+    return np.array(out, dtype="<u4")
+
+
+class Lattices:
+    """The lattices of many words; a step of a recursion is taken for all of them at once."""
+
+    def __init__(self, edges: list[np.ndarray]) -> None:
+        flat = np.concatenate([*edges, np.empty(0, "<u4")]).astype(np.int64)
+        length = flat & 255
+        self.spelt, self.number = (flat >> 8 & 1).astype(bool), flat >> 9
+        self.word = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
+        first = length == 1
+        sizes = np.bincount(self.word[first], minlength=len(edges))
+        # Node of each word's first place; a word of n places has n + 1 nodes.
+        self.starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1].astype(np.int64)
+        self.ends = self.starts + sizes
+        place = np.cumsum(first) - 1 - (self.starts - np.arange(len(edges)))[self.word]
+        self.source = self.starts[self.word] + place
+        self.target = self.source + length
+        self.depth, self.height = place + length, sizes[self.word] - place
+
+    def costs(self, pieces: Pieces) -> np.ndarray:
+        """The log probability of every edge."""
+        out = pieces.weights[np.where(self.spelt, 0, self.number)]
+        if self.spelt.any():
+            characters, at = np.unique(self.number[self.spelt], return_inverse=True)
+            out[self.spelt] = np.array([sum(pieces.byte_costs[b] for b in chr(c).encode("utf-8", "surrogatepass"))
+                                        for c in characters.tolist()])[at]
+        return out
+
+    def _sweep(self, costs: np.ndarray, begin: np.ndarray, source: np.ndarray, target: np.ndarray,
+               step: np.ndarray) -> np.ndarray:
+        """Log sums over all ways from ``begin`` to each node, by rising ``step`` of the edges."""
+        total = np.full(int(self.ends[-1]) + 1 if len(self.ends) else 0, -math.inf)
+        total[begin] = 0.0
+        order = np.lexsort((target, step))
+        source, target, costs = source[order], target[order], costs[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(step[order])) + 1, [len(order)]]).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
                 continue
-            new, old = base + cost, forward[j]
-            if old == -math.inf:
-                forward[j] = new
-            elif new > old:
-                forward[j] = new + log1p(exp(old - new))
-            else:
-                forward[j] = old + log1p(exp(new - old))
-    return forward[n]
+            into, value = target[a:b], total[source[a:b]] + costs[a:b]
+            runs = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]]))
+            most = np.maximum.reduceat(value, runs)
+            widths = np.diff(np.concatenate([runs, [b - a]]))
+            total[into[runs]] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, widths)), runs))
+        return total
+
+    def forward(self, costs: np.ndarray) -> np.ndarray:
+        """Log probability of reaching each node, over all segmentations."""
+        return self._sweep(costs, self.starts, self.source, self.target, self.depth)
+
+    def log_probs(self, pieces: Pieces) -> np.ndarray:
+        """Natural log of the probability of each word."""
+        return self.forward(self.costs(pieces))[self.ends]
+
+    def shares(self, pieces: Pieces, weights: np.ndarray) -> np.ndarray:
+        """Expected number of times that each edge is used, for ``weights`` of each word."""
+        costs = self.costs(pieces)
+        ahead = self.forward(costs)
+        back = self._sweep(costs, self.ends, self.target, self.source, self.height)
+        return weights[self.word] * np.exp(
+            ahead[self.source] + costs + back[self.target] - ahead[self.ends][self.word])
+
+
+def word_log_prob(word: str, pieces: Pieces) -> float:
+    """Natural log of the probability of a word: the sum over all its segmentations.
+
+    A forward recursion in log space over the word with its start mark. A character without a
+    piece of its own is spelt in bytes.
+    """
+    return float(Lattices([edges_of(word, parts(pieces.path))]).log_probs(pieces)[0])
 
 
 def count_pieces(word: str, pieces: Pieces, weight: float, counts: dict[str, float]) -> None:
@@ -124,37 +196,40 @@ def count_pieces(word: str, pieces: Pieces, weight: float, counts: dict[str, flo
     Segmentations weigh by their probability (forward and backward recursion); ``weight`` is
     the number of such words. Bytes count as pieces of their own, written as <0x41>.
     """
-    text = START + word
-    costs, n = pieces.costs, len(text)
-    edges: list[tuple[int, int, float, str | None]] = []
-    for i in range(n):
-        for j in range(i + 1, n + 1):
-            part = text[i:j]
-            known = part in costs
-            cost = costs[part] if known else None
-            if cost is not None:
-                edges.append((i, j, cost, part))
-            elif j == i + 1:
-                edges.append((i, j, sum(pieces.byte_costs[b] for b in part.encode("utf-8", "surrogatepass")), None))
-            if not known:
-                break
-    forward, backward = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
-    forward[0] = backward[n] = 0.0
-    for i, j, cost, _ in edges:
-        forward[j] = _add(forward[j], forward[i] + cost)
-    for i, j, cost, _ in reversed(edges):
-        backward[i] = _add(backward[i], backward[j] + cost)
-    for i, j, cost, part in edges:
-        share = weight * math.exp(forward[i] + cost + backward[j] - forward[n])
-        for name in [part] if part is not None else [
-                f"<0x{b:02X}>" for b in text[i:j].encode("utf-8", "surrogatepass")]:
-            counts[name] = counts.get(name, 0.0) + share
+    model = processor(pieces.path)
+    found = Lattices([edges_of(word, parts(pieces.path))])
+    share = found.shares(pieces, np.array([weight]))
+    for number, spelt, n in zip(found.number.tolist(), found.spelt.tolist(), share.tolist()):
+        names = [f"<0x{b:02X}>" for b in chr(number).encode("utf-8", "surrogatepass")] if spelt else [
+            model.id_to_piece(number)]
+        for name in names:
+            counts[name] = counts.get(name, 0.0) + n
+
+
+def expected(found: Lattices, pieces: Pieces, weights: np.ndarray) -> np.ndarray:
+    """Expected counts by number of piece, of words that occur ``weights`` times."""
+    model = processor(pieces.path)
+    share = found.shares(pieces, weights)
+    counts = np.bincount(found.number[~found.spelt], share[~found.spelt], model.get_piece_size())
+    characters, at = np.unique(found.number[found.spelt], return_inverse=True)
+    for c, n in zip(characters.tolist(), np.bincount(at, share[found.spelt], len(characters)).tolist()):
+        for b in chr(c).encode("utf-8", "surrogatepass"):
+            number = model.piece_to_id(f"<0x{b:02X}>")
+            if not model.is_unknown(number):
+                counts[number] += n
+    return counts
+
+
+def stored_lattices(batches: Batches, at: int):
+    """(batch, lattices) of bounded numbers of words, from their stored edges in column ``at``."""
+    for batch in slices(batches, 4096):
+        yield batch, Lattices([np.frombuffer(e, "<u4") for e in batch.column(at).to_pylist()])
 
 
 def refit(counted: DataFrame, vocabulary: str, ends: int, strength: float, rounds: int = 2) -> Pieces:
     """Piece probabilities refitted to expected counts over all segmentations of the training words.
 
-    The first round weighs segmentations by the vocabulary's scores alone. A word counts as
+    ``counted`` has (c, edges) of each word. The first round weighs segmentations by the vocabulary's scores alone. A word counts as
     often as it occurs, ``ends`` is the number of training texts, and the scores count as
     ``strength`` pieces. Only one sum per piece reaches the driver.
     """
@@ -165,30 +240,20 @@ def refit(counted: DataFrame, vocabulary: str, ends: int, strength: float, round
         sent = counted.sparkSession.sparkContext.broadcast(pieces)
 
         def expect(batches: Batches, sent=sent):
-            sums: dict[str, float] = {}
-            for batch in slices(batches, 4096):
-                for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    count_pieces(word, sent.value, float(c), sums)
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()),
-                                              pa.array(list(sums.values()), pa.float64())], ["piece", "n"])
-
-        found = (counted.filter("c > 0").select("word", "c").mapInArrow(expect, "piece string, n double")
+            sums = np.zeros(len(sent.value.weights))
+            for batch, found in stored_lattices(batches, 1):
+                sums += expected(found, sent.value, batch.column(0).to_numpy().astype(float))
+            seen = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], ["piece", "n"])
+
+        found = (counted.filter("c > 0").select("c", "edges").mapInArrow(expect, "piece bigint, n double")
                  .groupBy("piece").agg(F.sum("n").alias("n")).toPandas())
         counts = np.zeros(model.get_piece_size())
-        for piece, n in zip(found["piece"], found["n"]):
-            at = model.piece_to_id(piece)
-            if not model.is_unknown(at):
-                counts[at] += n
+        counts[found["piece"].to_numpy(np.int64)] = found["n"]
         pieces = weigh_pieces(vocabulary, counts, ends, strength)
     return pieces
 
 
-def _add(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
-
-
 def held_out(id_col: str, parts: int = 7, part: int = 2) -> Column:
     """Whether the crc32 of an id as text has the remainder that is kept for testing."""
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % parts == part, F.lit(False))
@@ -219,8 +284,16 @@ def learn(docs: DataFrame, vocabulary: str, text: str = "text", learned: str = "
     are empty texts.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(learned).alias("learned"))
-    counted = pin(rows.mapInArrow(_count_words, "word string, c bigint")
-                  .groupBy("word").agg(F.sum("c").alias("c")))
+    words = rows.mapInArrow(_count_words, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+
+    def cut(batches: Batches):
+        known = parts(vocabulary)
+        for batch in slices(batches, 4096):
+            edges = [edges_of(w, known).tobytes() for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edges, pa.binary())], ["word", "c", "edges"])
+
+    # The lattice of a word is the same in every round, so it is built once.
+    counted = pin(words.mapInArrow(cut, "word string, c bigint, edges binary"))
     ends = rows.filter("learned").count()
     total = counted.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
@@ -234,7 +307,7 @@ def learn(docs: DataFrame, vocabulary: str, text: str = "text", learned: str = "
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], ["piece", "n"])
 
-    found = (counted.filter("c > 0").mapInArrow(segment, "piece bigint, n bigint")
+    found = (counted.filter("c > 0").select("word").mapInArrow(segment, "piece bigint, n bigint")
              .groupBy("piece").agg(F.sum("n").alias("n")).toPandas())
     counts = np.zeros(processor(vocabulary).get_piece_size())
     counts[found["piece"].to_numpy(np.int64)] = found["n"]
@@ -243,11 +316,10 @@ def learn(docs: DataFrame, vocabulary: str, text: str = "text", learned: str = "
     sent = docs.sparkSession.sparkContext.broadcast((pieces, refitted))
 
     def weigh(batches: Batches):
-        for batch in slices(batches, 4096):
-            words = batch.column(0).to_pylist()
+        for batch, found in stored_lattices(batches, 2):
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *[pa.array([word_log_prob(w, own) for w in words], pa.float64())
-                                   for own in sent.value]], ["word", "c", "lattice", "marginal"])
+                [*batch.columns[:2], *[pa.array(found.log_probs(own)) for own in sent.value]],
+                ["word", "c", "lattice", "marginal"])
 
     words = pin(counted.mapInArrow(weigh, "word string, c bigint, lattice double, marginal double"))
     return LatticeModel(words, int(total[0]) + ends, int(total[1]) + (ends > 0), ends, pieces, refitted)
@@ -275,6 +347,23 @@ def _counted(counts: Counter, others: set[bytes]) -> pa.RecordBatch:
         [words, pa.array([*counts.values(), *[0] * len(new)], pa.int64())], ["word", "c"])
 
 
+def rarest(words: DataFrame, head: int) -> int:
+    """The smallest count, of at least 2, that at most ``head`` words reach.
+
+    Counts are looked at in steps of an eighth of a doubling, a bounded number of which the driver fetches.
+    """
+    step = F.floor(F.log2("c") * 8).cast("int")
+    sizes = words.filter("c > 1").groupBy(step.alias("step")).agg(
+        F.count("*").alias("n"), F.min("c").alias("least")).collect()
+    least, total = (1 << 63) - 1, 0
+    for r in sorted(sizes, key=lambda r: -r.step):
+        total += r.n
+        if total > head:
+            break
+        least = r.least
+    return least
+
+
 def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text",
                     head: int = 65_536) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score) of every document.
@@ -285,7 +374,7 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     (kinds + 1 of tokens + kinds + 1) times its lattice probability; a text is the product of its
     words and an end. Scores are log10; ``base_score`` adds 1 to every count instead.
 
-    The ``head`` most frequent words are sent to all tasks and settled where the text is read.
+    At most ``head`` of the most frequent words are sent to all tasks and settled where the text is read.
     The others, however many, are joined by shuffle; they are rare, so no key is hot. NULL texts
     are empty texts: one end. A NULL id belongs to the training part.
     """
@@ -294,7 +383,7 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     model = learn(rows.withColumn("learned", ~F.col("held_out")), vocabulary)
     tokens, kinds = model.tokens, model.kinds
     new = (kinds + 1) / (tokens + kinds + 1)
-    frequent = model.words.filter("c > 1").orderBy(F.desc("c"), "word").limit(head).toPandas()
+    frequent = model.words.filter(F.col("c") >= rarest(model.words, head)).toPandas()
     c = frequent["c"].to_numpy(float)
     known = {w.encode(): i for i, w in enumerate(frequent["word"])}
     base = np.log10((c + 1) / (tokens + kinds + 1))
