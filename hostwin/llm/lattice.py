@@ -181,29 +181,56 @@ class Lattices:
             ahead[self.source] + costs + back[self.target] - ahead[self.ends][self.word])
 
 
+def single(word: str, pieces: Pieces) -> list[tuple[int, int, float, int, bool]]:
+    """(from, to, log probability, piece or character, spelt) of the edges of one word."""
+    out, i = [], -1
+    for edge in edges_of(word, parts(pieces.path)).tolist():
+        length, spelt, number = edge & 255, bool(edge >> 8 & 1), edge >> 9
+        i += length == 1
+        cost = (sum(pieces.byte_costs[b] for b in chr(number).encode("utf-8", "surrogatepass")) if spelt
+                else float(pieces.weights[number]))
+        out.append((i, i + length, cost, number, spelt))
+    return out
+
+
+def _add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
+def _ahead(edges: list) -> list[float]:
+    forward = [0.0] + [-math.inf] * edges[-1][1]
+    for i, j, cost, *_ in edges:
+        forward[j] = _add(forward[j], forward[i] + cost)
+    return forward
+
+
 def word_log_prob(word: str, pieces: Pieces) -> float:
-    """Natural log of the probability of a word: the sum over all its segmentations.
+    """Natural log of the probability of one word: the sum over all its segmentations.
 
     A forward recursion in log space over the word with its start mark. A character without a
-    piece of its own is spelt in bytes.
+    piece of its own is spelt in bytes. :class:`Lattices` does the same for many words.
     """
-    return float(Lattices([edges_of(word, parts(pieces.path))]).log_probs(pieces)[0])
+    return _ahead(single(word, pieces))[-1]
 
 
 def count_pieces(word: str, pieces: Pieces, weight: float, counts: dict[str, float]) -> None:
-    """Add to ``counts`` how often each piece is expected over all segmentations of a word.
+    """Add to ``counts`` how often each piece is expected over all segmentations of one word.
 
     Segmentations weigh by their probability (forward and backward recursion); ``weight`` is
     the number of such words. Bytes count as pieces of their own, written as <0x41>.
     """
-    model = processor(pieces.path)
-    found = Lattices([edges_of(word, parts(pieces.path))])
-    share = found.shares(pieces, np.array([weight]))
-    for number, spelt, n in zip(found.number.tolist(), found.spelt.tolist(), share.tolist()):
-        names = [f"<0x{b:02X}>" for b in chr(number).encode("utf-8", "surrogatepass")] if spelt else [
-            model.id_to_piece(number)]
-        for name in names:
-            counts[name] = counts.get(name, 0.0) + n
+    edges, model = single(word, pieces), processor(pieces.path)
+    forward = _ahead(edges)
+    backward = [-math.inf] * edges[-1][1] + [0.0]
+    for i, j, cost, *_ in reversed(edges):
+        backward[i] = _add(backward[i], backward[j] + cost)
+    for i, j, cost, number, spelt in edges:
+        share = weight * math.exp(forward[i] + cost + backward[j] - forward[-1])
+        for name in [f"<0x{b:02X}>" for b in chr(number).encode("utf-8", "surrogatepass")] if spelt else [
+                model.id_to_piece(number)]:
+            counts[name] = counts.get(name, 0.0) + share
 
 
 def expected(found: Lattices, pieces: Pieces, weights: np.ndarray) -> np.ndarray:
