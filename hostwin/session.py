@@ -106,12 +106,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def pin(df: DataFrame) -> DataFrame:
+def pin(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Every later use then sees the same rows, no lineage has to be run again when an
-    executor is lost, and only the columns in use are read.
+    executor is lost, and only the columns in use are read. A result that must outlive the
+    scope it is made in takes a ``path`` drawn before that scope.
     """
-    path = scratch_path(df.sparkSession, "pinned")
+    path = path or scratch_path(df.sparkSession, "pinned")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
