@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hostwin.llm.common import Batches, attach, chunk_pairs, free_prefix, map_runs, slices, with_uid
 from hostwin.llm.components import connected_components
-from hostwin.session import pin
+from hostwin.session import pin, scratch_path, scratch_scope
 
 BITS = 64
 
@@ -240,7 +240,7 @@ def band_keys(hashes: np.ndarray, bands: int = 20, rows: int = 6) -> list[int]:
 
 
 def with_bands(rows: DataFrame, width: int) -> DataFrame:
-    """(uid, digest, bands) of (uid, text): a 128-bit digest of the set of shingles and its band keys."""
+    """(uid, whole, digest, bands) of (uid, text, whole): a 128-bit digest of the set of shingles and its band keys."""
     def run(batches: Batches):
         for batch in slices(batches):
             digests, bands = [], []
@@ -249,10 +249,10 @@ def with_bands(rows: DataFrame, width: int) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 bands.append(np.array(band_keys(own) if len(own) else [], dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["uid", "digest", "bands"])
+                [batch.column(0), batch.column(2), pa.array(digests, pa.binary()),
+                 pa.array(bands, pa.list_(pa.int64()))], ["uid", "whole", "digest", "bands"])
 
-    return rows.mapInArrow(run, "uid bigint, digest binary, bands array<bigint>")
+    return rows.mapInArrow(run, f"uid bigint, whole {dict(rows.dtypes)['whole']}, digest binary, bands array<bigint>")
 
 
 def similar_links(members: DataFrame, width: int, least: float, radius: int, most: int) -> DataFrame:
@@ -287,6 +287,31 @@ def similar_links(members: DataFrame, width: int, least: float, radius: int, mos
                     "src bigint, dst bigint")
 
 
+#: Rows of a bitmap that are sent to all tasks; each has 64 row numbers.
+BITMAP_ROWS = 1 << 21
+
+
+def bitmap(numbers: DataFrame, uid: str) -> DataFrame:
+    """(word, bits) for a table of row numbers: one row for each 64 that has any of them."""
+    bit = F.expr(f"shiftleft(1L, cast(`{uid}` & 63 as int))")
+    return numbers.groupBy(F.shiftright(uid, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def among(rows: DataFrame, uid: str, bits: DataFrame) -> DataFrame:
+    """The rows whose number is in a stored :func:`bitmap`, without moving them.
+
+    The bitmap goes to all tasks if it has at most ``BITMAP_ROWS`` rows, as it has for 134 million row numbers;
+    a larger one is joined by shuffle.
+    """
+    small = bits.count() <= BITMAP_ROWS
+    word, mask = f"{uid}w", f"{uid}b"
+    own = bits.select(F.col("word").alias(word), F.col("bits").alias(mask))
+    place = F.expr(f"cast(`{uid}` & 63 as int)")
+    return (rows.withColumn(f"{uid}k", F.shiftright(uid, 6))
+            .join(F.broadcast(own) if small else own, F.col(f"{uid}k") == F.col(word))
+            .filter(F.call_function("getbit", mask, place) == 1).select(*rows.columns))
+
+
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5,
                      least: float = 0.8, radius: int = 24, most: int = 1024) -> DataFrame:
     """The documents without near-duplicates by exact similarity: one row per group stays.
@@ -296,26 +321,30 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     Every link is verified. Pairs that share none of the :func:`band_keys` are not compared:
     0.2 % of those at 0.8, fewer above. At 0.8, SimHashes differ in 10 of 64 bits on
     average, so ``radius`` leaves out next to none. Equal sets are one node throughout. Texts without words
-    are a group. Texts travel once to the group of their band keys, and only if there is another in it.
+    are a group; an empty table stays empty. Only texts that share a key with another travel, to the group of their
+    keys; the kept rows are picked by a bitmap of row numbers. What is stored on the way is removed.
     """
-    uid = free_prefix(docs)
+    spark, uid = docs.sparkSession, free_prefix(docs)
     rows = with_uid(docs, uid)
-    whole = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(uid).alias("uid"))
-    texts = rows.select(F.col(uid).alias("uid"), F.col(text).alias("text"))
-    marked = pin(with_bands(texts, width))
-    named = marked.join(rows.select(F.col(uid).alias("uid"), whole.alias("whole")), "uid")
-    classes = pin(named.groupBy("digest").agg(F.min("whole").alias("smallest"), F.min("uid").alias("node"),
-                                              F.first("bands").alias("bands")))
-    keyed = pin(classes.select("node", F.explode("bands").alias("key")))
-    hubs = pin(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
-               .filter("n > 1").drop("n"))
-    proposed = connected_components(attach(keyed, hubs, "key").select(
-        F.col("node").alias("src"), F.col("hub").alias("dst")))
-    members = pin(proposed.select(F.col("node").alias("uid"), F.col("component").alias("group"))
-                  .join(texts, "uid").withColumnRenamed("uid", "node"))
-    linked = connected_components(similar_links(members, width, least, radius, most))
-    labelled = classes.select("node", "smallest").join(linked, "node", "left")
-    kept = pin(labelled.groupBy(F.coalesce("component", "node").alias("group"))
-               .agg(F.min("smallest").alias("smallest"))
-               .select(F.col("smallest.uid").alias(uid)))
-    return rows.join(kept, uid, "left_semi").drop(uid)
+    path = scratch_path(spark, "kept")
+    with scratch_scope(spark):
+        whole = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(uid).alias("uid"))
+        texts = rows.select(F.col(uid).alias("uid"), F.col(text).alias("text"))
+        marked = with_bands(rows.select(F.col(uid).alias("uid"), F.col(text).alias("text"), whole.alias("whole")), width)
+        # Partial minima first: however many copies a text has, one row per task and text is shuffled.
+        classes = pin(marked.groupBy("digest").agg(F.min("whole").alias("smallest"), F.min("uid").alias("node"),
+                                                   F.first("bands").alias("bands")))
+        keyed = pin(classes.select("node", F.explode("bands").alias("key")))
+        hubs = pin(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
+                   .filter("n > 1").drop("n"))
+        proposed = pin(connected_components(attach(keyed, hubs, "key").select(
+            F.col("node").alias("src"), F.col("hub").alias("dst"))).select(
+            F.col("node").alias("uid"), F.col("component").alias("group")))
+        found = among(texts, "uid", pin(bitmap(proposed, "uid")))
+        members = pin(proposed.join(found, "uid").withColumnRenamed("uid", "node"))
+        linked = connected_components(similar_links(members, width, least, radius, most))
+        labelled = classes.select("node", "smallest").join(linked, "node", "left")
+        kept = labelled.groupBy(F.coalesce("component", "node").alias("group")).agg(
+            F.min("smallest").alias("smallest")).select(F.col("smallest.uid").alias("uid"))
+        bits = pin(bitmap(kept, "uid"), path)
+    return among(rows, uid, bits).drop(uid)

@@ -18,7 +18,7 @@ from hostwin.llm import caps, common, graph_ann, mixing, sharding, simhash, warc
 from hostwin.llm.components import connected_components
 from hostwin.llm.queries import QUERIES
 from hostwin.session import pin, scratch_path
-from tests.llm.test_texts import DOCS, EDGES, clashing, groups_of, plain_fingerprint
+from tests.llm.test_texts import DOCS, EDGES, clashing
 
 
 @pytest.fixture(scope="module")
@@ -358,6 +358,28 @@ def test_attach_keeps_every_row(spark):
 
 # Pipeline
 
+def groups_by_similarity(texts, least=0.8):
+    """The smallest id reachable by pairs of texts with a five-word Jaccard similarity of ``least``, all pairs compared."""
+    root, sets = {i: i for i in texts}, {}
+    for i, t in texts.items():
+        words = [w.decode() for w in (t or "").encode().lower().split()]
+        sets[i] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if not either or both / either >= least:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in ids}
+
+
 def test_stages_decide_as_the_operators_do(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, seen = docs.columns, {}
@@ -369,7 +391,7 @@ def test_stages_decide_as_the_operators_do(spark, sf):
     texts = {r.doc_id: r.text for r in seen["language"].collect()}
     whole = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert len(texts) > 0.95 * whole
-    groups = groups_of([(i, plain_fingerprint(t)) for i, t in texts.items()])
+    groups = groups_by_similarity(texts)
     assert {r.doc_id for r in seen["near_duplicates"].collect()} == set(groups.values())
     clean = {r.doc_id: r.text for r in seen["secrets"].collect()}
     assert set(clean) == set(groups.values())
