@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hostwin.llm import langid, mixing, packing, secrets, simhash
 from hostwin.llm.queries import tokenizer_file
-from hostwin.session import pin
+from hostwin.session import pin, remove, scratch_path, scratch_scope
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that the last stage returns."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = pin(stage(spark, docs, sf_dir))
+    """The rows that the last stage returns.
+
+    What a stage stores on its way is removed when its result is stored, and that when the next one is.
+    """
+    docs, former = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        path = scratch_path(spark, name)
+        with scratch_scope(spark):
+            docs = pin(stage(spark, docs, sf_dir), path)
+        if former:
+            remove(spark, former)
+        former = path
     return docs
