@@ -1,14 +1,16 @@
 """Synthetic minority rows between a row and one of its nearest minority neighbours.
 
 The neighbours are exact by default. Minority rows are cut into compact blocks, each split in
-two at the median of its widest feature until it is small. Each block first finds neighbours
-among its own rows, which bounds how far the true neighbours of a row can be; the row then goes
-to those other blocks whose bounding box comes that close, and to no more. A task never holds
-more than two blocks, and at most ``k`` neighbours per row and block pair leave it.
+two at the median of its widest feature until it is small; the splits make a tree of bounding
+boxes. Each block first finds neighbours among its own rows, which bounds how far the true
+neighbours of a row can be. Pairs of blocks in reach are then found from the root of the tree down:
+two boxes are opened only if they are within the largest reach below the first one. A task never
+holds more than two blocks, and at most ``k`` neighbours per row and block pair leave it.
 
 In many dimensions every box comes close, and exact search compares most blocks.
 ``method="projected"`` searches only inside blocks, over several independent cuts by random
-projections; see :func:`nearest_neighbours`.
+projections. ``method="graph"`` goes on from there: rounds in which every row looks at the neighbours of
+its neighbours; see :func:`nearest_neighbours`.
 
 Equal rows are taken out first: beyond ``k + 1`` copies none can be a nearest neighbour, and
 its own neighbours are the first copies. However many copies there are, few are compared.
@@ -20,17 +22,20 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostwin.functions.scalars import hash_long, hash_unit
-from hostwin.operators.order import global_index, running_totals
+from hostwin.operators.order import global_index
 from hostwin.operators.sampling import two_classes
 from hostwin.session import pin
 
 BLOCK_ROWS = 1024
 # Independent cuts and random directions of the approximate method.
 CUTS, DIRECTIONS = 6, 8
+# Neighbours that each row keeps, rounds, and rows that meet in one group, of the graph method.
+KEPT, ROUNDS, MEETING = 16, 4, 512
 # Parts in which the copies of one row are looked up.
 SALTS = 16
 
@@ -54,10 +59,8 @@ def _nearest(queries: pd.DataFrame, others: pd.DataFrame, k: int):
 
 
 def _placed(rows: DataFrame, features: list[str]) -> DataFrame:
-    """(id, r, vec): each row with its distance from the centroid."""
-    centre = rows.agg(*[F.avg(c).alias(c) for c in features]).first()
-    away = F.sqrt(sum(F.pow(F.col(c) - F.lit(centre[c]), 2) for c in features))
-    return pin(rows.select("id", away.alias("r"), F.array(*features).alias("vec")))
+    """(id, vec): each row with its features in an array, stored."""
+    return pin(rows.select("id", F.array(*features).alias("vec")))
 
 
 def _first_copies(placed: DataFrame, k: int) -> DataFrame:
@@ -120,46 +123,65 @@ def _with_reach(blocks: DataFrame, k: int) -> DataFrame:
         full = d2.shape[1] == k
         return pdf.assign(reach=d2[:, -1] if full else np.inf)
 
-    schema = "id bigint, r double, vec array<double>, block bigint, reach double"
-    return pin(blocks.select("id", "r", "vec", "block").groupBy("block").applyInPandas(own, schema))
+    schema = "id bigint, vec array<double>, block bigint, reach double"
+    return pin(blocks.select("id", "vec", "block").groupBy("block").applyInPandas(own, schema))
 
 
-def _block_range(boxes: DataFrame) -> DataFrame:
-    """Add last: the place, by distance from the centroid, of the last block that is in reach.
+def box_tree(rows: DataFrame, width: int) -> DataFrame:
+    """(node, leaf, far, lo, hi) of every block and of all nodes above, stored.
 
-    By the triangle inequality no block that begins farther out can hold a neighbour. The place
-    is a rank among the sorted block starts, found by a running count.
+    Blocks are numbered as leaves of a binary tree, so the nodes above one are its number without its last
+    bits. ``far`` is the largest reach of a row below a node. One row per block and level is shuffled.
     """
-    # A probe sees the starts at or below it. The distances from the centroid are rounded
-    # themselves, so leave room for that too.
-    marks = boxes.select(F.lit(None).cast("bigint").alias("block"), F.col("r_lo").alias("v"),
-                         F.lit(0).alias("tie"), F.lit(1).alias("one"))
-    probes = boxes.select("block", (F.col("r_hi") + F.col("far") + F.col("r_hi") * 1e-12).alias("v"),
-                          F.lit(1).alias("tie"), F.lit(0).alias("one"))
-    both = marks.unionByName(probes).withColumn("g", F.lit(0))
-    ranks = running_totals(both, ["g"], ["v", "tie", "block"], ["one"]).filter("block is not null")
-    return boxes.join(ranks.select("block", (F.col("one_cum") - 1).alias("last")), "block")
-
-
-def _block_pairs(rows: DataFrame, width: int) -> DataFrame:
-    """(a, b, lo, hi): blocks b, with their box, that may hold a neighbour of a row of block a."""
-    boxes = pin(rows.groupBy("block").agg(
-        F.min("r").alias("r_lo"), F.max("r").alias("r_hi"),
+    boxes = rows.groupBy("block").agg(
         # A hair more than needed, so that rounding never excludes a block.
         (F.sqrt(F.max("reach")) * (1 + 1e-9)).alias("far"),
         F.array(*[F.min(F.get("vec", i)) for i in range(width)]).alias("lo"),
         F.array(*[F.max(F.get("vec", i)) for i in range(width)]).alias("hi"))
-        .withColumn("place", F.row_number().over(Window.orderBy("r_lo", "block")) - 1))  # one row per block
-    pairs = _block_range(boxes).select(
-        F.col("block").alias("a"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), "far",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last").cast("bigint"))).alias("place"))
-    other = boxes.select("place", F.col("block").alias("b"), "lo", "hi")
-    apart = sum(F.pow(F.greatest(F.get("lo1", i) - F.get("hi", i), F.get("lo", i) - F.get("hi1", i),
-                                 F.lit(0.0)), 2) for i in range(width))
-    return pairs.join(other, "place").filter(F.sqrt(apart) <= F.col("far")).select("a", "b", "lo", "hi")
+    above = F.transform(F.sequence(F.lit(0), F.length(F.bin("block")) - 1),
+                        lambda i: F.call_function("shiftright", F.col("block"), i))
+    return pin(boxes.withColumn("node", F.explode(above)).groupBy("node").agg(
+        F.max(F.col("node") == F.col("block")).alias("leaf"), F.max("far").alias("far"),
+        F.array(*[F.min(F.get("lo", i)) for i in range(width)]).alias("lo"),
+        F.array(*[F.max(F.get("hi", i)) for i in range(width)]).alias("hi")))
+
+
+def _apart(width: int) -> Column:
+    """Squared distance of the boxes (lo1, hi1) and (lo, hi)."""
+    return sum(F.pow(F.greatest(F.get("lo1", i) - F.get("hi", i), F.get("lo", i) - F.get("hi1", i),
+                                F.lit(0.0)), 2) for i in range(width))
+
+
+def tree_rounds(tree: DataFrame, width: int) -> list[DataFrame]:
+    """(a, b, done) level by level, stored: pairs of nodes whose boxes are within the reach of ``a``.
+
+    A round opens both nodes of each pair of the round before, leaves standing for themselves, and keeps the
+    pairs in reach. ``done`` are pairs of leaves; there is a round for each level of the tree.
+    """
+    box = ["leaf", "far", "lo", "hi"]
+    below = tree.filter("node > 1").select(F.shiftright("node", 1).alias("parent"), "node", *box)
+    steps = pin(below.unionAll(tree.filter("leaf").select(F.col("node").alias("parent"), "node", *box)))
+    first = steps.select(F.col("parent").alias("a"), F.col("node").alias("a1"), F.col("leaf").alias("leaf1"), "far",
+                         F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    second = steps.select(F.col("parent").alias("b"), F.col("node").alias("b1"), F.col("leaf").alias("leaf2"), "lo", "hi")
+    rounds = []
+    frontier = tree.filter("node = 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    while not rounds or not frontier.isEmpty():
+        grown = pin(frontier.join(first, "a").join(second, "b").filter(F.sqrt(_apart(width)) <= F.col("far")).select(
+            F.col("a1").alias("a"), F.col("b1").alias("b"), (F.col("leaf1") & F.col("leaf2")).alias("done")))
+        rounds.append(grown)
+        frontier = grown.filter("not done").select("a", "b")
+    return rounds
 
 
-def _projected(first: DataFrame, width: int, k: int, block_rows: int, seed: int) -> DataFrame:
+def _block_pairs(rows: DataFrame, width: int) -> DataFrame:
+    """(a, b, lo, hi): blocks b, with their box, that may hold a neighbour of a row of block a."""
+    tree = box_tree(rows, width)
+    met = reduce(DataFrame.unionAll, tree_rounds(tree, width)).filter("done")
+    return met.select("a", "b").join(tree.select(F.col("node").alias("b"), "lo", "hi"), "b")
+
+
+def _projected(first: DataFrame, width: int, k: int, block_rows: int, seed: int, cuts: int = CUTS) -> DataFrame:
     """(id, vec, nbr, nbr_vec, d2): neighbours inside the blocks of several random cuts."""
     rng = np.random.default_rng(seed)
     schema = "id bigint, vec array<double>, nbr bigint, nbr_vec array<double>, d2 double"
@@ -173,7 +195,7 @@ def _projected(first: DataFrame, width: int, k: int, block_rows: int, seed: int)
                              "nbr_vec": others["vec"].to_numpy()[near], "d2": d2[row, col]})
 
     parts = []
-    for _ in range(CUTS):
+    for _ in range(cuts):
         lines = rng.standard_normal((min(DIRECTIONS, width), width))
         turned = F.array(*[sum((F.get("vec", i) * F.lit(float(w)) for i, w in enumerate(line)),
                                F.lit(0.0)) for line in lines])
@@ -183,6 +205,84 @@ def _projected(first: DataFrame, width: int, k: int, block_rows: int, seed: int)
     return reduce(DataFrame.unionAll, parts).dropDuplicates(["id", "nbr"])
 
 
+def _best(found: DataFrame, most: int) -> DataFrame:
+    """The ``most`` nearest of each row, ties by id, stored: one shuffle."""
+    best = Window.partitionBy("id").orderBy("d2", "nbr")
+    return pin(found.repartition("id").dropDuplicates(["id", "nbr"]).withColumn(
+        "rank", F.row_number().over(best)).filter(F.col("rank") <= most))
+
+
+def _groups(batches, keys: list[str]):
+    """One pandas frame per run of equal keys in sorted Arrow batches."""
+    held = None
+    for batch in batches:
+        rows = batch.to_pandas()
+        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+        if rows.empty:
+            continue
+        values = rows[keys].to_numpy()
+        cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+        for start, end in zip([0, *cuts.tolist()], cuts.tolist()):
+            yield rows.iloc[start:end]
+        held = rows.iloc[cuts[-1]:] if len(cuts) else rows
+    if held is not None and len(held):
+        yield held
+
+
+def _meetings(near: DataFrame) -> DataFrame:
+    """(mid, part, asks, id, vec, reach): the rows that meet at each row ``mid``.
+
+    Those that have ``mid`` as a neighbour ask; they see the neighbours of ``mid`` and the nearest KEPT that
+    ask. Where many ask they do so in parts of MEETING, each with the same rows to see.
+    """
+    own = Window.partitionBy("id")
+    asked = Window.partitionBy("nbr")
+    rows = near.withColumn("reach", F.when(F.count("*").over(own) >= KEPT, F.max("d2").over(own))
+                           .otherwise(F.lit(float("inf"))))
+    rows = pin(rows.withColumn("place", F.row_number().over(asked.orderBy("d2", "id"))))
+    asking = rows.select(
+        F.col("nbr").alias("mid"), F.floor((F.col("place") - 1) / MEETING).cast("int").alias("part"),
+        F.lit(True).alias("asks"), "id", "vec", "reach")
+    seen = rows.select(F.col("id").alias("mid"), F.col("nbr").alias("id"), F.col("nbr_vec").alias("vec")).unionAll(
+        rows.filter(F.col("place") <= KEPT).select(F.col("nbr").alias("mid"), "id", "vec"))
+    parts = asking.groupBy("mid").agg(F.max("part").alias("last"))
+    spread = seen.join(parts, "mid").select("mid", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part"),
+                                            F.lit(False).alias("asks"), "id", "vec", F.lit(0.0).alias("reach"))
+    return asking.unionAll(spread)
+
+
+def _refined(found: DataFrame, rounds: int) -> DataFrame:
+    """Neighbours found anew among the neighbours of neighbours, until none is nearer or rounds are over."""
+    schema = "id bigint, vec array<double>, nbr bigint, nbr_vec array<double>, d2 double"
+
+    def look(batches):
+        for group in _groups(batches, ["mid", "part"]):
+            asks = group["asks"].to_numpy()
+            if not asks.any() or asks.all():
+                continue
+            queries = group[asks].drop_duplicates("id")
+            others, at, d2 = _nearest(queries, group[~asks].drop_duplicates("id"), KEPT)
+            row, col = np.nonzero(np.isfinite(d2) & (d2 <= queries["reach"].to_numpy()[:, None]))
+            near = at[row, col]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({
+                "id": queries["id"].to_numpy()[row], "vec": queries["vec"].to_numpy()[row],
+                "nbr": others["id"].to_numpy()[near], "nbr_vec": others["vec"].to_numpy()[near],
+                "d2": d2[row, col]}), pa.schema([
+                    ("id", pa.int64()), ("vec", pa.list_(pa.float64())), ("nbr", pa.int64()),
+                    ("nbr_vec", pa.list_(pa.float64())), ("d2", pa.float64())]), preserve_index=False)
+
+    columns = ["id", "vec", "nbr", "nbr_vec", "d2"]
+    near, before = _best(found, KEPT), None
+    for _ in range(rounds):
+        met = _meetings(near).repartition("mid", "part").sortWithinPartitions("mid", "part")
+        near = _best(near.select(*columns).unionAll(met.mapInArrow(look, schema)), KEPT)
+        now = near.agg(F.count("*"), F.sum(F.xxhash64("id", "nbr").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    return near
+
+
 def nearest_neighbours(rows: DataFrame, features: list[str], k: int = 5,
                        block_rows: int = BLOCK_ROWS, method: str = "exact",
                        seed: int = 42) -> DataFrame:
@@ -193,19 +293,27 @@ def nearest_neighbours(rows: DataFrame, features: list[str], k: int = 5,
     is most of them. "projected" costs the same per row at any size: it searches the blocks of
     CUTS cuts along random directions and may miss neighbours. Its recall on 4,000 normal rows
     of 8 features in blocks of 512 is about 0.8 (see the tests), and higher in fewer or larger
-    blocks. Every row gets ``k`` neighbours either way, if its blocks hold so many.
+    blocks. "graph" keeps the KEPT nearest of half as many cuts and refines them: in each of ROUNDS stored rounds a row meets
+    the neighbours of its neighbours and the rows near these, a bounded number of vectors per neighbour.
+    Its recall on 4,000 normal rows is above 0.9 at 8 and at 31 features. Every row gets ``k`` neighbours in any
+    case, if its blocks hold so many.
     """
     placed = _placed(rows, features)
     first = _first_copies(placed, k)
     best = Window.partitionBy("id").orderBy("d2", "nbr")
-    if method == "projected":
-        found = _projected(first, len(features), k, block_rows, seed)
+    if method in ("projected", "graph"):
+        if method == "graph":
+            if k > KEPT:
+                raise ValueError(f"the graph keeps {KEPT} neighbours, but {k} are wanted")
+            found = _refined(_projected(first, len(features), KEPT, block_rows, seed, CUTS // 2), ROUNDS).drop("rank")
+        else:
+            found = _projected(first, len(features), k, block_rows, seed)
         near = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         return near.unionByName(_later_copies(placed, first, k))
     if method != "exact":
         raise ValueError(f"unknown method '{method}'")
     blocks = _with_reach(compact_blocks(
-        first.select("id", "r", "vec"), "vec", len(features), block_rows), k)
+        first.select("id", "vec"), "vec", len(features), block_rows), k)
     asking = asking_rows(blocks, len(features))
     # New names, as both sides of the meeting come from the same two tables.
     asked = asking.select("a", "b").distinct().join(

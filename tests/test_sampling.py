@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from hostwin.operators import order, sampling
 from hostwin.operators.smote import (
+    box_tree, tree_rounds,
     _with_reach, asking_rows, compact_blocks, nearest_neighbours, smote)
 
 
@@ -115,6 +116,56 @@ def test_projected_neighbours(spark):
         nearest_neighbours(df, names, 5, method="guess")
 
 
+@pytest.mark.parametrize("d, least", [(8, 0.9), (31, 0.9)])
+def test_graph_neighbours(spark, d, least):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4000, d))
+    names = [f"f{i}" for i in range(d)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)],
+                               "id bigint, " + ", ".join(f"{c} double" for c in names))
+    got = nearest_neighbours(df, names, 5, 512, method="graph").collect()
+    assert len(got) == 5 * len(x)
+    d2 = (x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T
+    np.fill_diagonal(d2, np.inf)
+    want = np.argsort(d2, axis=1)[:, :5]
+    found = {}
+    for r in got:
+        found.setdefault(r.id, set()).add(r.nbr)
+        assert r.d2 == pytest.approx(d2[r.id, r.nbr], abs=1e-9)
+    recall = np.mean([len(found[i] & set(want[i].tolist())) / 5 for i in range(len(x))])
+    print("recall", d, recall)
+    assert recall >= least
+
+
+def test_graph_with_a_hub_and_copies(spark):
+    """A row that is everyone's neighbour meets them in parts; copies are found as with the exact method."""
+    x, names, df = points(spark, 150, 3, copies=True)
+    got = nearest_neighbours(df, names, 4, 16, method="graph").collect()
+    assert len(got) == 600 and len({(r.id, r.nbr) for r in got}) == 600
+    rng = np.random.default_rng(4)
+    star = np.vstack([np.zeros((1, 20)), np.eye(20)[rng.integers(0, 20, 1500)] * rng.uniform(5, 6, (1500, 1))])
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(star)],
+                                 "id bigint, " + ", ".join(f"g{i} double" for i in range(20)))
+    near = nearest_neighbours(rows, [f"g{i}" for i in range(20)], 3, 128, method="graph").collect()
+    assert len(near) == 3 * 1501
+
+
+def test_pairs_of_the_box_tree_grow_with_the_rows(spark):
+    """Pairs listed on three-dimensional rows stay in proportion, where all pairs would be 64 times as many."""
+    listed = {}
+    for n in (2000, 16000):
+        rng = np.random.default_rng(5)
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.random((n, 3)))],
+                                   "id bigint, vec array<double>")
+        rows = _with_reach(compact_blocks(df, "vec", 3, 32), 5)
+        rounds = tree_rounds(box_tree(rows, 3), 3)
+        listed[n] = sum(r.count() for r in rounds)
+        blocks = rows.select("block").distinct().count()
+        assert listed[n] < 80 * blocks
+    print(listed)
+    assert listed[16000] < 16 * listed[2000]
+
+
 def test_text_labels(spark):
     rows = spark.range(300).select("id", F.when(F.col("id") % 10 == 0, "bad").otherwise("good").alias("label"),
                                    (F.col("id") % 37).cast("double").alias("a"))
