@@ -394,3 +394,11 @@ def report_tables(df: DataFrame, dataset: str, order: list[str] | None = None,
         "threshold_sweep": threshold_sweep(df), "score_histogram": score_histogram(df),
     }
     return {n: t.select(F.lit(dataset).alias("dataset"), "*") for n, t in tables.items()}
+
+
+def class_tables(df: DataFrame, by_class: DataFrame, dataset: str) -> dict[str, DataFrame]:
+    """The evaluation tables of one dataset with three or more classes, each with a ``dataset`` column."""
+    final = pin(confusion(df))
+    tables = {"comparison": compare_classes(final, by_class), "confusion": confusion_pct(final),
+              "class_report": class_report(final)}
+    return {n: t.select(F.lit(dataset).alias("dataset"), "*") for n, t in tables.items()}

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier)
+    GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostwin.functions.scalars import anomaly_to_label
 from hostwin.operators.iforest import (
     anomaly_cut, fit_iforest, predict_iforest, score_iforest)
 from hostwin.operators.prep import Prepared
-from hostwin.operators.sampling import bag_rates, class_counts, class_poisson, two_classes
+from hostwin.operators.sampling import bag_rates, class_counts, poisson_weight, two_classes
 from hostwin.operators.smote import smote
 from hostwin.session import pin
 
@@ -27,6 +31,7 @@ MODEL_NAMES = ["Logistic Regression", "Random Forest (SMOTE)", "LightGBM", "Bala
 SEED = 42
 TREES = 200
 RATIO = 0.5
+NEIGHBOURS = 5
 
 
 @dataclass
@@ -36,9 +41,30 @@ class Settings:
     trees: int = TREES
     depth: int = 20
     bins: int = 64
-    bags: int = 10
     boost_depth: int = 5
     seed: int = SEED
+    neighbours: str = "exact"  # or "projected" or "graph", see nearest_neighbours
+    at_once: int = 6  # fits that run at the same time
+
+
+def together(spark: SparkSession, jobs: dict[Any, Callable[[], Any]], at_once: int) -> dict[Any, Any]:
+    """The results of several fits, at most ``at_once`` at the same time, by their names.
+
+    Each runs in a thread with the properties of the caller and in a scheduler pool of its own, so that
+    under fair scheduling a long fit does not hold up the others. The first error is raised.
+    """
+    def run(name, job):
+        context = copy_context()
+
+        def pooled():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{name}")
+            return job()
+
+        return inheritable_thread_target(spark)(lambda: context.run(pooled))
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(jobs)))) as pool:
+        running = {name: pool.submit(run(name, job)) for name, job in jobs.items()}
+        return {name: future.result() for name, future in running.items()}
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -82,13 +108,23 @@ def fit_linear_svm(train: DataFrame, features: list[str], alpha: float = 1e-4,
 
 def fit_rf_smote(train: DataFrame, features: list[str], key: str,
                  settings: Settings = Settings()) -> Any:
-    """Random forest on the training rows plus synthetic minority rows."""
-    (minor, few), (major, many) = two_classes(train, "y")
-    # Stored, as every level of the trees reads the rows again; their number is known.
-    extra = pin(smote(train, features, key, "y", RATIO, seed=settings.seed).select("y", *features))
-    rows = train.select("y", *features).unionByName(extra)
-    counts = [(minor, max(few, int(RATIO * many))), (major, many)]
-    weighted = rows.withColumn("w", balanced_weight(counts))
+    """Random forest on the training rows plus synthetic rows of the rarer classes.
+
+    Of two classes the rarer one is filled up to half of the other. With more, each class below half of the
+    largest is, unless it has too few rows for neighbours.
+    """
+    counts = class_counts(train, "y")
+    major, many = counts[-1]
+    wanted = max(1, int(RATIO * many))
+    poor = counts[:-1] if len(counts) == 2 else [(c, n) for c, n in counts[:-1] if NEIGHBOURS < n < wanted]
+    rows = train.select("y", *features)
+    for value, _ in poor:
+        pair = train.filter(F.col("y").isin(value, major))
+        # Stored, as every level of the trees reads the rows again; their number is known.
+        rows = rows.unionByName(pin(smote(pair, features, key, "y", RATIO, NEIGHBOURS, settings.seed,
+                                          method=settings.neighbours).select("y", *features)))
+    filled = [(c, max(n, wanted) if (c, n) in poor else n) for c, n in counts]
+    weighted = rows.withColumn("w", balanced_weight(filled))
     return _forest(settings.trees, settings, settings.seed).fit(assemble(weighted, features))
 
 
@@ -113,46 +149,81 @@ def fit_gbt(train: DataFrame, features: list[str], settings: Settings = Settings
 
 
 @dataclass
-class BaggedForest:
-    """Forests of balanced bags; the probability is their mean."""
+class OneVsRest:
+    """A model per class against all others; ``score`` is the probability or margin of each."""
 
-    forests: list
+    models: list
+    column: str
 
     def transform(self, df: DataFrame) -> DataFrame:
         kept = df.columns
-        for i, forest in enumerate(self.forests):
-            df = forest.transform(df).select(
-                *kept, *[f"p{j}" for j in range(i)],
-                vector_to_array("probability")[1].alias(f"p{i}"))
-        mean = reduce(lambda a, b: a + b, [F.col(f"p{i}") for i in range(len(self.forests))])
-        score = mean / len(self.forests)
-        return df.select(*kept, score.alias("score"),
-                         (score > 0.5).cast("int").alias("pred"))
-
-    def importances(self) -> list[float]:
-        each = [f.featureImportances.toArray() for f in self.forests]
-        return list(sum(each) / len(each))
+        for i, model in enumerate(self.models):
+            out = model.transform(df)
+            df = out.select(*kept, *[f"_s{j}" for j in range(i)],
+                            vector_to_array(self.column)[1].alias(f"_s{i}"))
+        scores = F.array(*[f"_s{i}" for i in range(len(self.models))])
+        return df.select(*kept, scores.alias("scores")).withColumn(
+            "pred", (F.array_position("scores", F.array_max("scores")) - 1).cast("int"))
+
+
+def one_vs_rest(train: DataFrame, n_classes: int, fit: Callable[[DataFrame], Any], column: str,
+                at_once: int) -> OneVsRest:
+    """Fit ``fit`` on the rows of each class (y = 1) against all others (y = 0), several at a time."""
+    jobs = {c: partial(lambda c: fit(train.withColumn("y", (F.col("y") == c).cast("int"))), c)
+            for c in range(n_classes)}
+    fitted = together(train.sparkSession, jobs, at_once)
+    return OneVsRest([fitted[c] for c in range(n_classes)], column)
+
+
+def bag_of_each_tree(train: DataFrame, key: str, trees: int, seed: int) -> DataFrame:
+    """``train`` with ``bags``: how often each tree's balanced bag has the row, stored.
+
+    Rows of the rarest class are drawn once on average; those of any other so that the rarest and the
+    other are in the ratio RATIO. Of three or more classes, one with fewer rows than that is drawn once too. A draw depends only on the seed, the tree and the row key. Rows in no
+    bag are left out.
+    """
+    counts = class_counts(train, "y")
+    few = counts[0][1]
+    rate = {c: min(1.0, few / RATIO / n) if i else 1.0 for i, (c, n) in enumerate(counts)}
+    if len(counts) == 2:
+        bag_rates(few, counts[1][1], RATIO)  # an error if there is no such bag
+    tree = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: reduce(
+        lambda other, c: F.when(F.col("y") == c, poisson_weight(rate[c], seed, t, F.col(key))).otherwise(other),
+        rate, F.lit(0)).cast("short"))
+    return pin(train.withColumn("bags", tree).filter(F.array_max("bags") > 0))
 
 
 def fit_balanced_rf(train: DataFrame, features: list[str], key: str,
-                    settings: Settings = Settings()) -> BaggedForest:
-    """Forests on balanced bootstrap bags.
+                    settings: Settings = Settings()) -> Any:
+    """A forest of trees that each have a balanced bag of their own.
 
-    One bag per group of trees, not per tree: a job per tree would keep the cluster waiting
-    for the driver. Each tree still draws its own bootstrap of its bag.
+    All bags are drawn in one pass and stored with the rows; trees are fitted from them several at
+    a time and then make one forest.
     """
-    (_, few), (major, many) = two_classes(train, "y")
-    low, high = bag_rates(few, many, RATIO)
-    rows = assemble(train, features)
-    bags = max(1, min(settings.bags, settings.trees))
-    forests = []
-    for bag in range(bags):
-        weight = class_poisson(F.col("y") == major, high, low, settings.seed, F.lit(bag),
-                               F.col(key)).cast("double")
-        drawn = rows.withColumn("w", weight).filter(F.col("w") > 0)
-        trees = settings.trees // bags + (bag < settings.trees % bags)
-        forests.append(_forest(trees, settings, settings.seed + bag).fit(drawn))
-    return BaggedForest(forests)
+    rows = bag_of_each_tree(assemble(train, features).select("y", "features", key), key, settings.trees, settings.seed)
+    spark = train.sparkSession
+
+    def grow(tree: int):
+        drawn = rows.withColumn("w", F.get("bags", tree).cast("double")).filter(F.col("w") > 0)
+        return _forest(1, settings, settings.seed + tree).fit(drawn)
+
+    grown = together(spark, {t: partial(grow, t) for t in range(settings.trees)}, settings.at_once)
+    return joined_forest(spark, [grown[t] for t in range(settings.trees)])
+
+
+def joined_forest(spark: SparkSession, forests: list) -> RandomForestClassificationModel:
+    """One forest of the trees of several; its probability is the mean over trees."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    found = [t for f in forests for t in f._java_obj.trees()]
+    kind = jvm.org.apache.spark.ml.classification
+    trees = gateway.new_array(kind.DecisionTreeClassificationModel, len(found))
+    for i, tree in enumerate(found):
+        trees[i] = tree
+    first = forests[0]
+    made = kind.RandomForestClassificationModel(f"{first.uid}-joined", trees, first.numFeatures,
+                                                max(f.numClasses for f in forests))
+    made.set(made.numTrees(), len(found))
+    return RandomForestClassificationModel(made)
 
 
 def scored_rows(name: str, df: DataFrame, key: str, score: Column | None,
@@ -163,69 +234,118 @@ def scored_rows(name: str, df: DataFrame, key: str, score: Column | None,
                      value.alias("score"), pred.cast("int").alias("pred"))
 
 
+def class_rows(name: str, df: DataFrame, key: str, scores: Column | None, pred: Column) -> DataFrame:
+    """Predictions of any number of classes: (model, row_id, y, score, pred, scores).
+
+    ``scores`` has one entry per class and adds up to 1, or is NULL for models without probabilities;
+    ``score`` is the entry of the predicted class.
+    """
+    every = F.lit(None).cast("array<double>") if scores is None else scores
+    rows = df.select(F.col(key).alias("row_id"), "y", every.alias("scores"), pred.cast("int").alias("pred"))
+    return rows.select(F.lit(name).alias("model"), "row_id", "y", F.get("scores", F.col("pred")).alias("score"),
+                       "pred", "scores")
+
+
+def by_class(scored: DataFrame) -> DataFrame:
+    """(model, class, y, score): the score of each row for each class, of models that have them."""
+    return scored.filter("scores is not null").select(
+        "model", "y", F.posexplode("scores").alias("class", "score"))
+
+
+def _binary(name: str, prep: Prepared, train: DataFrame, key: str, settings: Settings) -> tuple[Any, DataFrame]:
+    """One fitted model of two classes and its scored test rows."""
+    features, test = prep.features, prep.test
+    probability = vector_to_array(F.col("probability"))[1]
+    vectors = assemble(test, features)
+    if name == "IsolationForest":
+        model = fit_iforest(train, features, key, settings.trees, settings.seed)
+        counts = dict(class_counts(train, "y"))
+        share = counts.get(1, 0) / sum(counts.values())
+        cut = anomaly_cut(score_iforest(train, model), share)
+        found = predict_iforest(score_iforest(test, model), cut)
+        return model, scored_rows(name, found, key, None, anomaly_to_label(F.col("outlier")))
+    if name == "Logistic Regression":
+        model = fit_logreg(train, features)
+    elif name == "Random Forest (SMOTE)":
+        model = fit_rf_smote(train, features, key, settings)
+    elif name == "LightGBM":
+        model = fit_gbt(train, features, settings)
+    elif name == "Balanced RF":
+        model = fit_balanced_rf(train, features, key, settings)
+    elif name == "SGD SVM":
+        model = fit_linear_svm(train, features)
+        probability = None
+    else:
+        raise ValueError(f"unknown model '{name}'")
+    return model, scored_rows(name, model.transform(vectors), key, probability, F.col("prediction"))
+
+
+def _several(name: str, prep: Prepared, train: DataFrame, key: str, settings: Settings) -> tuple[Any, DataFrame]:
+    """One fitted model of three or more classes and its scored test rows, with the scores of all classes."""
+    features, vectors = prep.features, assemble(prep.test, prep.features)
+    scores = vector_to_array(F.col("probability"))
+    pred = F.col("prediction")
+    if name == "Logistic Regression":
+        model = fit_logreg(train, features)
+    elif name == "Random Forest (SMOTE)":
+        model = fit_rf_smote(train, features, key, settings)
+    elif name == "Balanced RF":
+        model = fit_balanced_rf(train, features, key, settings)
+    elif name == "LightGBM":
+        model = one_vs_rest(train, prep.n_classes, lambda rows: fit_gbt(rows, features, settings), "probability",
+                            settings.at_once)
+        total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+        scores, pred = F.transform("scores", lambda x: x / total), F.col("pred")
+    elif name == "SGD SVM":
+        model = one_vs_rest(train, prep.n_classes, lambda rows: fit_linear_svm(rows, features), "rawPrediction",
+                            settings.at_once)
+        scores, pred = None, F.col("pred")
+    else:
+        raise ValueError(f"'{name}' is no model of {prep.n_classes} classes")
+    return model, class_rows(name, model.transform(vectors), key, scores, pred)
+
+
+#: Models of two classes only: outliers have no further kinds.
+BINARY_ONLY = ["IsolationForest"]
+
+
 def train_and_score(prep: Prepared, key: str, names: list[str] = MODEL_NAMES,
                     settings: Settings = Settings()) -> tuple[dict[str, Any], DataFrame]:
-    """Fit the named models on ``prep.train`` and score ``prep.test``.
+    """Fit the named models on ``prep.train``, several at a time, and score ``prep.test``.
 
-    Every fit reads the training rows many times, so these are cached while it lasts.
+    Every fit reads the training rows many times, so these are cached while it lasts. With three or more
+    classes the frame has a column ``scores`` with one entry per class, as :func:`class_rows` says, and models
+    in BINARY_ONLY are left out.
     """
-    features = prep.features
+    if not prep.binary:
+        names = [n for n in names if n not in BINARY_ONLY]
     train = prep.train.persist()
-    test = prep.test
-    vectors = assemble(test, features)
-    probability = vector_to_array(F.col("probability"))[1]
-    fitted: dict[str, Any] = {}
-    parts = []
+    one = _binary if prep.binary else _several
     try:
-        for name in names:
-            if name == "Logistic Regression":
-                model = fit_logreg(train, features)
-                part = scored_rows(name, model.transform(vectors), key, probability,
-                                   F.col("prediction"))
-            elif name == "Random Forest (SMOTE)":
-                model = fit_rf_smote(train, features, key, settings)
-                part = scored_rows(name, model.transform(vectors), key, probability,
-                                   F.col("prediction"))
-            elif name == "LightGBM":
-                model = fit_gbt(train, features, settings)
-                part = scored_rows(name, model.transform(vectors), key, probability,
-                                   F.col("prediction"))
-            elif name == "Balanced RF":
-                model = fit_balanced_rf(train, features, key, settings)
-                part = scored_rows(name, model.transform(vectors), key, F.col("score"),
-                                   F.col("pred"))
-            elif name == "SGD SVM":
-                model = fit_linear_svm(train, features)
-                part = scored_rows(name, model.transform(vectors), key, None,
-                                   F.col("prediction"))
-            elif name == "IsolationForest":
-                model = fit_iforest(train, features, key, settings.trees, settings.seed)
-                counts = dict(class_counts(train, "y"))
-                share = counts.get(1, 0) / sum(counts.values())
-                cut = anomaly_cut(score_iforest(train, model), share)
-                found = predict_iforest(score_iforest(test, model), cut)
-                part = scored_rows(name, found, key, None, anomaly_to_label(F.col("outlier")))
-            else:
-                raise ValueError(f"unknown model '{name}'")
-            fitted[name] = model
-            parts.append(part)
+        done = together(train.sparkSession, {n: partial(one, n, prep, train, key, settings) for n in names},
+                        settings.at_once)
     finally:
         train.unpersist()
-    return fitted, reduce(DataFrame.unionByName, parts)
+    return {n: m for n, (m, _) in done.items()}, reduce(DataFrame.unionByName, [p for _, p in done.values()])
 
 
 def importances(spark, fitted: dict[str, Any], features: list[str]) -> DataFrame:
     """(model, feature, importance, coefficient) of every model that has them.
 
     Linear models give the absolute coefficient and the coefficient itself, forests the
-    impurity importance. Models without either are left out. Of a pipeline the last stage
+    impurity importance; with three or more classes, linear models and one-vs-rest give the mean over classes. Models without either are left out. Of a pipeline the last stage
     counts.
     """
     rows = []
     for name, model in fitted.items():
         model = getattr(model, "stages", [model])[-1]
-        if isinstance(model, BaggedForest):
-            values, signed = model.importances(), None
+        if isinstance(model, OneVsRest):
+            # The mean over classes, without a sign of its own.
+            each = [m.coefficients.toArray() if hasattr(m, "coefficients") else m.featureImportances.toArray()
+                    for m in model.models]
+            values, signed = sum(map(abs, each)) / len(each), None
+        elif hasattr(model, "coefficientMatrix") and model.numClasses > 2:
+            values, signed = abs(model.coefficientMatrix.toArray()).mean(axis=0), None
         elif hasattr(model, "coefficients"):
             signed = model.coefficients.toArray()
             values = abs(signed)

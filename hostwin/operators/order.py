@@ -8,6 +8,9 @@ into global ones.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,29 +81,74 @@ def running_totals(df: DataFrame, group: list[str], order: list, values: list[st
         *[f"{v}_total" for v in values])
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], q: float, accuracy: int = 10_000) -> DataFrame:
+#: Size of quantile sketches; their ranks are off by well under SKETCH_ERROR.
+SKETCH_SIZE, SKETCH_ERROR = 4096, 0.01
+
+
+def _valid(c: str) -> str:
+    return f"case when not isnan(double(`{c}`)) then double(`{c}`) end"
+
+
+def quantile_sketches(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, sketch): a mergeable summary of the values of each column, of bounded size.
+
+    Store those of each increment; :func:`merge_sketches` makes them one, and :func:`exact_quantiles`
+    then needs no first pass over the increments before.
+    """
+    sketches = df.agg(*[F.expr(f"kll_sketch_agg_double({_valid(c)}, {SKETCH_SIZE})").alias(c) for c in cols])
+    return sketches.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("sketch")) for c in cols])).alias("s")).select("s.*")
+
+
+def merge_sketches(frames: list[DataFrame]) -> DataFrame:
+    """One sketch per column for several increments."""
+    return reduce(DataFrame.unionByName, frames).groupBy("feature").agg(
+        F.expr("kll_merge_agg_double(sketch)").alias("sketch"))
+
+
+def _sketched(sketches: DataFrame, cols: list[str], q: float) -> dict:
+    """The number of values of each column and a bracket around its quantile, from sketches."""
+    low, high = max(0.0, q - SKETCH_ERROR), min(1.0, q + SKETCH_ERROR)
+    n = F.expr("kll_sketch_get_n_double(sketch)").alias("n")
+    ends = F.when(F.expr("kll_sketch_get_n_double(sketch)") > 0, F.array(*[
+        F.expr(f"kll_sketch_get_quantile_double(sketch, double('{e!r}'))") for e in (low, high)])).alias("ends")
+    found = {r.feature: {"n": r.n, "ends": r.ends} for r in sketches.select("feature", n, ends).collect()}
+    return {c: found.get(c, {"n": 0, "ends": None}) for c in cols}
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], q: float, accuracy: int = 10_000,
+                    sketches: DataFrame | None = None) -> DataFrame:
     """Exact interpolated quantile of each column: (feature, quantile).
 
     NULL and NaN are left out; a column without any other value is left out of the result. A
     first pass brackets each quantile by approximate ones, whose rank is off by at most
-    1 / ``accuracy``. The second counts what lies below the bracket and keeps only the values
-    inside, counted by value, which are then ranked. Most of a column is never shuffled.
+    1 / ``accuracy``; merged ``sketches`` of all rows give the bracket without that pass. The second counts what
+    lies below the bracket and inside it, which also shows that the quantile is inside; a column where it is not
+    loses its bracket. Only the values inside, counted by value, are then ranked. Most of a column is never shuffled.
     """
-    valid = {c: f"case when not isnan(double(`{c}`)) then double(`{c}`) end" for c in cols}
+    valid = {c: _valid(c) for c in cols}
     low, high = max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)
-    around = df.agg(*[F.expr(f"struct(count({v}) as n, percentile_approx({v}, array({low!r}D, {high!r}D), "
-                             f"{accuracy}) as ends)").alias(c) for c, v in valid.items()]).first()
+    around = _sketched(sketches, cols, q) if sketches is not None else df.agg(*[
+        F.expr(f"struct(count({v}) as n, percentile_approx({v}, array({low!r}D, {high!r}D), "
+               f"{accuracy}) as ends)").alias(c) for c, v in valid.items()]).first()
     cols = [c for c in cols if around[c]["n"]]
     # Interpolation takes two ranks, so a bracket needs room: at least 4 rows on either side of
     # the rank, or else no bound. The lowest and highest ranks need none on their side.
-    roomy = {c: around[c]["n"] >= 4 * accuracy for c in cols}
+    roomy = {c: around[c]["n"] >= (4 / SKETCH_ERROR if sketches is not None else 4 * accuracy) for c in cols}
     ends = {c: (f"double('{around[c]['ends'][0]!r}')" if roomy[c] and low > 0 else "double('-Infinity')",
                 f"double('{around[c]['ends'][1]!r}')" if roomy[c] and high < 1 else "double('Infinity')")
             for c in cols}
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "feature string, quantile double")
-    below = df.agg(*[F.expr(f"count_if({valid[c]} < {ends[c][0]})").alias(c) for c in cols]).first()
+    split = df.agg(*[F.expr(f"struct(count_if({valid[c]} < {ends[c][0]}) as below, count_if({valid[c]} between "
+                            f"{ends[c][0]} and {ends[c][1]}) as inside)").alias(c) for c in cols]).first()
+    below = {}
+    for c in cols:
+        rank = q * (around[c]["n"] - 1)
+        held = split[c]["below"] <= math.floor(rank) and math.ceil(rank) < split[c]["below"] + split[c]["inside"]
+        below[c] = split[c]["below"] if held else 0
+        ends[c] = ends[c] if held else ("double('-Infinity')", "double('Infinity')")
     facts = spark.createDataFrame(
         [(c, q * (around[c]["n"] - 1), int(below[c])) for c in cols], "feature string, rank double, below bigint")
     long = df.selectExpr(*[f"case when {valid[c]} between {ends[c][0]} and {ends[c][1]} then {valid[c]} end as `{c}`"

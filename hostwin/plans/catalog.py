@@ -14,7 +14,7 @@ from hostwin.functions.scalars import (
 from hostwin.operators import datasets, evaluate, features, order, prep, sampling, splits, text
 from hostwin.operators.iforest import fit_iforest, score_iforest
 from hostwin.operators.models import (
-    MODEL_NAMES, Settings, assemble, fit_balanced_rf, fit_gbt, fit_linear_svm, fit_logreg,
+    MODEL_NAMES, Settings, assemble, by_class, fit_balanced_rf, fit_gbt, fit_linear_svm, fit_logreg,
     fit_rf_smote, importances, scored_rows, train_and_score)
 from hostwin.operators.smote import smote
 from hostwin.plans.flagship import Study, study_tables
@@ -22,7 +22,7 @@ from hostwin.schemas import KEPT_DAYS, KEYS, LOG_COLUMNS, XDR_COLUMNS
 from hostwin.session import pin, scratch_path
 from hostwin.sources import fixtures
 from hostwin.sources.tables import (
-    read_log, read_logs, read_master, read_text, write_sorted, write_split,
+    read_log, read_logs, read_master, read_text, write_days, write_sorted, write_split,
     write_table)
 from hostwin.streaming.features import (
     compact_windows, read_windows, run_stream, stream_features)
@@ -32,7 +32,7 @@ QUERIES: dict[str, Query] = {}
 
 SIX_HOURS = 21_600
 TRAIN_BEFORE = 21
-SMALL = Settings(trees=10, depth=8, bags=2, boost_depth=4)
+SMALL = Settings(trees=10, depth=8, boost_depth=4)
 
 
 def query(fn: Query) -> Query:
@@ -157,6 +157,32 @@ def append_partials(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query
+def repeated_days(spark, sf_dir):
+    """Days delivered one part after the other, some of them twice and with more rows at first."""
+    path = scratch_path(spark, "days")
+    edr = edr_of(spark, sf_dir, SIX_HOURS).select(*KEYS, "auth_total", "label")
+    write_days(edr.filter("day < 15").unionAll(edr.filter("day between 10 and 14")), path)
+    write_days(edr.filter("day >= 10"), path)
+    write_days(edr.filter("day between 12 and 20"), path)
+    return spark.read.parquet(path).withColumn("day", F.col("day").cast("bigint"))
+
+
+@query
+def typed_csv(spark, sf_dir):
+    """A text file with columns of its own: types are those that all values can be read as."""
+    path = scratch_path(spark, "typed")
+    b = fixtures.base(spark, sf_dir)
+    write_table(b.select("event_id", F.col("k").alias("Class"), "value", "host", F.when(
+        F.col("k") > 5, F.col("k") > 50).alias("high"), F.when(F.col("k") < 9, "x").otherwise(
+        F.col("k").cast("string")).alias("mixed")), path, "csv")
+    df = read_master(spark, path, "csv")
+    kinds = F.array(*[F.lit(f"{n} {t}") for n, t in df.dtypes])
+    # In numeric order 2 comes before 10.
+    codes = prep.label_codes(df, "Class")
+    return prep.encode_labels(df, "Class", codes).select("*", F.array_join(kinds, ", ").alias("kinds"))
+
+
 @query
 def split_round_trip(spark, sf_dir):
     path = scratch_path(spark, "split")
@@ -214,6 +240,15 @@ def dns_distinct_6h(spark, sf_dir):
     return features.dns_features(log_of(spark, sf_dir, "dns"), SIX_HOURS, distinct=True)
 
 
+@query
+def dns_distinct_merged(spark, sf_dir):
+    """Distinct names from partial sketches of five deliveries that share windows."""
+    dns = log_of(spark, sf_dir, "dns")
+    deal = F.pmod(F.xxhash64("time", "resolved", "src_comp"), F.lit(5))
+    parts = [pin(features.dns_partials(dns.filter(deal == i), SIX_HOURS)) for i in range(5)]
+    return features.finish_dns(features.merge_partials(parts))
+
+
 @query
 def merge_partials(spark, sf_dir):
     auth = log_of(spark, sf_dir, "auth")
@@ -355,7 +390,8 @@ def context_balance_xdr(spark, sf_dir):
 @query
 def slice_like(spark, sf_dir):
     master = _study_master(spark, sf_dir)
-    chosen = order.global_index(datasets.edr_of(master).select(*KEYS)).filter("idx % 7 = 3")
+    edr = datasets.edr_of(master)
+    chosen, _ = sampling.context_balance(edr, edr, 5, 10, 20, seed=7)
     return sampling.slice_like(master, chosen).select(*KEYS, "flows_count", "label")
 
 
@@ -390,6 +426,12 @@ def smote_rows(spark, sf_dir):
     return smote(_numeric_rows(spark, sf_dir), ["x", "z", "hour"], "row_id")
 
 
+@query
+def smote_blocks(spark, sf_dir):
+    """The same rows from many small blocks, whose pairs in reach are found in the tree of boxes."""
+    return smote(_numeric_rows(spark, sf_dir), ["x", "z", "hour"], "row_id", block_rows=64)
+
+
 @query
 def balanced_bags(spark, sf_dir):
     rows = _numeric_rows(spark, sf_dir).select("row_id", "label")
@@ -417,6 +459,15 @@ def column_medians(spark, sf_dir):
     return order.exact_quantiles(clean_inf(train, ["x"]), ["x", "z", "konst", "day"], 0.5)
 
 
+@query
+def medians_of_increments(spark, sf_dir):
+    """Exact medians with the sketches of each day merged instead of a first pass over all days."""
+    train = pin(clean_inf(_dirty_sides(spark, sf_dir)[0], ["x"]))
+    cols = ["x", "z", "konst", "day"]
+    days = [pin(order.quantile_sketches(train.filter(F.col("day") % 4 == i), cols)) for i in range(4)]
+    return order.exact_quantiles(train, cols, 0.5, sketches=order.merge_sketches(days))
+
+
 @query
 def column_quantiles(spark, sf_dir):
     train, _ = _dirty_sides(spark, sf_dir)
@@ -677,6 +728,44 @@ def stream_auth_features(spark, sf_dir):
     return features.finish(read_windows(spark, out), "auth")
 
 
+# Three classes
+
+def _three(spark, sf_dir):
+    """Events with three classes that their value and code tell apart with some noise."""
+    b = fixtures.base(spark, sf_dir)
+    noise = F.pmod(F.col("event_id") * 7919, F.lit(10))
+    kind = F.when(F.col("k") + noise < 50, "low").when(F.col("k") + noise < 85, "middle").otherwise("top")
+    rows = b.select(F.col("event_id").alias("row_id"), kind.alias("label"), F.col("k").cast("double").alias("k"),
+                    "value", F.floor(F.col("t") / 86_400).alias("day"))
+    return prep.prepare(rows.filter(F.col("day") < TRAIN_BEFORE), rows.filter(F.col("day") >= TRAIN_BEFORE),
+                        include_time=False, keep=["row_id"])
+
+
+@query
+def class_probabilities_auc(spark, sf_dir):
+    """One-vs-rest ROC-AUC of given class scores, weighted by support."""
+    b = fixtures.base(spark, sf_dir)
+    scores = F.array(*[((F.col("k") + 37 * c + F.pmod(F.col("event_id") * 7919, F.lit(20))) % 100).cast("double") / 100
+                       for c in range(3)])
+    rows = b.select(F.lit("tri").alias("model"), (F.col("k") % 3).cast("int").alias("y"), scores.alias("scores"))
+    return evaluate.roc_auc_ovr(by_class(rows))
+
+
+@query
+def train_three_classes(spark, sf_dir):
+    """What is true of every model of three classes that learned something."""
+    _, scored = train_and_score(_three(spark, sf_dir), "row_id", settings=SMALL)
+    scored = pin(scored)
+    told = evaluate.class_tables(scored, by_class(scored), "events")["comparison"]
+    facts = scored.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("pred").alias("answers"),
+        F.count_if(F.abs(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9).alias("odd_sums"),
+        F.count("scores").alias("with_scores"))
+    return facts.join(told, "model").select(
+        "model", "n_rows", "answers", "odd_sums", "with_scores", (F.col("balanced_accuracy") > 0.5).alias("informed"),
+        F.col("roc_auc").isNotNull().alias("with_area"))
+
+
 # Models. The training rows are the whole XDR table at a width with several events per row.
 
 def _prepared(spark, sf_dir):

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from hostwin.functions.scalars import filter_days
 from hostwin.operators.datasets import build_master, edr_of
-from hostwin.operators.evaluate import report_tables, top_features
-from hostwin.operators.models import MODEL_NAMES, Settings, importances, train_and_score
+from hostwin.operators.evaluate import class_tables, report_tables, top_features
+from hostwin.operators.models import MODEL_NAMES, Settings, by_class, importances, train_and_score
 from hostwin.operators.prep import baseline_accuracy, class_balance, overview, prepare
 from hostwin.operators.sampling import MAX_CONTEXT, MIN_CONTEXT, context_balance
 from hostwin.operators.splits import split_days, take
@@ -67,15 +67,18 @@ def evaluate_dataset(name: str, train: DataFrame, test: DataFrame,
     if study.validation_days:
         to_score = to_score.unionByName(keyed(train.filter(held), "valid"))
     prep = prepare(fit_on, to_score, study.include_time, keep=["row_id"])
-    if not prep.binary:
-        raise ValueError(f"the detectors need two classes, but {name} has {prep.n_classes}; "
-                         "compare_classes evaluates predictions of more")
+    if prep.n_classes < 2:
+        raise ValueError(f"{name} has a single class")
     fitted, scored = train_and_score(prep, "row_id", study.models, study.settings)
     scored = pin(scored)
     valid = F.startswith("row_id", F.lit("valid|"))
-    tables = report_tables(
-        scored.filter(~valid), name, study.models, study.target_recall, study.tuning_rule,
-        scored.filter(valid) if study.validation_days else None)
+    if prep.binary:
+        tables = report_tables(
+            scored.filter(~valid), name, study.models, study.target_recall, study.tuning_rule,
+            scored.filter(valid) if study.validation_days else None)
+    else:
+        # There is no cut-off to tune between more than two classes.
+        tables = class_tables(scored.filter(~valid), by_class(scored.filter(~valid)), name)
     weights = importances(train.sparkSession, fitted, prep.features)
     more = {"overview": overview(train, test, study.include_time),
             "class_balance": data_balance(train, test),

@@ -6,8 +6,6 @@ engine-side rewrites: joins are joins, positions are row numbers over the whole
 
 from __future__ import annotations
 
-import re
-
 from hostwin.operators.text import SPACES
 from hostwin.schemas import KEPT_DAYS, NULL_TOKENS, TEST_DAYS, TRAIN_DAYS
 from hostwin.sources.fixtures import duckdb_ctes
@@ -262,6 +260,7 @@ def oracle_sql() -> dict[str, str]:
     out["dns_features"] = _six(["dns"], [_dns(300)], "dns_f", columns=f"{_KEYS}, dns_queries")
     out["dns_distinct_6h"] = _six(["dns"], [_dns(SIX_HOURS)], "dns_f")
     out["merge_partials"] = out["auth_features_6h"]
+    out["dns_distinct_merged"] = out["dns_distinct_6h"]
     out["csv_log_scan"] = out["auth_features"]
     out["stream_auth_features"] = out["auth_features"]
     out["redteam_keys"] = _six(["redteam"], [_bad(300)], "bad")
@@ -286,6 +285,24 @@ def oracle_sql() -> dict[str, str]:
 
     out["column_subset"] = _six(_LOGS, x300, "xdr", columns="src_comp, win, label")
     out["append_partials"] = _six(_LOGS, x6h, "edr", columns=f"{_KEYS}, auth_total, label")
+    out["repeated_days"] = out["append_partials"]
+    out["typed_csv"] = _with([]) + """select event_id, cast(k as bigint) as Class, round(value, 6) as value, host,
+ case when k > 5 then k > 50 end as high, case when k < 9 then 'x' else cast(k as varchar) end as mixed,
+ cast(dense_rank() over (order by k) - 1 as int) as y,
+ 'event_id bigint, Class bigint, value double, host string, high boolean, mixed string' as kinds from b"""
+    out["class_probabilities_auc"] = _with([]) + """,
+s as (select event_id, cast(k % 3 as int) as y, c, ((k + 37 * c + (event_id * 7919) % 20) % 100)::double / 100 as score
+ from b, range(3) g(c)),
+n as (select c, score, count(*) filter (where y = c) as pos, count(*) filter (where y <> c) as neg from s group by 1, 2),
+a as (select c, sum(p.pos * (p.below + p.neg / 2.0)) / (sum(p.pos) * sum(p.neg)) as area, sum(p.pos) as support from (
+ select *, coalesce(sum(neg) over (partition by c order by score rows between unbounded preceding and 1 preceding), 0) as below
+ from n) p group by c)
+select 'tri' as model, round(sum(area * support) / sum(support), 6) as roc_auc from a"""
+    out["train_three_classes"] = _with([]) + """,
+t as (select count(*) as n from b where floor(t / 86400) >= 21)
+select m as model, n as n_rows, 3::bigint as answers, 0::bigint as odd_sums,
+ case when m = 'SGD SVM' then 0 else n end::bigint as with_scores, true as informed, m <> 'SGD SVM' as with_area
+from t, (select unnest(['Logistic Regression', 'Random Forest (SMOTE)', 'LightGBM', 'Balanced RF', 'SGD SVM']) as m) x"""
     out["sorted_files"] = _six(_LOGS, x300, "edr", columns=f"{_KEYS}, auth_total")
     out["sorted_filtered"] = _six(_LOGS, [*x300, _INDEXED], "indexed", "auth_fail_rate")
     last = """case when day > (select max(day) from edr) - 7 then 'test' else 'train' end as split"""
@@ -312,16 +329,12 @@ def oracle_sql() -> dict[str, str]:
     kept = _kept(75, 150, 150, 0)
     out["context_balance_edr"] = _six(
         _LOGS, [*x300, *kept], "indexed", "auth_fail_rate", tail="semi join kept using (idx)")
-    # Shared tables are computed once, whatever the planner would choose.
-    once = [re.sub(r"^(\s*|.*\n)(xdr|indexed|kept) as \(", r"\1\2 as materialized (", c, flags=re.M)
-            for c in (*x300, *kept)]
+    chosen = f"chosen as (select {_KEYS} from indexed join kept using (idx))"
     out["context_balance_xdr"] = _six(
-        _LOGS, [*once, f"""chosen as materialized (select {_KEYS} from indexed
- where idx in (select idx from kept))"""],
-        "xdr", *_MASTER_DOUBLES, columns=xdr_all, tail=f"semi join chosen using ({_KEYS})")
+        _LOGS, [*x300, *kept, chosen], "xdr", *_MASTER_DOUBLES, columns=xdr_all, tail=f"join chosen using ({_KEYS})")
     out["slice_like"] = _six(
-        _LOGS, [*once, f"chosen as materialized (select {_KEYS} from indexed where idx % 7 = 3)"],
-        "xdr", columns=f"{_KEYS}, flows_count, label", tail=f"semi join chosen using ({_KEYS})")
+        _LOGS, [*x300, *_kept(5, 10, 20, 7), chosen], "xdr", columns=f"{_KEYS}, flows_count, label",
+        tail=f"join chosen using ({_KEYS})")
     out["context_balance_tight"] = _six(
         _LOGS, [*x300, *_kept(5, 10, 20, 7)], "indexed", columns=f"idx, {_KEYS}, label",
         tail="semi join kept using (idx)")
@@ -330,7 +343,7 @@ def oracle_sql() -> dict[str, str]:
         + per_side.format("XDR", "", "chosen"), *_kept(5, 20, 20, 0),
         f"chosen as (select *, {fixed} from indexed semi join kept using (idx))")
 
-    out["smote_rows"] = _with(
+    out["smote_rows"] = out["smote_blocks"] = _with(
         [], _NUMERIC, """mins as (select *, row_number() over (order by row_id) - 1 as id
  from num where label = 1),
 size as (select count(*) filter (where label = 1) as m, count(*) filter (where label = 0) as j
@@ -367,6 +380,7 @@ select row_id, round((x - ax) / sx, 6) as x, round((z - az) / sz, 6) as z,
     out["column_medians"] = _with(["dirty"], _SIDES) + " union all ".join(
         quant.format(c, 0.5) for c in ("x", "z", "konst", "cast(day as double)")).replace(
         "'cast(day as double)'", "'day'")
+    out["medians_of_increments"] = out["column_medians"]
     out["column_quantiles"] = _with(["dirty"], _SIDES) + " union all ".join(
         quant.format(c, 0.93) for c in ("x", "z"))
     out["encode_labels"] = """select event_id, event_type,

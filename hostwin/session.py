@@ -26,6 +26,8 @@ def get_spark(app: str = "hostwin", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Fits that run at the same time share the cluster.
+        "spark.scheduler.mode": "FAIR",
         # Call sites in error messages cost a third of the time it takes to build a plan.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.streaming.stateStore.providerClass":

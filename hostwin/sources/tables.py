@@ -47,14 +47,17 @@ def read_master(spark: SparkSession, path: str, fmt: str = "parquet",
     """A feature table, optionally only some columns.
 
     The types of a CSV file follow from its column names, so that no inference pass over the
-    data is needed; ``file_columns`` gives the names without even reading the header. A file
-    with names that are not features stays text.
+    data is needed; ``file_columns`` gives the names without even reading the header. The columns of a
+    file with other names are read as text first and then :func:`narrowed`, in one pass over the columns asked for.
     """
     if fmt == "csv":
         reader = spark.read.option("header", True).option("escape", '"')
         names = file_columns or reader.csv(path).columns
         if set(names) <= set(XDR_COLUMNS):
             reader = reader.schema(master_schema(names)).option("enforceSchema", False)
+        else:
+            texts = reader.csv(path)
+            return narrowed(texts.select(*columns) if columns else texts)
         df = reader.csv(path)
     else:
         df = spark.read.format(fmt).load(path)
@@ -78,6 +81,33 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     writer.save(path)
 
 
+def write_days(df: DataFrame, path: str, by: str = "day", fmt: str = "parquet") -> None:
+    """Write a table by day so that a repeated day replaces itself and all other days stay.
+
+    Only the folders of days that ``df`` has are exchanged, at the end of the job; a job that fails
+    changes nothing.
+    """
+    df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).save(path)
+
+
+def narrowed(df: DataFrame) -> DataFrame:
+    """Text columns as the narrowest type that every value can be read as: BIGINT, DOUBLE, BOOLEAN or text.
+
+    One pass over the rows decides for all columns. Blanks around a value do not matter and empty values are
+    missing; a column without values stays text.
+    """
+    text = [n for n, t in df.dtypes if t == "string"]
+    if not text:
+        return df
+    trimmed = {n: f"nullif(trim(`{n}`), '')" for n in text}
+    kinds = ["bigint", "double", "boolean"]
+    whole = df.agg(*[F.expr(f"struct(count({v}) as n, " + ", ".join(
+        f"count(try_cast({v} as {k})) as `{k}`" for k in kinds) + ")").alias(n) for n, v in trimmed.items()]).first()
+    kind = {n: next((k for k in kinds if 0 < whole[n]["n"] == whole[n][k]), "string") for n in text}
+    return df.select(*[F.expr(f"try_cast({trimmed[n]} as {kind[n]})").alias(n) if kind.get(n, "string") != "string"
+                       else F.col(f"`{n}`") for n in df.columns])
+
+
 def write_split(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Train and test rows in one pass, one folder per value of ``split``."""
     write_table(df, path, fmt, partition_by=["split"])

@@ -9,7 +9,7 @@ from hostwin.operators.iforest import (
 from hostwin.plans.flagship import Study, run_study
 from hostwin.sources import fixtures
 
-SMALL = models.Settings(trees=6, depth=6, bags=2, boost_depth=3)
+SMALL = models.Settings(trees=6, depth=6, boost_depth=3)
 
 
 @pytest.fixture(scope="module")
@@ -105,6 +105,64 @@ def test_average_path():
     assert float(average_path(256)) == pytest.approx(10.2448, abs=1e-3)
 
 
+@pytest.fixture(scope="module")
+def three(spark):
+    """Three classes, the rarest with a twentieth of the rows."""
+    rng = np.random.default_rng(1)
+    y = rng.choice(3, 900, p=[0.65, 0.3, 0.05])
+    x = rng.normal(size=(900, 3)) + np.array([[0, 0, 0], [2.5, 0, 0], [0, 3.0, 0]])[y]
+    rows = [(i, *map(float, r), ["fine", "odd", "worst"][c]) for i, (r, c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "row_id int, a double, b double, c double, label string")
+    done = prep.prepare(df.filter("row_id < 600"), df.filter("row_id >= 600"), keep=["row_id"])
+    done.train, done.test = done.train.cache(), done.test.cache()
+    return done
+
+
+def test_three_classes(spark, three):
+    fitted, scored = models.train_and_score(three, "row_id", settings=SMALL)
+    assert list(fitted) == models.MODEL_NAMES[:5]
+    scored = scored.cache()
+    sums = scored.filter("scores is not null").select(
+        F.size("scores").alias("n"), F.aggregate("scores", F.lit(0.0), lambda a, x: a + x).alias("s"),
+        (F.get("scores", F.col("pred")) == F.col("score")).alias("own")).collect()
+    assert len(sums) == 4 * 300 and all(r.n == 3 and abs(r.s - 1) < 1e-9 and r.own for r in sums)
+    tables = evaluate.class_tables(scored, models.by_class(scored), "x")
+    rows = {r.model: r for r in tables["comparison"].collect()}
+    assert set(rows) == set(fitted) and all(r.balanced_accuracy > 0.7 for r in rows.values())
+    # The area is that of pairs of rows, one class against the others, weighted by support.
+    frame = scored.filter("model = 'Logistic Regression'").toPandas()
+    want = 0.0
+    for c in range(3):
+        s, hit = np.array([v[c] for v in frame["scores"]]), (frame["y"] == c).to_numpy()
+        above = (s[hit][:, None] > s[~hit]).mean() + 0.5 * (s[hit][:, None] == s[~hit]).mean()
+        want += above * hit.sum() / len(frame)
+    assert rows["Logistic Regression"].roc_auc == pytest.approx(want, abs=1e-12) and want > 0.9
+    assert rows["SGD SVM"].roc_auc is None
+    imp = models.importances(spark, fitted, three.features)
+    assert imp.count() == 15 and imp.filter("feature = 'c'").agg(F.max("importance")).first()[0] < imp.agg(
+        F.max("importance")).first()[0]
+
+
+def test_a_bag_for_each_tree(prepared):
+    bags = models.bag_of_each_tree(prepared.train, "row_id", 40, 1)
+    sums = bags.select("y", F.posexplode("bags").alias("tree", "n")).groupBy("tree").pivot("y", [0, 1]).agg(
+        F.sum("n")).collect()
+    assert len(sums) == 40 and np.mean([r["1"] / r["0"] for r in sums]) == pytest.approx(0.5, rel=0.1)
+    assert len({(r["0"], r["1"]) for r in sums}) > 20
+    forest = models.fit_balanced_rf(prepared.train, prepared.features, "row_id", SMALL)
+    assert forest.getNumTrees == SMALL.trees == len(forest.trees)
+    assert len({t.toDebugString for t in forest.trees}) == SMALL.trees
+
+
+def test_fits_run_at_the_same_time(spark):
+    import threading
+    gate = threading.Barrier(3, timeout=60)
+    seen = models.together(spark, {i: lambda i=i: (gate.wait(), spark.range(i + 1).count())[1] for i in range(3)}, 3)
+    assert seen == {0: 1, 1: 2, 2: 3}
+    with pytest.raises(ZeroDivisionError):
+        models.together(spark, {0: lambda: 1 / 0}, 3)
+
+
 def test_whole_study(spark, sf, tmp_path):
     b = fixtures.base(spark, sf)
     logs = {k: null_tokens(fixtures.view_of(b, k)) for k in fixtures.LOGS}
