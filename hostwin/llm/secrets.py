@@ -34,13 +34,20 @@ ENCODINGS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-SHORTEST = 20
+SHORTEST = 16
 #: Length classes begin at these lengths; discoveries are controlled in each on its own.
-CLASSES = [20, 24, 32, 40, 48, 64, 128]
+CLASSES = [16, 20, 24, 32, 40, 48, 64, 128]
 BINS = 64
+#: A text gives one decoy of each length class, and another for each of these many letters.
+DECOY_STEP = 4096
 _SYMBOLS = [(set(a), {c: i for i, c in enumerate(a)}) for a in ENCODINGS.values()]
 _KINDS_OF = [np.unique([c.isdigit() + 2 * c.islower() + 4 * c.isupper() for c in a], return_inverse=True)[1]
              for a in ENCODINGS.values()]
+_PART = re.compile(r"[0-9A-Za-z]+")
+#: Dashed groups: parts of one small alphabet, or of any letters and digits, joined by single dashes.
+_GROUPS = [re.compile(rf"(?<![0-9A-Za-z]){p}(?:-{p})+(?![0-9A-Za-z])")
+           for p in ("[0-9a-f]+", "[0-9A-F]+", "[0-9A-Za-z]+")]
+_LETTERS = bytes(i for i in range(256) if not chr(i).isascii() or not chr(i).isalpha())
 _RUN = bytes(120 if chr(i) in ENCODINGS["base64"] + "-_" else 32 for i in range(256))
 Span = tuple[str, int, int]
 
@@ -141,28 +148,48 @@ def bin_of(p: float) -> int:
     return min(BINS - 1, int(-4 * math.log10(max(p, 1e-300))))
 
 
+def hypotheses(text: str, start: int, end: int) -> set[tuple[int, int, str]]:
+    """(start, end, symbols) of the strings in a run that may be secrets, each with SHORTEST symbols or more.
+
+    These are the whole run, its parts between the marks ``+/-_``, and dashed groups, whose dashes
+    are no symbols. So a key behind a prefix, in a path or in groups is tested under its own encoding.
+    """
+    found = {(start, end, text[start:end])}
+    found |= {(*m.span(), m[0]) for m in _PART.finditer(text, start, end)}
+    for group in _GROUPS:
+        found |= {(*m.span(), m[0].replace("-", "")) for m in group.finditer(text, start, end)}
+    return {h for h in found if len(h[2]) >= SHORTEST}
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, bin) of the runs that have an encoding."""
+    """(start, end, length class, bin) of the :func:`hypotheses` that have an encoding."""
     found = []
-    for start, end in long_runs(text):
-        p = randomness(text[start:end])
-        if p is not None:
-            found.append((start, end, length_class(end - start), bin_of(p)))
+    for run in long_runs(text):
+        for start, end, symbols in sorted(hypotheses(text, *run)):
+            p = randomness(symbols)
+            if p is not None:
+                found.append((start, end, length_class(len(symbols)), bin_of(p)))
     return found
 
 
+def ordinary(text: str) -> str:
+    """All letters of a text, those of other scripts as a-z by their code point, so that every script has some."""
+    if text.isascii():
+        return text.encode().translate(None, _LETTERS).decode()
+    return "".join(c if c.isascii() else chr(97 + ord(c) % 26) for c in text if c.isalpha())
+
+
 def decoys(text: str, lengths: list[int]) -> list[tuple[int, int]]:
     """(length class, bin) of ordinary strings: letters of the text itself, of given lengths.
 
-    Each is cut from a place given by a hash of the text; a text with too few letters there has none.
+    Each is cut from a place of the whole text given by a hash of the text; a text with fewer letters has none.
     """
-    found = []
+    found, letters = [], ordinary(text)
     seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-    for i, n in enumerate(lengths):
-        at = (seed + 7919 * i) % max(1, len(text) - 2 * n)
-        letters = "".join(c for c in text[at:at + 3 * n] if c.isascii() and c.isalpha())[:n]
-        if len(letters) == n:
-            p = randomness(letters)
+    for i, n in enumerate([*CLASSES * (1 + len(letters) // DECOY_STEP), *lengths]):
+        if len(letters) >= n:
+            at = (seed + 7919 * i) % (len(letters) - n + 1)
+            p = randomness(letters[at:at + n])
             if p is not None:
                 found.append((length_class(n), bin_of(p)))
     return found
@@ -171,7 +198,7 @@ def decoys(text: str, lengths: list[int]) -> list[tuple[int, int]]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, base, found, decoys) of every text; NULL texts are empty.
 
-    Each text gives a decoy of one length class and one more per candidate, of its length.
+    Each text gives decoys of every length class and one more per candidate, of the least length of its class.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
 
@@ -183,8 +210,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
                 base.append([{"kind": BASE.index(k), "start": a, "end": b} for k, a, b in base_spans(t)])
                 own = candidates(t)
                 found.append([dict(zip(("start", "end", "cls", "bin"), c)) for c in own])
-                lengths = [CLASSES[len(t) % len(CLASSES)], *[b - a for a, b, _, _ in own]]
-                fake.append([{"cls": c, "bin": b} for c, b in decoys(t, lengths)])
+                fake.append([{"cls": c, "bin": b} for c, b in decoys(t, [CLASSES[cls] for _, _, cls, _ in own])])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(v, _list(*names)) for v, names in (
                     (base, ("kind", "start", "end")), (found, ("start", "end", "cls", "bin")),
@@ -205,7 +231,8 @@ def thresholds(scanned: DataFrame, rate: float = 0.05, least_p: float = 0.001) -
 
     The p-value of a candidate is the share of decoys of its length class that look at least as
     random (each class with one more, so it is never 0). The rule of Benjamini and Hochberg then
-    accepts candidates of the class at a false discovery rate of at most ``rate``. Only strings
+    accepts candidates of the class at a false discovery rate of at most ``rate``; every hypothesis
+    about a run counts, and those about the same run depend on each other positively, as the rule allows. Only strings
     that the battery itself does not reject at ``least_p`` are accepted. The counts per class
     and bin, bounded by their number, are all that reaches the driver.
     """
@@ -227,17 +254,23 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(id, spans) of every document: spans are (start, kind, end) by start, kind as in KINDS.
 
     Starts and ends count characters, ends excluded. A random string that overlaps a span of a
-    fixed pattern is left to that. NULL and empty texts have no spans.
+    fixed pattern is left to that, and one inside another random string to the longer. NULL and empty
+    texts have no spans, repeated rows the same ones, and an empty table gives no rows.
     """
     scanned = pin(scan(docs, id_col, text))
     limit = F.array(*[F.lit(b) for b in thresholds(scanned, rate)])
     clear = F.filter("found", lambda c: (c["bin"] <= limit[c["cls"]]) & ~F.exists(
         "base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    random = F.transform(clear, lambda c: F.struct(
+    # A run of hypotheses overlaps only itself, so the lists are short.
+    outer = F.filter("clear", lambda c: ~F.exists("clear", lambda d: (d["start"] <= c["start"]) & (
+        d["end"] >= c["end"]) & (d["end"] - d["start"] > c["end"] - c["start"])))
+    random = F.transform(outer, lambda c: F.struct(
         c["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), c["end"].alias("end")))
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"),
                                                   b["end"].alias("end")))
-    return scanned.select("id", F.array_sort(F.concat(base, random)).alias("spans"))
+    # Two hypotheses may agree on a span, with and without its dashes.
+    return scanned.withColumn("clear", clear).select(
+        "id", F.array_sort(F.concat(base, F.array_distinct(random))).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -253,7 +286,7 @@ def redact(docs: DataFrame, text: str = "text", length: str = "n_chars", mark: s
 
     Thresholds come from a first pass over all texts; the second finds the spans again and
     replaces them, so texts are never shuffled. Overlapping spans become one mark. Rows without
-    secrets stay as they are.
+    secrets, NULL and empty texts stay as they are, repeated rows are treated alike, and an empty table stays empty.
     """
     limits = thresholds(pin(scan(docs.select(F.lit(None).cast("int").alias("_none"), text), "_none", text)), rate)
     names = docs.columns

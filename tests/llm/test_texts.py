@@ -111,6 +111,71 @@ def test_random_strings_pass_the_battery_and_patterns_do_not():
     assert secrets.randomness("1234567890" * 3) is None
 
 
+def drawn(rng, symbols, n):
+    return "".join(rng.choice(list(symbols), n))
+
+
+def shaped_keys(rng):
+    """(text, random part) of keys behind a prefix, in a path, in dashed groups and of 16 symbols."""
+    lower = "0123456789abcdefghijklmnopqrstuvwxyz"
+    dashed = "-".join(drawn(rng, "0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
+    plain, long, short = drawn(rng, lower, 36), drawn(rng, secrets.ENCODINGS["base62"], 40), drawn(
+        rng, secrets.ENCODINGS["base62"], 16)
+    return [(dashed, dashed), (f"req-{dashed}", dashed), (f"key-{plain}", plain),
+            (f"/oauth_callback/{long}", long), (short, short)]
+
+
+def test_keys_with_prefixes_in_paths_and_in_groups(spark):
+    rng = np.random.default_rng(3)
+    prose = ("The well-known-and-deaf misunderstandings of /usr/share/internationalisation/common_misconfigurations "
+             "were on 2024-01-02-03-04-05 filed under DECADE-FACADE. ") * 3
+    keys = [shaped_keys(rng) for _ in range(60)]
+    rows = [(i, prose + keys[i // 5][i % 5][0] + " seen. " + prose if i < 300 else prose) for i in range(600)]
+    found = {r.id: [rows[r.id][1][s.start:s.end] for s in r.spans if s.kind == 3] for r in secrets.find_secrets(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for kind in range(4):  # 16 symbols are too few to stand out among so many long words, see below
+        hits = sum(any(keys[n][kind][1] in f for f in found[5 * n + kind]) for n in range(60))
+        assert hits >= 54, kind
+    assert sum(len(v) for v in found.values()) <= 300 + 15
+    assert all(not v for i, v in found.items() if i >= 300)
+
+
+def test_short_keys_among_few_long_words(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "Some words of an ordinary kind, and then some more of them. " * 4
+             + (shaped_keys(rng)[4][0] if i < 40 else "misunderstandings" if i < 60 else "")) for i in range(400)]
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).filter(
+        "exists(spans, s -> s.kind = 3)").select("id").collect()
+    assert len(found) >= 36 and all(r.id < 40 for r in found)
+
+
+def test_random_spans_by_the_rule_itself(spark):
+    """The same spans by sorting the p-values of all hypotheses of a length class, without bins' sums."""
+    rng = np.random.default_rng(4)
+    words = ["internationalisation", "of", "counter-revolutionary-misunderstandings", "Größenordnungen", "Ж" * 30]
+    texts = [" ".join([*rng.choice(words, 20), *(shaped_keys(rng)[i % 5][0] for _ in range(i % 3))]) for i in range(400)]
+    cands = [(i, *c) for i, t in enumerate(texts) for c in secrets.candidates(t)]
+    fake = [d for t in texts for d in secrets.decoys(t, [secrets.CLASSES[c[2]] for c in secrets.candidates(t)])]
+    want = set()
+    for cls in range(len(secrets.CLASSES)):
+        null = [b for c, b in fake if c == cls]
+        own = sorted((1 + sum(b <= c[4] for b in null), c) for c in cands if c[3] == cls)
+        own = [((n / (1 + len(null))), c) for n, c in own]
+        last = max((p for k, (p, _) in enumerate(own, 1) if p <= 0.05 * sum(q <= p for q, _ in own) / len(own)), default=-1)
+        want |= {c[:3] for p, c in own if p <= last and c[4] <= secrets.bin_of(0.001)}
+    base = {i: secrets.base_spans(t) for i, t in enumerate(texts)}
+    want = {(i, a, b) for i, a, b in want if not any(x < b and a < y for _, x, y in base[i])}
+    want = {w for w in want if not any(v != w and v[0] == w[0] and v[1] <= w[1] and w[2] <= v[2] for v in want)}
+    got = [(r.id, s.start, s.end) for r in secrets.find_secrets(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id bigint, text string")).collect() for s in r.spans if s.kind == 3]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_letters_of_every_script_are_decoys():
+    assert secrets.ordinary("Ab-c 1d") == "Abcd" and len(secrets.ordinary("Größe жук 12")) == 8
+    assert len(secrets.decoys("ж" * 200, [])) == len(secrets.CLASSES)
+
+
 def test_redaction(edges, none):
     rows = secrets.redact(clashing(edges)).collect()
     assert sorted((r.doc_id or 0) for r in rows) == sorted((e[0] or 0) for e in EDGES)
