@@ -49,12 +49,24 @@ def build_master(logs: dict[str, DataFrame], width: int = WINDOW_SECONDS,
     partial sums per task, one exchange, no joins and no sorts. Label rows take part like
     any other log. Unusable rows fall into groups that no log counts, which are dropped.
     """
+    return finish_master(add_up(master_rows(logs, width)), keep_network_only)
+
+
+def master_rows(logs: dict[str, DataFrame], width: int = WINDOW_SECONDS) -> DataFrame:
+    """(src_comp, day, win), measures and label of every raw row of the five logs, batch or streaming."""
     parts = [keyed_rows(logs[kind], kind, width) for kind in FEATURES]
     parts.append(redteam_rows(logs["redteam"], width).withColumn("label", F.lit(1)))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    measures = [c for c in rows.columns if c not in (*KEYS, "label")]
-    table = rows.groupBy(*KEYS).agg(
-        *[sum_of(n) for n in measures], F.coalesce(F.max("label"), F.lit(0)).alias("label"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def add_up(rows: DataFrame) -> DataFrame:
+    """Measures added up per window, of raw rows or of earlier sums; a label stays if any row has it."""
+    label = [F.coalesce(F.max("label"), F.lit(0)).alias("label")] if "label" in rows.columns else []
+    return rows.groupBy(*KEYS).agg(*[sum_of(n) for n in rows.columns if n not in (*KEYS, "label")], *label)
+
+
+def finish_master(table: DataFrame, keep_network_only: bool = False) -> DataFrame:
+    """The XDR table of the windows of :func:`add_up`: derived features, and only windows that a log has."""
     seen = F.col("auth_total") + F.col("proc_events")
     if keep_network_only:
         seen = seen + F.col("flows_count") + F.col("dns_queries")

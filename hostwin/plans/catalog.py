@@ -25,7 +25,7 @@ from hostwin.sources.tables import (
     read_log, read_logs, read_master, read_text, write_days, write_sorted, write_split,
     write_table)
 from hostwin.streaming.features import (
-    compact_windows, read_windows, run_stream, stream_features)
+    compact_partials, compact_windows, read_partials, read_windows, run_partials, run_stream, stream_features)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -718,14 +718,61 @@ def stream_many_batches(spark, sf_dir):
     return features.finish(windows.select(*KEYS, *features.row_measures("auth")), "auth")
 
 
-@query
-def stream_auth_features(spark, sf_dir):
+def _streamed(spark, sf_dir, kind):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
-    auth = null_tokens(fixtures.view_of(fixtures.base_of(events), "auth"))
+    return null_tokens(fixtures.view_of(fixtures.base_of(events), kind))
+
+
+def _stream_features(spark, sf_dir, kind):
     out = scratch_path(spark, "windows")
-    run_stream(stream_features(auth, "auth"), out, scratch_path(spark, "stream"))
-    return features.finish(read_windows(spark, out), "auth")
+    run_stream(stream_features(_streamed(spark, sf_dir, kind), kind), out, scratch_path(spark, "stream"))
+    return features.finish(read_windows(spark, out), kind)
+
+
+@query
+def stream_auth_features(spark, sf_dir):
+    return _stream_features(spark, sf_dir, "auth")
+
+
+@query
+def stream_proc_features(spark, sf_dir):
+    return _stream_features(spark, sf_dir, "proc")
+
+
+@query
+def stream_flow_features(spark, sf_dir):
+    return _stream_features(spark, sf_dir, "flows")
+
+
+@query
+def stream_dns_features(spark, sf_dir):
+    return _stream_features(spark, sf_dir, "dns")
+
+
+@query
+def stream_xdr(spark, sf_dir):
+    """The labelled table of all five logs from one stream, compacted."""
+    rows = datasets.master_rows({k: _streamed(spark, sf_dir, k) for k in fixtures.LOGS})
+    out, compact = scratch_path(spark, "partials"), scratch_path(spark, "compact")
+    run_partials(rows, out, scratch_path(spark, "stream"))
+    compact_partials(spark, out, compact)
+    return datasets.finish_master(spark.read.parquet(compact).withColumn("day", F.col("day").cast("bigint")))
+
+
+@query
+def stream_late_windows(spark, sf_dir):
+    """DNS windows of four deliveries of which the third comes last, those in time and those late."""
+    dns = log_of(spark, sf_dir, "dns")
+    source, out, state = (scratch_path(spark, n) for n in ("log", "partials", "stream"))
+    week = F.floor(F.col("time").try_cast("bigint") / (8 * 86_400)).cast("int")
+    parts = dns.withColumn("part", F.coalesce(F.least(week, F.lit(3)), F.lit(0)))
+    for part in (0, 1, 3, 2):  # the stream goes on where it stopped
+        write_table(parts.filter(F.col("part") == part).drop("part"), source, mode="append")
+        stream = spark.readStream.schema(dns.schema).parquet(source)
+        run_partials(features.keyed_rows(stream, "dns", 300), out, state, delay=3 * 86_400)
+    return read_partials(spark, out, late=False).withColumn("late", F.lit(0)).unionByName(
+        read_partials(spark, out, late=True).withColumn("late", F.lit(1)))
 
 
 # Three classes

@@ -563,6 +563,13 @@ select count(*) as n_rows, cast(sum(label) as bigint) as positives, 0::bigint as
  case when m = 'LightGBM' then 0 else 15 end::bigint as coefficients, true as informed
  from (values ('Logistic Regression'), ('LightGBM')) t(m)"""
     out["stream_many_batches"] = out["auth_features"]
+    for log, name in (("proc", "proc_features"), ("flow", "flow_features"), ("dns", "dns_features")):
+        out[f"stream_{log}_features"] = out[name]
+    out["stream_xdr"] = out["xdr_master"]
+    # Every window lies in one delivery; the third of them comes after the newest.
+    out["stream_late_windows"] = f"""select *, case when least(win // 691200, 3) = 2
+  and win + 300 <= max(win) over () - 259200 then 1 else 0 end::int as late
+ from ({out["dns_features"]})"""
 
     out["tokens"] = f"""select doc_id, cast(i - 1 as int) as pos, l[i] as word
  from (select doc_id, l, unnest(range(1, len(l) + 1)) as i

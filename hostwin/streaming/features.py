@@ -1,4 +1,9 @@
-"""Window features of a log as a stream, from the same row measures as the batch features."""
+"""Window features of logs as a stream, from the same row measures as the batch features.
+
+:func:`stream_features` keeps the open windows of one log in Spark's state store and drops late rows.
+:func:`run_partials` keeps no state: each micro-batch stores the sums of its own rows, late windows
+apart, so that one stream can join any number of logs and late rows can still be added.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from hostwin.functions.scalars import day_id
+from hostwin.operators.datasets import add_up
 from hostwin.operators.features import check_width, measured_rows, row_measures, sum_of
 from hostwin.schemas import KEYS, WINDOW_SECONDS, log_schema
 
@@ -91,13 +97,73 @@ def run_stream(features: DataFrame, path: str, checkpoint: str) -> dict[str, int
     return {"batches": len(seen.batches), "late_rows": sum(seen.batches.values())}
 
 
-def compact_windows(spark: SparkSession, path: str, target: str) -> None:
+def run_partials(rows: DataFrame, path: str, checkpoint: str, width: int = WINDOW_SECONDS,
+                 delay: int = 3600) -> int:
+    """Process everything available of streaming rows, then stop; returns the batches stored.
+
+    ``rows`` are those of :func:`hostwin.operators.features.keyed_rows` or, for all logs and their labels,
+    :func:`hostwin.operators.datasets.master_rows`. Each micro-batch adds up its own rows and writes the sums
+    to a folder of its own number, so a repeated batch replaces itself and nothing but the newest window
+    start is carried on. A window that ended over ``delay`` seconds before the newest start of earlier
+    batches is late: its sums are stored apart. Rows without host or time are left out; a window in several batches has
+    a row in each, which :func:`read_partials` adds up. ``path`` and ``checkpoint`` must be shared folders.
+    """
+    check_width(width)
+    spark, done = rows.sparkSession, []
+
+    def store(batch: DataFrame, number: int) -> None:
+        newest = _newest(spark, path, number - 1)
+        sums = add_up(batch.na.drop(subset=KEYS))
+        late = F.lit(False) if newest is None else F.col("win") + width <= newest - delay
+        folder = f"{path}/sums/batch={number}"
+        sums.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(folder)
+        own = spark.read.schema(sums.schema).parquet(folder).agg(F.max("win").alias("win")).first().win
+        newest = max((w for w in (newest, own) if w is not None), default=None)
+        spark.range(1).select(F.lit(newest).cast("bigint").alias("win")).write.mode("overwrite").parquet(
+            f"{path}/newest/{number}")
+        done.append(number)
+
+    (rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+    return len(done)
+
+
+def _newest(spark: SparkSession, path: str, number: int) -> int | None:
+    """The newest window start of the batches up to a number; the first batch has none before it."""
+    if number < 0:
+        return None
+    return spark.read.schema("win bigint").parquet(f"{path}/newest/{number}").first().win
+
+
+def read_partials(spark: SparkSession, path: str, late: bool | None = None) -> DataFrame:
+    """The windows stored by :func:`run_partials`: all rows, or only those in time or late.
+
+    Sums over both are what a batch run over all rows gives.
+    """
+    rows = spark.read.parquet(f"{path}/sums")
+    if late is not None:
+        rows = rows.filter(F.col("late") == late)
+    return add_up(rows.drop("batch", "late"))
+
+
+def compact_windows(spark: SparkSession, path: str, target: str, files_per_day: int = 16) -> None:
     """Write the last state of every window once, one folder per day.
 
     Readers of many batches then read each window once; batches stored so far can be removed.
+    Hosts are dealt over ``files_per_day`` files, so a day is not the work of one task.
     """
-    rows = read_windows(spark, path)
-    rows.repartition("day").write.mode("overwrite").partitionBy("day").parquet(target)
+    _write_days(read_windows(spark, path), target, files_per_day)
+
+
+def compact_partials(spark: SparkSession, path: str, target: str, late: bool | None = None,
+                     files_per_day: int = 16) -> None:
+    """Write the windows of :func:`read_partials` once, as :func:`compact_windows` does."""
+    _write_days(read_partials(spark, path, late), target, files_per_day)
+
+
+def _write_days(rows: DataFrame, target: str, files_per_day: int) -> None:
+    part = F.pmod(F.xxhash64("src_comp"), F.lit(files_per_day))
+    rows.repartition(F.col("day"), part).write.mode("overwrite").partitionBy("day").parquet(target)
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
