@@ -5,13 +5,20 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.fs
+import pyarrow.parquet as pq
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostwin.llm.common import Batches, free_prefix, slices
+from hostwin.llm.warc import open_store
+from hostwin.session import pin, scratch_path
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -31,17 +38,71 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i:i + n] for i in range(len(padded) - n + 1)]
 
 
-@dataclass
+@dataclass(frozen=True)
 class Model:
-    """Costs (negative log10 of relative frequency) per language of known words and n-grams."""
+    """The place of a stored table (lang, size, term, n): how often a language has a term.
 
-    languages: list[str]
-    words: dict[str, int]
-    word_costs: np.ndarray
-    grams: dict[str, int]
-    gram_costs: np.ndarray
+    ``size`` is 0 for words and their length for n-grams; ``term`` is the XXH64 of the text. The driver
+    holds none of it, tasks read it (:func:`load`).
+    """
+
+    path: str
     longest: int
 
+    @property
+    def languages(self) -> list[str]:
+        """The languages that are told apart, by name."""
+        return load(self.path).languages
+
+
+class Costs:
+    """Costs (negative log10 of relative frequency) of terms per language, kept sparse.
+
+    A term that a language lacks costs ten times the rarest one of its size, taken from the language that has most
+    of them, so that a language with few texts gains nothing by what it does not know.
+    """
+
+    def __init__(self, langs: pa.Array, size: np.ndarray, term: np.ndarray, n: np.ndarray):
+        self.languages = sorted(langs.unique().to_pylist())
+        lang = pa.compute.index_in(langs, pa.array(self.languages, langs.type)).to_numpy(zero_copy_only=False)
+        kinds = int(size.max()) + 1 if len(size) else 1
+        totals = np.bincount(size * len(self.languages) + lang, n, kinds * len(self.languages))
+        totals = totals.reshape(kinds, len(self.languages))
+        self.lacking = np.log10(np.maximum(totals.max(axis=1, initial=1), 1)) + 1
+        # Words and n-grams may be the same text, so the size is part of the key.
+        order = np.lexsort((lang, term, size))
+        self.term, self.lang = term[order], lang[order]
+        self.saved = (-np.log10(n / totals[size, lang]) - self.lacking[size])[order].astype(np.float32)
+        self.first = np.searchsorted(size[order], np.arange(kinds + 1))
+
+    def rows(self, terms: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(known, costs) of terms of one size; the costs of unknown ones mean nothing."""
+        costs = np.zeros((len(terms), len(self.languages)), np.float32)
+        if size >= len(self.lacking) or not terms:
+            return np.zeros(len(terms), bool), costs
+        costs += self.lacking[size]
+        a, b = self.first[size], self.first[size + 1]
+        keys = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in terms],
+                        np.uint64).view(np.int64)
+        low = a + np.searchsorted(self.term[a:b], keys, "left")
+        many = a + np.searchsorted(self.term[a:b], keys, "right") - low
+        at = np.repeat(np.arange(len(terms)), many)
+        found = np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(at))
+        costs[at, self.lang[found]] += self.saved[found]
+        return many > 0, costs
+
+
+@lru_cache(maxsize=2)
+def load(path: str) -> Costs:
+    """The costs of a stored model; a process reads a model once."""
+    store, root = open_store(path)
+    files = [f for f in store.get_file_info(pa.fs.FileSelector(root)) if f.path.endswith(".parquet")]
+    parts = [pq.read_table(f.path, filesystem=store) for f in sorted(files, key=lambda f: f.path)]
+    table = pa.concat_tables(parts).combine_chunks()
+    whole = [table[c].to_numpy() for c in ("size", "term", "n")]
+    langs = pa.concat_arrays(table["lang"].chunks) if table.num_rows else pa.array([], pa.string())
+    return Costs(langs, whole[0].astype(np.int64), *whole[1:])
+
 
 def held_out(id_col: str, parts: int = 4, part: int = 2) -> Column:
     """Whether the crc32 of an id as text has the remainder that is never learned from."""
@@ -54,37 +115,33 @@ def learn(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str
     """A model from labelled texts.
 
     Rows with a NULL text or language teach nothing. About ``docs_per_language`` documents of each
-    of every language (or of the ``most_languages`` largest) are used, chosen by a hash of their
+    language (or of the ``most_languages`` largest) are used, chosen by a hash of their
     id, and the most frequent words and n-grams of each are kept; these bounds and the number of
-    languages are the size of the model, which goes to every task. The n-grams come from all words of the chosen documents, known
-    words or not. No labelled rows give a model without languages.
+    languages are the size of the model, which is a stored table. The n-grams come from all words of the chosen
+    documents, known words or not. No labelled rows give a model without languages.
     """
-    usable = train.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = usable.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang")
-    sizes = (sizes if most_languages is None else sizes.limit(most_languages)).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    if not languages:
-        return Model([], {}, np.empty((0, 0)), {}, np.empty((0, 0)), longest)
-    rate = F.create_map(*[F.lit(v) for r in sizes
-                          for v in (r["lang"], min(1.0, docs_per_language / r["count"]))])
-    unit = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col).cast("string")), F.lit(1 << 40)) / float(1 << 40)
-    chosen = usable.filter(unit < rate[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    spark = train.sparkSession
+    usable = train.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id_col).cast("string").alias("id"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("docs"))
+    if most_languages is not None:
+        sizes = sizes.orderBy(F.desc("docs"), "lang").limit(most_languages)
+    unit = F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(1 << 40)) / float(1 << 40)
+    # The planner sees the size of the stored counts and sends them to all tasks only while they are small.
+    chosen = usable.join(pin(sizes), "lang").filter(unit < docs_per_language / F.col("docs")).select("lang", "text")
     counted = chosen.mapInArrow(_count_words, "lang string, word string, n bigint")
-    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # Both lists are as bounded as the chosen documents; only the kept rows are fetched.
-    top = _most_frequent(counted, words_per_language)
-    sizes_ = F.sequence(F.lit(1), F.lit(longest))
+    counted = pin(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     pieces = (counted.select("lang", "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("padded"),
-                             F.explode(sizes_).alias("size"))
+                             F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("size"))
               .filter(F.length("padded") >= F.col("size"))
-              .select("lang", "n", "size", F.explode(F.expr(
+              .select("lang", "n", F.explode(F.expr(
                   "transform(sequence(1, length(padded) - size + 1), i -> substring(padded, i, size))"))
                   .alias("word"))
               .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    piece_rows = _most_frequent(pieces, grams_per_language)
-    words, word_costs = _costs(languages, top, lambda w: 0)
-    known, gram_costs = _costs(languages, piece_rows, len)
-    return Model(languages, words, word_costs, known, gram_costs, longest)
+    path = scratch_path(spark, "languages")
+    pin(_most_frequent(counted, words_per_language, F.lit(0)).unionAll(
+        _most_frequent(pieces, grams_per_language, F.length("word"))), path)
+    return Model(path, longest)
 
 
 def _count_words(batches: Batches):
@@ -105,70 +162,52 @@ def _counted(counts: Counter) -> pa.RecordBatch:
          pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
 
 
-def _most_frequent(counts: DataFrame, most: int):
-    """The ``most`` most frequent words per language, as rows for the driver."""
+def _most_frequent(counts: DataFrame, most: int, size: Column) -> DataFrame:
+    """The ``most`` most frequent words per language, as rows of a model."""
     # Dealing words over parts first keeps the ranking of a language out of a single task.
     part = F.pmod(F.xxhash64("word"), F.lit(32))
     narrowed = counts.withColumn("part", part).withColumn("place", F.expr(
         "row_number() over (partition by lang, part order by n desc, word)")).filter(F.col("place") <= most)
     return narrowed.withColumn("place", F.expr(
-        "row_number() over (partition by lang order by n desc, word)")).filter(
-        F.col("place") <= most).select("lang", "word", "n").toArrow()
-
-
-def _costs(languages: list[str], rows, kind) -> tuple[dict[str, int], np.ndarray]:
-    """Costs of words per language; a word that a language lacks costs ten times its rarest one."""
-    listed = rows["word"].to_pylist()
-    at = {w: i for i, w in enumerate(sorted(set(listed)))}
-    counts = np.zeros((len(at), len(languages)))
-    number = {x: i for i, x in enumerate(languages)}
-    counts[[at[w] for w in listed], [number[x] for x in rows["lang"].to_pylist()]] = rows["n"].to_numpy()
-    kinds = np.array([kind(w) for w in at])
-    costs = np.zeros_like(counts)
-    for k in set(kinds.tolist()):
-        own = counts[kinds == k]
-        total = np.maximum(own.sum(axis=0), 1)
-        with np.errstate(divide="ignore"):
-            costs[kinds == k] = np.where(own > 0, -np.log10(own / total), np.log10(total) + 1)
-    return at, costs.astype(np.float32)
+        "row_number() over (partition by lang order by n desc, word)")).filter(F.col("place") <= most).select(
+        "lang", size.cast("int").alias("size"), F.xxhash64("word").alias("term"), "n")
 
 
 class Scorer:
-    """Costs of whole texts; costs of unseen words are remembered up to a bound."""
+    """Costs of whole texts; costs of words are remembered up to a bound."""
 
-    def __init__(self, model: Model, remembered: int = 100_000, evidence: int = 25):
-        self.model, self.remembered, self.evidence = model, remembered, evidence
-        self.at = dict(model.words)
-        self.costs = np.concatenate([model.word_costs, np.zeros(
-            (remembered, len(model.languages)), np.float32)])
-        self.extra: list[str] = []
+    def __init__(self, costs: Costs, longest: int = 5, remembered: int = 20_000_000, evidence: int = 25):
+        """``remembered`` counts costs: a word has as many as there are languages."""
+        self.model, self.longest, self.evidence = costs, longest, evidence
+        self.remembered = max(1, remembered // max(1, len(costs.languages)))
+        self.at: dict[str, int] = {}
+        self.costs = np.empty((1024, len(costs.languages)), np.float32)
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean cost of the longest n-grams of a word that the model knows any of; 0 without."""
-        model = self.model
-        for n in range(min(model.longest, len(word) + 2), 0, -1):
-            found = [i for i in map(model.grams.get, grams(word, n)) if i is not None]
-            if found:
-                return model.gram_costs[found].mean(axis=0)
-        return np.zeros(len(model.languages), np.float32)
+        for n in range(min(self.longest, len(word) + 2), 0, -1):
+            known, costs = self.model.rows(grams(word, n), n)
+            if known.any():
+                return costs[known].mean(axis=0)
+        return np.zeros(len(self.model.languages), np.float32)
 
     def rows_of(self, words: list[str]) -> list[int]:
         """Row numbers of the costs of words, of which there may be as many as are remembered."""
-        rows = list(map(self.at.get, words))
-        if None in rows:
-            missing = {w for w, r in zip(words, rows) if r is None}
-            if len(self.extra) + len(missing) > self.remembered:
-                for w in self.extra:
-                    del self.at[w]
-                self.extra = []
-                missing = {w for w in words if w not in self.at}
-            for w in missing:
-                row = len(self.model.words) + len(self.extra)
-                self.costs[row] = self.unseen(w)
-                self.at[w] = row
-                self.extra.append(w)
-            rows = list(map(self.at.get, words))
-        return rows
+        missing = {w for w in words if w not in self.at}
+        if len(self.at) + len(missing) > self.remembered:
+            self.at, missing = {}, set(words)
+        if missing:
+            new = sorted(missing)
+            known, costs = self.model.rows(new, 0)
+            for i in np.flatnonzero(~known):
+                costs[i] = self.unseen(new[i])
+            start = len(self.at)
+            if start + len(new) > len(self.costs):
+                more = np.empty((max(len(new), len(self.costs)), self.costs.shape[1]), np.float32)
+                self.costs = np.concatenate([self.costs, more])
+            self.costs[start:start + len(new)] = costs
+            self.at.update(zip(new, range(start, start + len(new))))
+        return [self.at[w] for w in words]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the lowest mean cost per word; the score is its share of 1.
@@ -184,8 +223,8 @@ class Scorer:
         total = np.zeros(len(self.model.languages))
         step = self.remembered
         for a in range(0, len(words), step):
-            part = words[a:a + step]
-            total += self.costs[self.rows_of(part)].sum(axis=0, dtype=np.float64)
+            rows = self.rows_of(words[a:a + step])  # first, as it may move the costs
+            total += self.costs[rows].sum(axis=0, dtype=np.float64)
         mean = total / len(words)
         best = int(mean.argmin())
         weight = min(len(words), self.evidence)
@@ -196,17 +235,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
              score: str = "lang_score") -> DataFrame:
     """``docs`` with the predicted language and its score, from the text alone.
 
-    The model is bounded by the parameters of :func:`learn` and is sent to every task. Columns of
-    ``docs`` with the names of the results are replaced.
+    Every task reads the model, whose size the parameters of :func:`learn` bound for each language. Columns of
+    ``docs`` with the names of the results are replaced. NULL texts and texts without letters are 'und'; repeated
+    rows stay repeated rows; an empty table gives an empty one.
     """
     docs = docs.drop(lang, score)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Batches):
         scorer = None
         for batch in slices(batches):
-            scorer = scorer or Scorer(sent.value)
+            scorer = scorer or Scorer(load(model.path), model.longest)
             at = batch.schema.get_field_index(text)
             found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -227,7 +266,11 @@ def identify_held_out(docs: DataFrame, id_col: str = "doc_id", **sizes) -> DataF
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose language is recognised with a score of at least ``least``."""
+    """The documents whose language is recognised with a score of at least ``least``, with their columns.
+
+    NULL texts, texts without letters and, without any labelled row, all texts go. Repeated rows and rows with a
+    NULL id stay or go like any other; an empty table stays empty.
+    """
     lang, score = (free_prefix(docs) + name for name in ("lang", "score"))
     told = identify(docs, learn(docs, id_col=id_col), lang=lang, score=score)
     return told.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)

@@ -199,25 +199,93 @@ def test_held_out_languages_are_recognised(spark, sf, docs):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def test_backoff():
-    counts = {"a": "the then there", "b": "der den dem"}
-    import pandas as pd
+def costs_of(counts):
+    """The model of (lang, size, term): n, from a dictionary."""
     import pyarrow as pa
-    rows = pa.Table.from_pylist([{"lang": k, "word": w, "n": 1} for k, v in counts.items() for w in v.split()])
-    words, costs = langid._costs(["a", "b"], rows, lambda w: 0)
-    pieces = pd.DataFrame([(k, g, 1) for k, v in counts.items() for w in v.split() for n in range(1, 6)
-                           for g in langid.grams(w, n)], columns=["lang", "word", "n"])
-    known, gram_costs = langid._costs(["a", "b"], pa.Table.from_pandas(
-        pieces.groupby(["lang", "word"], as_index=False).sum()), len)
-    scorer = langid.Scorer(langid.Model(["a", "b"], words, costs, known, gram_costs, 5), remembered=3)
+    langs, sizes, terms = zip(*counts)
+    hashes = np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in terms], np.uint64).view(np.int64)
+    return langid.Costs(pa.array(langs), np.array(sizes), hashes, np.array(list(counts.values())))
+
+
+def test_backoff():
+    texts = {"a": "the then there", "b": "der den dem"}
+    counts = Counter((k, 0, w) for k, v in texts.items() for w in v.split())
+    counts += Counter((k, n, g) for k, v in texts.items() for w in v.split() for n in range(1, 6)
+                      for g in langid.grams(w, n))
+    scorer = langid.Scorer(costs_of(counts), remembered=6)
     assert scorer.predict("the the")[0] == "a" and scorer.predict("DEN")[0] == "b"
     assert scorer.predict("thex they thes theo")[0] == "a"  # unseen; more of them than are remembered
     assert scorer.predict("dexy denk demi ders")[0] == "b"
     for text in (None, "", "123 ?!", "²"):
         assert scorer.predict(text) == ("und", 0.0)
     # The longest known n-grams decide: " the" and "the" only, not their shorter parts.
-    assert np.allclose(scorer.unseen("thexx"), scorer.model.gram_costs[
-        [known[g] for g in langid.grams("thexx", 4) if g in known]].mean(axis=0))
+    known, costs = scorer.model.rows(langid.grams("thexx", 4), 4)
+    assert known.tolist() == [True] + [False] * 3
+    assert np.allclose(scorer.unseen("thexx"), costs[known].mean(axis=0))
+
+
+def test_language_by_plain_counts(docs, texts):
+    """The whole model and all predictions against dictionaries, with lists short enough to back off."""
+    keep, pieces = 150, 400
+    rows = [(r.lang, r.text) for r in docs.collect() if r.lang is not None and r.text is not None]
+    counts = defaultdict(Counter)
+    for lang, text in rows:
+        for word in langid.words_of(text):
+            counts[lang, 0][word] += 1
+    for (lang, _), own in list(counts.items()):
+        for word, n in own.items():
+            for size in range(1, 6):
+                for i in range(len(word) + 3 - size):
+                    counts[lang, 1][f" {word} "[i:i + size]] += n
+    kept = {k: dict(sorted(c.items(), key=lambda t: (-t[1], t[0].encode()))[:pieces if k[1] else keep])
+            for k, c in counts.items()}
+    langs = sorted({lang for lang, _ in kept})
+    total = Counter()
+    for (lang, kind), own in kept.items():
+        for term, n in own.items():
+            total[lang, kind and len(term)] += n
+
+    def cost(term, lang, kind):
+        n = kept[lang, kind].get(term)
+        size = kind and len(term)
+        most = max(total[x, size] for x in langs)
+        return math.log10(most) + 1 if n is None else -math.log10(n / total[lang, size])
+
+    def word_costs(word):
+        if any(word in kept[x, 0] for x in langs):
+            return np.array([cost(word, x, 0) for x in langs])
+        for size in range(min(5, len(word) + 2), 0, -1):
+            known = [g for g in langid.grams(word, size) if any(g in kept[x, 1] for x in langs)]
+            if known:
+                return np.mean([[cost(g, x, 1) for x in langs] for g in known], axis=0)
+        return np.zeros(len(langs))
+
+    model = langid.learn(docs, words_per_language=keep, grams_per_language=pieces)
+    assert model.languages == langs
+    told = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    assert set(told) == set(texts)
+    remembered = {}
+    for i, text in texts.items():
+        words = langid.words_of(text)
+        if not words:
+            assert told[i].lang_pred == "und"
+            continue
+        for w in set(words) - remembered.keys():
+            remembered[w] = word_costs(w)
+        mean = sum(remembered[w] for w in words) / len(words)
+        share = 10 ** (-min(len(words), 25) * (mean - mean.min()))
+        share /= share.sum()
+        assert abs(told[i].lang_score - share.max()) < 1e-3
+        assert abs(share[langs.index(told[i].lang_pred)] - share.max()) < 1e-3
+
+
+def test_rare_languages_gain_nothing_by_what_they_lack(spark):
+    rows = [(i, "the people of the town said that it was good", "en") for i in range(50)]
+    rows += [(100 + i, f"zq{chr(97 + i)}", f"typo{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    asked = spark.createDataFrame([(1, "the town people were glad and it was late"), (2, "zqc")], "doc_id bigint, text string")
+    told = {r.doc_id: r.lang_pred for r in langid.identify(asked, langid.learn(docs)).collect()}
+    assert told == {1: "en", 2: "typo2"}
 
 
 def test_language_edges(edges, none):
