@@ -176,38 +176,51 @@ def _most_frequent(counts: DataFrame, most: int, size: Column) -> DataFrame:
 class Scorer:
     """Costs of whole texts; costs of words are remembered up to a bound."""
 
-    def __init__(self, costs: Costs, longest: int = 5, remembered: int = 20_000_000, evidence: int = 25):
-        """``remembered`` counts costs: a word has as many as there are languages."""
+    def __init__(self, costs: Costs, longest: int = 5, remembered: int = 400_000, evidence: int = 25):
+        """``remembered`` counts words, of which there are fewer if they would have over 20 million costs."""
         self.model, self.longest, self.evidence = costs, longest, evidence
-        self.remembered = max(1, remembered // max(1, len(costs.languages)))
+        self.remembered = max(1, min(remembered, 20_000_000 // max(1, len(costs.languages))))
         self.at: dict[str, int] = {}
         self.costs = np.empty((1024, len(costs.languages)), np.float32)
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean cost of the longest n-grams of a word that the model knows any of; 0 without."""
-        for n in range(min(self.longest, len(word) + 2), 0, -1):
-            known, costs = self.model.rows(grams(word, n), n)
-            if known.any():
-                return costs[known].mean(axis=0)
-        return np.zeros(len(self.model.languages), np.float32)
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """For each word the mean cost of its longest n-grams that the model knows any of; 0 without."""
+        costs = np.zeros((len(words), len(self.model.languages)), np.float32)
+        left = range(len(words))
+        for n in range(self.longest, 0, -1):
+            terms, owners = [], []
+            for i in left:
+                if n <= len(words[i]) + 2:
+                    own = grams(words[i], n)
+                    terms += own
+                    owners += [i] * len(own)
+            known, found = self.model.rows(terms, n)
+            at = np.array(owners, np.int64)[known]
+            np.add.at(costs, at, found[known])
+            many = np.bincount(at, minlength=len(words))
+            costs[many > 0] /= many[many > 0, None]
+            left = [i for i in left if not many[i]]
+        return costs
 
     def rows_of(self, words: list[str]) -> list[int]:
         """Row numbers of the costs of words, of which there may be as many as are remembered."""
-        missing = {w for w in words if w not in self.at}
+        rows = list(map(self.at.get, words))
+        if None not in rows:
+            return rows
+        missing = {w for w, r in zip(words, rows) if r is None}
         if len(self.at) + len(missing) > self.remembered:
             self.at, missing = {}, set(words)
-        if missing:
-            new = sorted(missing)
-            known, costs = self.model.rows(new, 0)
-            for i in np.flatnonzero(~known):
-                costs[i] = self.unseen(new[i])
-            start = len(self.at)
-            if start + len(new) > len(self.costs):
-                more = np.empty((max(len(new), len(self.costs)), self.costs.shape[1]), np.float32)
-                self.costs = np.concatenate([self.costs, more])
-            self.costs[start:start + len(new)] = costs
-            self.at.update(zip(new, range(start, start + len(new))))
-        return [self.at[w] for w in words]
+        new, start = sorted(missing), len(self.at)
+        if start + len(new) > len(self.costs):
+            more = np.empty((max(len(new), len(self.costs)), self.costs.shape[1]), np.float32)
+            self.costs = np.concatenate([self.costs, more])
+        for a in range(0, len(new), 4096):
+            part = new[a:a + 4096]
+            known, costs = self.model.rows(part, 0)
+            costs[~known] = self.unseen([w for w, k in zip(part, known.tolist()) if not k])
+            self.costs[start + a:start + a + len(part)] = costs
+        self.at.update(zip(new, range(start, start + len(new))))
+        return list(map(self.at.get, words))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the lowest mean cost per word; the score is its share of 1.
@@ -231,6 +244,12 @@ class Scorer:
         return self.model.languages[best], float(1 / (10 ** (weight * (mean[best] - mean))).sum())
 
 
+@lru_cache(maxsize=1)
+def scorer_of(model: Model) -> Scorer:
+    """The scorer of a model, which the tasks of a process share."""
+    return Scorer(load(model.path), model.longest)
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred",
              score: str = "lang_score") -> DataFrame:
     """``docs`` with the predicted language and its score, from the text alone.
@@ -245,7 +264,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
     def run(batches: Batches):
         scorer = None
         for batch in slices(batches):
-            scorer = scorer or Scorer(load(model.path), model.longest)
+            scorer = scorer or scorer_of(model)
             at = batch.schema.get_field_index(text)
             found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
