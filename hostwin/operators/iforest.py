@@ -131,9 +131,14 @@ def anomaly_cut(train_scores: DataFrame, contamination: float, name: str = "anom
     """The score above which a row is an outlier, from the training scores."""
     if not 0.0 < contamination <= 0.5:
         raise ValueError(f"contamination must be in (0, 0.5], got {contamination}")
+    return share_cut(train_scores, contamination, name)
+
+
+def share_cut(train_scores: DataFrame, share: float, name: str = "anomaly") -> float:
+    """The score above which the given share of the training rows lies, any from 0 to 1."""
     # The quantile is taken of the negated score, as outliers have the lowest there.
     flipped = train_scores.select((-F.col(name)).alias("v"))
-    return -exact_quantiles(flipped, ["v"], contamination).first()["quantile"]
+    return -exact_quantiles(flipped, ["v"], share).first()["quantile"]
 
 
 def predict_iforest(scored: DataFrame, cut: float, name: str = "anomaly") -> DataFrame:

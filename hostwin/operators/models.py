@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from hostwin.functions.scalars import anomaly_to_label
 from hostwin.operators.iforest import (
-    anomaly_cut, fit_iforest, predict_iforest, score_iforest)
+    fit_iforest, predict_iforest, score_iforest, share_cut)
 from hostwin.operators.prep import Prepared
 from hostwin.operators.sampling import bag_rates, class_counts, poisson_weight, two_classes
 from hostwin.operators.smote import smote
@@ -261,7 +261,7 @@ def _binary(name: str, prep: Prepared, train: DataFrame, key: str, settings: Set
         model = fit_iforest(train, features, key, settings.trees, settings.seed)
         counts = dict(class_counts(train, "y"))
         share = counts.get(1, 0) / sum(counts.values())
-        cut = anomaly_cut(score_iforest(train, model), share)
+        cut = share_cut(score_iforest(train, model), share)
         found = predict_iforest(score_iforest(test, model), cut)
         return model, scored_rows(name, found, key, None, anomaly_to_label(F.col("outlier")))
     if name == "Logistic Regression":
