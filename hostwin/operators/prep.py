@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from hostwin.functions.scalars import clean_inf, map_columns
 from hostwin.operators.order import exact_quantiles, global_index
@@ -69,9 +70,19 @@ def scale(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
 
 
 def label_codes(train: DataFrame, target: str) -> DataFrame:
-    """(class, code): distinct training labels, numbered in their own order. Stored."""
+    """(class, code): distinct training labels, numbered in their own order. Stored.
+
+    The numbers 0 and 1 and truth values stand for themselves: where training has no other labels, both have
+    their code, also if one of them is absent.
+    """
     found = train.select(F.col(target).alias("class")).filter("class is not null").distinct()
-    return pin(global_index(found, ["class"], "code").select("class", F.col("code").cast("int")))
+    codes = pin(global_index(found, ["class"], "code").select("class", F.col("code").cast("int")))
+    field = train.schema[target].dataType
+    if isinstance(field, (NumericType, BooleanType)) and not codes.isEmpty() and codes.filter(
+            ~F.col("class").cast("double").isin(0.0, 1.0)).isEmpty():
+        return train.sparkSession.range(2).select(
+            F.col("id").cast(field).alias("class"), F.col("id").cast("int").alias("code"))
+    return codes
 
 
 def encode_labels(df: DataFrame, target: str, codes: DataFrame, name: str = "y") -> DataFrame:
@@ -89,7 +100,7 @@ def encode_labels(df: DataFrame, target: str, codes: DataFrame, name: str = "y")
 
 @dataclass
 class Prepared:
-    """Imputed train and test rows with the fitted statistics."""
+    """Imputed train and test rows with the fitted statistics; ``n_classes`` counts the codes."""
 
     train: DataFrame
     test: DataFrame

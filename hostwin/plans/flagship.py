@@ -12,7 +12,7 @@ from hostwin.operators.datasets import build_master, edr_of
 from hostwin.operators.evaluate import class_tables, report_tables, top_features
 from hostwin.operators.models import MODEL_NAMES, Settings, by_class, importances, train_and_score
 from hostwin.operators.prep import baseline_accuracy, class_balance, overview, prepare
-from hostwin.operators.sampling import MAX_CONTEXT, MIN_CONTEXT, context_balance
+from hostwin.operators.sampling import MAX_CONTEXT, MIN_CONTEXT, class_counts, context_balance
 from hostwin.operators.splits import split_days, take
 from hostwin.schemas import KEPT_DAYS, KEYS, TEST_DAYS, TRAIN_DAYS, WINDOW_SECONDS
 from hostwin.session import pin, scratch_scope
@@ -67,7 +67,7 @@ def evaluate_dataset(name: str, train: DataFrame, test: DataFrame,
     if study.validation_days:
         to_score = to_score.unionByName(keyed(train.filter(held), "valid"))
     prep = prepare(fit_on, to_score, study.include_time, keep=["row_id"])
-    if prep.n_classes < 2:
+    if len(class_counts(prep.train, "y")) < 2:
         raise ValueError(f"{name} has a single class")
     fitted, scored = train_and_score(prep, "row_id", study.models, study.settings)
     scored = pin(scored)
