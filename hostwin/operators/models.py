@@ -81,6 +81,12 @@ def balanced_weight(counts: list[tuple], label: str = "y") -> Column:
     return weight
 
 
+def with_classes(rows: DataFrame, counts: list[tuple]) -> DataFrame:
+    """``rows`` whose label names the number of classes, two at least, also where rows of some are absent."""
+    n = max(2, 1 + max(c for c, _ in counts))
+    return rows.withMetadata("y", {"ml_attr": {"name": "y", "type": "nominal", "num_vals": n}})
+
+
 def fit_logreg(train: DataFrame, features: list[str], strength: float = 1.0) -> Any:
     """Logistic regression with balanced class weights.
 
@@ -179,18 +185,17 @@ def bag_of_each_tree(train: DataFrame, key: str, trees: int, seed: int) -> DataF
     """``train`` with ``bags``: how often each tree's balanced bag has the row, stored.
 
     Rows of the rarest class are drawn once on average; those of any other so that the rarest and the
-    other are in the ratio RATIO. Of three or more classes, one with fewer rows than that is drawn once too. A draw depends only on the seed, the tree and the row key. Rows in no
-    bag are left out.
+    other are in the ratio RATIO. One with fewer rows than that is drawn once too. A draw depends only on the
+    seed, the tree and the row key. Rows in no bag are left out.
     """
     counts = class_counts(train, "y")
     few = counts[0][1]
     rate = {c: min(1.0, few / RATIO / n) if i else 1.0 for i, (c, n) in enumerate(counts)}
-    if len(counts) == 2:
-        bag_rates(few, counts[1][1], RATIO)  # an error if there is no such bag
     tree = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: reduce(
         lambda other, c: F.when(F.col("y") == c, poisson_weight(rate[c], seed, t, F.col(key))).otherwise(other),
         rate, F.lit(0)).cast("short"))
-    return pin(train.withColumn("bags", tree).filter(F.array_max("bags") > 0))
+    # A tree may see a single class; the label still names all of them.
+    return pin(with_classes(train, counts).withColumn("bags", tree).filter(F.array_max("bags") > 0))
 
 
 def fit_balanced_rf(train: DataFrame, features: list[str], key: str,
