@@ -21,7 +21,7 @@ from hostwin.functions.scalars import anomaly_to_label
 from hostwin.operators.iforest import (
     fit_iforest, predict_iforest, score_iforest, share_cut)
 from hostwin.operators.prep import Prepared
-from hostwin.operators.sampling import bag_rates, class_counts, poisson_weight, two_classes
+from hostwin.operators.sampling import class_counts, poisson_weight
 from hostwin.operators.smote import smote
 from hostwin.session import pin
 
@@ -141,12 +141,15 @@ def _forest(trees: int, settings: Settings, seed: int) -> RandomForestClassifier
 
 
 def fit_gbt(train: DataFrame, features: list[str], settings: Settings = Settings()) -> Any:
-    """Gradient-boosted trees with the positive class weighted by negatives / positives.
+    """Gradient-boosted trees with the positive class weighted by negatives / positives, if there are both.
 
     Spark's GBTClassifier, which grows trees level by level; it stands where the report says LightGBM.
     """
-    counts = dict(two_classes(train, "y"))
-    weight = F.when(F.col("y") == 1, counts[0] / counts[1]).otherwise(1.0)
+    counts = dict(class_counts(train, "y"))
+    if not set(counts) <= {0, 1}:
+        raise ValueError(f"y has the classes {sorted(counts)}, but only 0 and 1 are possible")
+    ratio = counts[0] / counts[1] if len(counts) == 2 else 1.0
+    weight = F.when(F.col("y") == 1, ratio).otherwise(1.0)
     rows = assemble(train.withColumn("w", weight), features)
     return GBTClassifier(
         labelCol="y", weightCol="w", maxIter=settings.trees, stepSize=0.1, subsamplingRate=0.8,
