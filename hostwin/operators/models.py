@@ -116,13 +116,13 @@ def fit_rf_smote(train: DataFrame, features: list[str], key: str,
                  settings: Settings = Settings()) -> Any:
     """Random forest on the training rows plus synthetic rows of the rarer classes.
 
-    Of two classes the rarer one is filled up to half of the other. With more, each class below half of the
-    largest is, unless it has too few rows for neighbours.
+    Each class below half of the largest is filled up to that half, unless it has too few rows for neighbours.
+    Where no class is, the forest is that of the training rows.
     """
     counts = class_counts(train, "y")
     major, many = counts[-1]
     wanted = max(1, int(RATIO * many))
-    poor = counts[:-1] if len(counts) == 2 else [(c, n) for c, n in counts[:-1] if NEIGHBOURS < n < wanted]
+    poor = [(c, n) for c, n in counts[:-1] if NEIGHBOURS < n < wanted]
     rows = train.select("y", *features)
     for value, _ in poor:
         pair = train.filter(F.col("y").isin(value, major))
@@ -130,7 +130,7 @@ def fit_rf_smote(train: DataFrame, features: list[str], key: str,
         rows = rows.unionByName(pin(smote(pair, features, key, "y", RATIO, NEIGHBOURS, settings.seed,
                                           method=settings.neighbours).select("y", *features)))
     filled = [(c, max(n, wanted) if (c, n) in poor else n) for c, n in counts]
-    weighted = rows.withColumn("w", balanced_weight(filled))
+    weighted = with_classes(rows.withColumn("w", balanced_weight(filled)), counts)
     return _forest(settings.trees, settings, settings.seed).fit(assemble(weighted, features))
 
 
