@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from contextvars import copy_context
@@ -11,9 +12,12 @@ from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier)
+    GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, RandomForestClassificationModel,
+    RandomForestClassifier)
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,13 +109,25 @@ def fit_linear_svm(train: DataFrame, features: list[str], alpha: float = 1e-4,
                    rounds: int = 1000) -> Any:
     """Linear SVM with hinge loss and balanced class weights; gives no probabilities.
 
-    Spark's LinearSVC, which stops early once the loss settles; each round is a pass over the data.
+    Spark's LinearSVC, which stops early once the loss settles; each round is a pass over the data. Rows of
+    a single class give a constant, which Spark does not fit.
     """
-    rows = assemble(train, features).withColumn("w", balanced_weight(class_counts(train, "y")))
+    counts = class_counts(train, "y")
+    if len(counts) == 1:
+        return constant_svm(train.sparkSession, len(features), counts[0][0])
+    rows = assemble(train, features).withColumn("w", balanced_weight(counts))
     return LinearSVC(labelCol="y", weightCol="w", regParam=alpha, standardization=False,
                      maxIter=rounds, tol=1e-4).fit(rows)
 
 
+def constant_svm(spark: SparkSession, width: int, label: int) -> LinearSVCModel:
+    """The linear SVM of a single class, 0 or 1: no weights, a margin of 1, no loss."""
+    zeros = _py2java(spark.sparkContext, Vectors.dense([0.0] * width))
+    kind = spark.sparkContext._jvm.org.apache.spark.ml.classification.LinearSVCModel
+    made = LinearSVCModel(kind(f"constant-{uuid.uuid4().hex}", zeros, 1.0 if label else -1.0))
+    return made.setFeaturesCol("features")
+
+
 def fit_rf_smote(train: DataFrame, features: list[str], key: str,
                  settings: Settings = Settings()) -> Any:
     """Random forest on the training rows plus synthetic rows of the rarer classes.
