@@ -32,3 +32,16 @@ def test_successors_equal_a_dictionary(spark):
 def test_pairs_stay_inside_a_document(spark):
     rows = text.successor_counts(docs(spark, "a b", "a b c", "single", "")).collect()
     assert {(r.word, r.next): r.n for r in rows} == {("a", "b"): 2, ("b", "c"): 1}
+
+
+def test_successors_of_repeated_and_missing_keys(spark):
+    rows = [(1, "a b a"), (2, "a c"), (1, "a d"), (None, "x y"), (None, "x y z"), (3, None), (4, "one"), (5, "")]
+    got = text.successors(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = {(r.doc_id, r.word): sorted(r.nexts) for r in got}
+    assert len(got) == len(found) and found == {
+        (1, "a"): ["b", "d"], (1, "b"): ["a"], (2, "a"): ["c"], (None, "x"): ["y", "y"], (None, "y"): ["z"]}
+
+
+def test_words_of_a_text_with_its_own_key_are_not_shuffled(spark):
+    listed = text.successors(docs(spark, LINES, "a b"))
+    assert "Exchange" not in listed._jdf.queryExecution().executedPlan().toString()
