@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,25 @@ def slices(batches: Batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, rows)
 
 
+_held: dict[tuple, Any] = {}
+
+
+def sole(make: Callable[..., Any]) -> Callable[..., Any]:
+    """``make``, whose last result stays in the process until another such function, or call, needs the room.
+
+    Worker processes outlive the queries that they serve. For results that are large and quickly made again.
+    """
+    @wraps(make)
+    def held(*args: Any) -> Any:
+        name = (make.__module__, make.__qualname__, *args)
+        if name not in _held:
+            _held.clear()
+            pa.default_memory_pool().release_unused()
+            _held[name] = make(*args)
+        return _held[name]
+    return held
+
+
 def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     """``df`` stored with a unique number per row; ids of the data may be null or repeated."""
     return pin(df.withColumn(name, F.monotonically_increasing_id()))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostwin.llm.common import Batches, free_prefix, slices
+from hostwin.llm.common import Batches, free_prefix, slices, sole
 from hostwin.llm.warc import open_store
 from hostwin.session import pin, scratch_path
 
@@ -92,9 +92,14 @@ class Costs:
         return many > 0, costs
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def load(path: str) -> Costs:
-    """The costs of a stored model; a process reads a model once."""
+    """The costs of a stored model for the driver; tasks have them in their scorer."""
+    return read_costs(path)
+
+
+def read_costs(path: str) -> Costs:
+    """The costs of a stored model."""
     store, root = open_store(path)
     files = [f for f in store.get_file_info(pa.fs.FileSelector(root)) if f.path.endswith(".parquet")]
     parts = [pq.read_table(f.path, filesystem=store) for f in sorted(files, key=lambda f: f.path)]
@@ -244,10 +249,10 @@ class Scorer:
         return self.model.languages[best], float(1 / (10 ** (weight * (mean[best] - mean))).sum())
 
 
-@lru_cache(maxsize=1)
+@sole
 def scorer_of(model: Model) -> Scorer:
     """The scorer of a model, which the tasks of a process share."""
-    return Scorer(load(model.path), model.longest)
+    return Scorer(read_costs(model.path), model.longest)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred",

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostwin.llm.common import Batches, slices
+from hostwin.llm.common import Batches, slices, sole
 from hostwin.session import pin, scratch_path
 
 PIECES = ("id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -120,7 +120,7 @@ class WordEncoder:
         return found
 
 
-@lru_cache(maxsize=1)
+@sole
 def word_encoder(path: str) -> WordEncoder:
     """The encoder of this worker process, which goes on with what it has learned."""
     return WordEncoder(path)
