@@ -703,16 +703,17 @@ def successor_counts(spark, sf_dir):
 
 @query
 def stream_many_batches(spark, sf_dir):
-    """The same features over the log in four files in time order, a file per micro-batch, compacted."""
+    """The same features over the log in four deliveries in time order, one per micro-batch, compacted."""
     auth = log_of(spark, sf_dir, "auth")
     source, out, compact = (scratch_path(spark, n) for n in ("log", "windows", "compact"))
     week = F.floor(F.col("time").try_cast("bigint") / (8 * 86_400)).cast("int")
-    parts = auth.withColumn("part", F.coalesce(F.least(week, F.lit(3)), F.lit(0)))
-    for part in range(4):  # one after the other, so that file times follow log times
-        write_table(parts.filter(F.col("part") == part).drop("part").coalesce(1), source, "csv", "append")
-    stream = spark.readStream.schema(auth.schema).option("header", True).option("escape", '"').option(
-        "maxFilesPerTrigger", 1).csv(source)
-    run_stream(stream_features(stream, "auth", watermark="3 days"), out, scratch_path(spark, "stream"))
+    # Stored once, as every delivery is taken from it; its files are written by many tasks.
+    parts = pin(auth.withColumn("part", F.coalesce(F.least(week, F.lit(3)), F.lit(0))))
+    state = scratch_path(spark, "stream")
+    for part in range(4):  # the stream goes on where it stopped
+        write_table(parts.filter(F.col("part") == part).drop("part"), source, "csv", "append")
+        stream = spark.readStream.schema(auth.schema).option("header", True).option("escape", '"').csv(source)
+        run_stream(stream_features(stream, "auth", watermark="3 days"), out, state)
     compact_windows(spark, out, compact)
     windows = spark.read.parquet(compact).withColumn("day", F.col("day").cast("bigint"))
     return features.finish(windows.select(*KEYS, *features.row_measures("auth")), "auth")

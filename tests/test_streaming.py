@@ -146,3 +146,16 @@ def test_all_logs_and_labels_in_one_stream(spark, folders, tmp_path):
     got = datasets.finish_master(stored)
     assert got.schema.names == want.schema.names and got.count() == want.count() == 20
     assert got.exceptAll(want).count() == 0 and got.filter("label = 1").count() > 0
+
+
+def test_deliveries_are_written_by_many_tasks(spark, sf, monkeypatch):
+    from hostwin.plans import catalog
+    plans, write = [], catalog.write_table
+
+    def seen(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, *args, **kwargs)
+
+    monkeypatch.setattr(catalog, "write_table", seen)
+    assert catalog.QUERIES["stream_many_batches"](spark, sf).count() > 0
+    assert len(plans) == 4 and not any("Coalesce" in p or "get_json_object" in p for p in plans)
