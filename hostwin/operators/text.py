@@ -12,11 +12,16 @@ from hostwin.session import pin
 SPACES = (r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
           r"\x{202f}\x{205f}\x{3000}]+")
 
+# The same characters by themselves.
+SEPARATORS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                               0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 
 def words(text: Column, lower: bool = False) -> Column:
     """Words of a text in order; case is kept unless ``lower``."""
     text = F.lower(text) if lower else text
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    # One separator for all: splitting at a plain character is faster than at a class of characters.
+    return F.filter(F.split(F.translate(text, SEPARATORS, " " * len(SEPARATORS)), " "), lambda w: w != "")
 
 
 def tokens(df: DataFrame, key: str = "doc_id", text: str = "text",
@@ -70,6 +75,12 @@ def _listed_in_rows(df: DataFrame, key: str, text: str, lower: bool) -> DataFram
 
 
 def successor_counts(df: DataFrame, text: str = "text", lower: bool = False) -> DataFrame:
-    """(word, next, n) over all texts: the form to use when texts are many."""
+    """(word, next, n) over all texts: the form to use when texts are many.
+
+    A pair is counted as one string, as no word holds a space: most pairs are rare, so what is hashed and
+    shuffled is the keys.
+    """
     pairs = word_pairs(df.select(F.lit(0).alias("k"), text), "k", text, lower)
-    return pairs.groupBy("word", "next").agg(F.count(F.lit(1)).alias("n"))
+    counts = pairs.select(F.concat_ws(" ", "word", "next").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.substring_index("pair", " ", 1).alias("word"),
+                         F.substring_index("pair", " ", -1).alias("next"), "n")

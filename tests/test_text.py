@@ -45,3 +45,15 @@ def test_successors_of_repeated_and_missing_keys(spark):
 def test_words_of_a_text_with_its_own_key_are_not_shuffled(spark):
     listed = text.successors(docs(spark, LINES, "a b"))
     assert "Exchange" not in listed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_separator_ends_a_word_and_pairs_are_one_key(spark):
+    apart = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert sorted(text.SEPARATORS) == apart
+    rows = [*[f"a{c}b{c}{c}É𝒜" for c in apart], "a\u200bb É", None]
+    counts = text.successor_counts(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"))
+    n = len(apart)
+    assert {(r.word, r.next): r.n for r in counts.collect()} == {
+        ("a", "b"): n, ("b", "É𝒜"): n, ("a\u200bb", "É"): 1}
+    assert counts.columns == ["word", "next", "n"]
+    assert "hashpartitioning(pair" in counts._jdf.queryExecution().executedPlan().toString()
