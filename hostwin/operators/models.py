@@ -329,6 +329,16 @@ def _several(name: str, prep: Prepared, train: DataFrame, key: str, settings: Se
     return model, class_rows(name, model.transform(vectors), key, scores, pred)
 
 
+def dealt(train: DataFrame, key: str, rows_a_task: int = 1 << 19) -> DataFrame:
+    """``train`` dealt evenly by ``key`` over all cores, or over more tasks where these would get over ``rows_a_task``.
+
+    Training rows are the early part of a table that is often stored in time order and in few pieces, so most
+    tasks of a scan have none of them.
+    """
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    return train.repartition(max(cores, -(-train.count() // rows_a_task)), key)
+
+
 #: Models of two classes only: outliers have no further kinds.
 BINARY_ONLY = ["IsolationForest"]
 
@@ -337,13 +347,13 @@ def train_and_score(prep: Prepared, key: str, names: list[str] = MODEL_NAMES,
                     settings: Settings = Settings()) -> tuple[dict[str, Any], DataFrame]:
     """Fit the named models on ``prep.train``, several at a time, and score ``prep.test``.
 
-    Every fit reads the training rows many times, so these are cached while it lasts. With three or more
+    Every fit reads the training rows many times, so these are dealt evenly and cached while it lasts. With three or more
     classes the frame has a column ``scores`` with one entry per class, as :func:`class_rows` says, and models
     in BINARY_ONLY are left out.
     """
     if not prep.binary:
         names = [n for n in names if n not in BINARY_ONLY]
-    train = prep.train.persist()
+    train = dealt(prep.train, key).persist()
     one = _binary if prep.binary else _several
     try:
         done = together(train.sparkSession, {n: partial(one, n, prep, train, key, settings) for n in names},

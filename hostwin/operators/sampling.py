@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,7 +114,9 @@ def poisson_weight(rate: float, *parts) -> Column:
         term *= rate / len(steps)
 
     def count(u: Column) -> Column:
-        return sum((F.when(u >= F.lit(c), 1).otherwise(0) for c in steps), F.lit(0))
+        # The first step above the draw ends the search, which is mostly one of the first two.
+        return reduce(lambda found, c: found.when(u < F.lit(c[1]), c[0]), enumerate(steps),
+                      F.when(u.isNull(), 0)).otherwise(len(steps))
 
     # A one-element array binds the draw to a name, so that it is computed once.
     return F.get(F.transform(F.array(hash_unit(*parts)), count), 0)

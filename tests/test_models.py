@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +156,21 @@ def test_a_bag_for_each_tree(prepared):
     assert len({t.toDebugString for t in forest.trees}) == SMALL.trees
 
 
+def test_fits_read_training_rows_that_are_dealt_evenly(spark, prepared, monkeypatch):
+    seen = []
+
+    def fit(name, prep, train, key, settings):
+        seen.append([r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()])
+        return None, models.scored_rows(name, prep.test, key, None, F.lit(0))
+
+    monkeypatch.setattr(models, "_binary", fit)
+    one = replace(prepared, train=prepared.train.coalesce(1))
+    models.train_and_score(one, "row_id", [models.MODEL_NAMES[0]], SMALL)
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(seen[0]) == 600 and len(seen[0]) == cores > 1 and max(seen[0]) < 2 * 600 / cores
+    assert models.dealt(one.train, "row_id", 20).rdd.getNumPartitions() == max(cores, 30)
+
+
 def test_fits_run_at_the_same_time(spark):
     import threading
     gate = threading.Barrier(3, timeout=60)

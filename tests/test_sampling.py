@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -217,6 +219,14 @@ def test_poisson_weights_follow_the_rate(spark):
         assert mean == pytest.approx(rate, rel=0.1) and var == pytest.approx(rate, rel=0.15)
 
 
+def test_poisson_weights_count_the_steps_below_the_draw(spark):
+    for rate in (0.05, 1.0, 3.0):
+        steps = np.cumsum([math.exp(-rate) * rate ** k / math.factorial(k) for k in range(40)])
+        rows = spark.range(3000).select(sampling.hash_unit(5, F.col("id")).alias("u"),
+                                        sampling.poisson_weight(rate, 5, F.col("id")).alias("w")).collect()
+        assert all(r.w == np.searchsorted(steps, r.u, "right") for r in rows)
+
+
 def test_balanced_bag_ratio(spark):
     df = spark.range(5000).select("id", (F.col("id") % 20 == 0).cast("int").alias("label"))
     rows = sampling.balanced_bag(df, "id", bags=3).groupBy("bag").pivot("label", [0, 1]).agg(
