@@ -330,13 +330,14 @@ def _several(name: str, prep: Prepared, train: DataFrame, key: str, settings: Se
 
 
 def dealt(train: DataFrame, key: str, rows_a_task: int = 1 << 19) -> DataFrame:
-    """``train`` dealt evenly by ``key`` over all cores, or over more tasks where these would get over ``rows_a_task``.
+    """``train`` dealt evenly by ``key`` over all cores, several tasks to each where one would get over ``rows_a_task``.
 
     Training rows are the early part of a table that is often stored in time order and in few pieces, so most
     tasks of a scan have none of them.
     """
     cores = train.sparkSession.sparkContext.defaultParallelism
-    return train.repartition(max(cores, -(-train.count() // rows_a_task)), key)
+    # A multiple of the cores, so that no core waits while another has a task more.
+    return train.repartition(cores * max(1, -(-train.count() // (cores * rows_a_task))), key)
 
 
 #: Models of two classes only: outliers have no further kinds.

@@ -168,7 +168,7 @@ def test_fits_read_training_rows_that_are_dealt_evenly(spark, prepared, monkeypa
     models.train_and_score(one, "row_id", [models.MODEL_NAMES[0]], SMALL)
     cores = spark.sparkContext.defaultParallelism
     assert sum(seen[0]) == 600 and len(seen[0]) == cores > 1 and max(seen[0]) < 2 * 600 / cores
-    assert models.dealt(one.train, "row_id", 20).rdd.getNumPartitions() == max(cores, 30)
+    assert models.dealt(one.train, "row_id", 20).rdd.getNumPartitions() == cores * -(-30 // cores)
 
 
 def test_fits_run_at_the_same_time(spark):
