@@ -868,8 +868,9 @@ def fit_forest_smote(spark, sf_dir):
 
 @query
 def fit_boosted(spark, sf_dir):
+    """Boosted trees of full size: all rounds and the depth of ``Settings()``."""
     return _summary(_predictions(spark, sf_dir, MODEL_NAMES[2],
-                        lambda p: fit_gbt(p.train, p.features, SMALL)))
+                        lambda p: fit_gbt(p.train, p.features, Settings())))
 
 
 @query

@@ -8,6 +8,7 @@ from hostwin.functions.scalars import null_tokens
 from hostwin.operators import evaluate, models, prep
 from hostwin.operators.iforest import (
     anomaly_cut, average_path, fit_iforest, predict_iforest, sampled_rows, score_iforest)
+from hostwin.plans import catalog
 from hostwin.plans.flagship import Study, run_study
 from hostwin.sources import fixtures
 
@@ -156,6 +157,19 @@ def test_a_bag_for_each_tree(prepared):
     assert len({t.toDebugString for t in forest.trees}) == SMALL.trees
 
 
+def test_the_boosted_query_fits_every_round(spark, sf, monkeypatch):
+    seen = []
+
+    def fit(*args):
+        seen.append(models.fit_gbt(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(catalog, "fit_gbt", fit)
+    assert catalog.QUERIES["fit_boosted"](spark, sf).first().n_rows > 0
+    assert len(seen) == 1 and seen[0].getNumTrees == models.TREES == 200
+    assert max(t.depth for t in seen[0].trees) == models.Settings().boost_depth == 5
+
+
 def test_fits_read_training_rows_that_are_dealt_evenly(spark, prepared, monkeypatch):
     seen = []
 
